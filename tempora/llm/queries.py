@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hmm, langid, packing, quality, topk, toxicity
+from . import bpe, exact_dedup, hmm, langid, ngram_join, packing, quality, topk, toxicity
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), words=4, share=85).drop("set_id")
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_topk": op5_topk,
+    "op6_ngram_join": op6_ngram_join,
     "op7_lm_score": op7_lm_score,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
