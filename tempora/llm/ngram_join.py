@@ -230,7 +230,7 @@ def _postings(shared, words: int, share: int, buckets: int):
     return kind, run
 
 
-def _lists(kind, share: int):
+def _lists(kind, share: int, short: int):
     """Candidates of one bucket: pairs of short lists (x, y), members of long lists (list, x, members)."""
 
     def run(frame: pa.Table) -> pa.Table:
@@ -241,7 +241,7 @@ def _lists(kind, share: int):
         starts = np.flatnonzero(np.append(True, rows["shingle"][1:] != rows["shingle"][:-1]))
         length = np.diff(np.append(starts, len(rows)))
         pairs, lists = [], []
-        for m in np.unique(length[(length > 1) & (length <= SHORT)]).tolist():
+        for m in np.unique(length[(length > 1) & (length <= short)]).tolist():
             i, j = np.triu_indices(m, 1)
             own = starts[length == m]
             for at in range(0, len(own), max(1, 1_000_000 // len(i))):
@@ -250,7 +250,7 @@ def _lists(kind, share: int):
                 near = 100 * rows["n"][a].astype(np.int64) >= share * rows["n"][b].astype(np.int64)
                 a, b = rows["set"][a[near]], rows["set"][b[near]]
                 pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-        for s, m in zip(starts[length > SHORT].tolist(), length[length > SHORT].tolist()):
+        for s, m in zip(starts[length > short].tolist(), length[length > short].tolist()):
             name = int(rows["shingle"][s].astype(np.int64))
             lists.append(np.stack([np.full(m, name), rows["set"][s : s + m], np.full(m, m)], axis=1))
         p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
@@ -376,11 +376,12 @@ def _second_meetings(share: int):
     return run
 
 
-def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE, short: int = SHORT, chunk: int = CHUNK) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, set_id.
 
     Documents are linked when 100 * intersection >= share * union of their shingle sets; ``component_id`` is the
-    smallest id that links reach. ``set_id`` is null where there is no shingle.
+    smallest id that links reach. ``set_id`` is null where there is no shingle. ``short`` and ``chunk``: the sizes above
+which lists are dealt to chunks, and of a chunk; they change the work, not the result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -398,7 +399,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     buckets = max(BUCKETS, -(-int(total) // BUCKET))
     kind, deal = _postings(frequent, words, share, buckets)
     dealt = docs.mapInArrow(deal, "bucket long, postings binary")
-    found = written(dealt.groupBy("bucket").applyInArrow(_lists(kind, share), "list long, x long, y long, members long"), "candidates")
+    found = written(dealt.groupBy("bucket").applyInArrow(_lists(kind, share, short), "list long, x long, y long, members long"), "candidates")
 
     pairs = found.filter("list is null").select(F.col("x").alias("a"), F.col("y").alias("b"))
     long_lists = found.filter("list is not null").select("list", F.col("x").alias("set_id"), "members")
@@ -406,7 +407,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     wanted = written(nodes.join(wanted.distinct(), "set_id").select("set_id", "doc_id"), "wanted")
     members = written(_members(docs, wanted, words), "members")
 
-    chunks = F.ceil(F.col("members") / CHUNK)
+    chunks = F.ceil(F.col("members") / chunk)
     dealt_lists = (
         long_lists.join(members.select("set_id", "n", "point"), "set_id")
         .withColumn("chunks", chunks)
