@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import exact_dedup, langid, packing
+from tempora.llm import exact_dedup, langid, ngram_join, packing
+from tempora.llm import quality as bags
 from tempora.llm.common import table, written
 from tempora.llm.queries import vocabulary
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier rejects. Learns from the labelled rows of its input."""
+    return bags.keep_good(docs, bags.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that fit no learned language. Learns from the rows of its input."""
     return langid.keep_identified(docs, langid.learn(langid.training_rows(docs)))
@@ -19,14 +25,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
+def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each class of documents linked by 5-word shingles with a similarity of 0.8 or more."""
+    return ngram_join.keep_one_each(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents, packed into sequences."""
     return packing.pack_documents(docs, vocabulary())
 
 
 STAGES = [
+    ("quality classifier", quality),
     ("language ID", language),
     ("exact dedup", exact),
+    ("n-gram Jaccard join", similar),
     ("packing", pack),
 ]
 

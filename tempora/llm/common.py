@@ -61,3 +61,8 @@ def in_chunks(sizes, most: int):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly, so that a join above it shuffles anew and Spark may split the join's hot keys."""
+    return df.hint("rebalance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, written
 
 #: Rounds after which the loop gives up; each round at least halves the longest chain.
 MOST_ROUNDS = 60
@@ -16,10 +16,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        out = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        out = both.join(apart(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("low"))
-        moved = edges.join(low, "u")
+        moved = edges.join(apart(low), "u")
         out = moved.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
     return out.filter("u > v").distinct()
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import apart, texts, written
 from .components import components
 
 WORDS, SHARE = 5, 80
@@ -440,8 +440,8 @@ which lists are dealt to chunks, and of a chunk; they change the work, not the r
 
     label = nodes.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(smallest, "component").select("set_id", "component_id")
-    out = own.join(label, "set_id", "left")
+    label = label.join(apart(smallest), "component").select("set_id", "component_id")
+    out = own.join(apart(label), "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
 
 

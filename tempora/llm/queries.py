@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hmm, langid, ngram_join, packing, quality, topk, toxicity
+from . import bpe, exact_dedup, hmm, langid, line_dedup, ngram_join, packing, quality, topk, toxicity
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -72,6 +76,7 @@ QUERIES = {
     "op7_lm_score": op7_lm_score,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
