@@ -432,7 +432,7 @@ def _(s, d):
 
 @_query(
     "rate_limit",
-    """WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_ms(ts) AS ts_ms, event_id AS seq, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
     w AS (SELECT user_id, event_type, ts_ms, seq, n, TRUE AS admitted, [ts_ms] AS recent FROM e WHERE n = 1
         UNION ALL SELECT e.user_id, e.event_type, e.ts_ms, e.seq, e.n, len(list_filter(recent, lambda t: e.ts_ms - t < 21600000)) < 2,
             CASE WHEN len(list_filter(recent, lambda t: e.ts_ms - t < 21600000)) < 2 THEN list_append(list_filter(recent, lambda t: e.ts_ms - t < 21600000), e.ts_ms)
