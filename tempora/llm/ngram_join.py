@@ -6,13 +6,14 @@ whose bound is below what the threshold needs is never compared. Points of one b
 whose boxes give the same bound for all pairs below two nodes; the pairs that survive are verified on the sets.
 
 Counts of random sets are alike, so one tree over all points would compare most of them. Points are therefore dealt to
-blocks by an exact rule: two sets that are similar enough share one of the first shingles of each, in an order that
-all sets use (``prefix``). Shingles that many sets have come last in that order, the rest by hash. A block is the list
-of the sets that have one shingle in front. Short lists are one leaf of a tree. Long lists, which copies with small
+blocks by an exact rule: two sets that are similar enough share at least ``COMMON`` of the first shingles of each, in
+an order that all sets use (``prefix``). Shingles that many sets have come last in that order, the rest by hash. A
+block is the list of the sets that have one shingle in front. Short lists are one leaf of a tree; their pairs are
+counted over all lists, and pairs that share too few shingles in front are dropped, unless a long list has both. Long lists, which copies with small
 edits make, are dealt to chunks; first every member meets a few pivots and its neighbours in the tree, then the links
 found so far are joined to components, and then only members of different components meet, chunk against chunk.
 
-Equal sets are one point with many documents. Sets are compared by hashes of 64 bits.
+Equal sets are one point with many documents. Shingles are hashes of 64 bits, of which 48 are compared at the end.
 
 Cases: null, empty and white-space texts have no shingle and are linked with nothing; a text with fewer words than a
 shingle is one shingle of all of them; texts of any length are read whole; repeated rows are equal sets; a null id is
@@ -35,8 +36,10 @@ from .components import components
 WORDS, SHARE = 5, 80
 GROUPS = 256
 #: Words whose hashes a task keeps; postings that a task holds before it hands them on; postings of a bucket, about.
-CACHE, HELD, BUCKET = 500_000, 1_000_000, 100_000
+CACHE, HELD, BUCKET = 200_000, 400_000, 100_000
 BUCKETS = 64
+#: Shingles in front that similar sets must share, if they have as many in all.
+COMMON = 4
 #: Shingles that come last in the order: found this often in a partition and in all, so many at most. The order only
 #: decides how long lists get; any order that all sets share gives the same links.
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT, MOST_LOCAL = 3, 8, 200_000, 20_000
@@ -81,12 +84,12 @@ def needed(a, b, share: int):
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray, share: int) -> np.ndarray:
-    """The shingles of which a similar set must share one: all but ``ceil(share * n) - 1``, in the common order.
+    """The shingles of which a similar set must share ``COMMON``: all but ``ceil(share * n) - COMMON``, in the common order.
 
     ``frequent``: sorted hashes, with ranks in the second row; they come last, by rank.
     """
     n = len(shingles)
-    k = n - (-(-share * n // 100)) + 1
+    k = min(n, n - (-(-share * n // 100)) + COMMON)
     if n and frequent.shape[1]:
         at = np.minimum(np.searchsorted(frequent[0], shingles), frequent.shape[1] - 1)
         rank = np.where(frequent[0][at] == shingles, frequent[1][at], np.uint64(0))
@@ -144,9 +147,21 @@ def tree_join(left: RTree, right: RTree, share: int):
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (empty, empty)
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """48 bits of each shingle."""
+    low = shingles & np.uint64((1 << 48) - 1)
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def similar(a: bytes, b: bytes, share: int) -> bool:
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = unpacked(a), unpacked(b)
+    both = len(np.intersect1d(x, y))
     return 100 * both >= share * (len(x) + len(y) - both)
 
 
@@ -231,7 +246,8 @@ def _postings(shared, words: int, share: int, buckets: int):
 
 
 def _lists(kind, share: int, short: int):
-    """Candidates of one bucket: pairs of short lists (x, y), members of long lists (list, x, members)."""
+    """Candidates of one bucket: pairs of short lists (x, y) with the shingles they share there and those they need
+    to share in all lists; members of long lists (list, x) with the number of members."""
 
     def run(frame: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, kind) for x in frame["postings"].to_pylist()])
@@ -240,27 +256,31 @@ def _lists(kind, share: int, short: int):
         rows = rows[fresh]
         starts = np.flatnonzero(np.append(True, rows["shingle"][1:] != rows["shingle"][:-1]))
         length = np.diff(np.append(starts, len(rows)))
-        pairs, lists = [], []
+        pairs, lists = [np.zeros((0, 4), np.int64)], [np.zeros((0, 3), np.int64)]
         for m in np.unique(length[(length > 1) & (length <= short)]).tolist():
             i, j = np.triu_indices(m, 1)
             own = starts[length == m]
-            for at in range(0, len(own), max(1, 1_000_000 // len(i))):
-                base = own[at : at + max(1, 1_000_000 // len(i)), None]
+            step = max(1, 500_000 // len(i))
+            for at in range(0, len(own), step):
+                base = own[at : at + step, None]
                 a, b = (base + i).ravel(), (base + j).ravel()  # sizes ascend within a list
-                near = 100 * rows["n"][a].astype(np.int64) >= share * rows["n"][b].astype(np.int64)
-                a, b = rows["set"][a[near]], rows["set"][b[near]]
-                pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+                small, large = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
+                near = 100 * small >= share * large
+                a, b, need = rows["set"][a[near]], rows["set"][b[near]], np.minimum(COMMON, -(-share * large[near] // 100))
+                p = np.stack([np.minimum(a, b), np.maximum(a, b), need], axis=1)
+                p, n = np.unique(p, axis=0, return_counts=True)
+                pairs.append(np.concatenate([p, n[:, None]], axis=1))
         for s, m in zip(starts[length > short].tolist(), length[length > short].tolist()):
             name = int(rows["shingle"][s].astype(np.int64))
             lists.append(np.stack([np.full(m, name), rows["set"][s : s + m], np.full(m, m)], axis=1))
-        p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        q = np.concatenate(lists) if lists else np.zeros((0, 3), np.int64)
+        p, q = np.concatenate(pairs), np.concatenate(lists)
         return pa.table(
             {
                 "list": pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(q[:, 0])]),
                 "x": pa.array(np.concatenate([p[:, 0], q[:, 1]])),
                 "y": pa.concat_arrays([pa.array(p[:, 1]), pa.nulls(len(q), pa.int64())]),
-                "members": pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(q[:, 2])]),
+                "need": pa.concat_arrays([pa.array(p[:, 2].astype(np.int32)), pa.nulls(len(q), pa.int32())]),
+                "n": pa.array(np.concatenate([p[:, 3], q[:, 2]])),
             }
         )
 
@@ -268,41 +288,47 @@ def _lists(kind, share: int, short: int):
 
 
 def _members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_id, n, point, shingles) of the sets in ``wanted`` (set_id, doc_id), one row for each.
+    """(set_id, n, point, shingles) of the sets in ``wanted`` (set_id, doc_id), and of a few others.
 
-    A bitmap of the wanted ids, of a bounded size, spares most other rows; the join decides.
+    Two bitmaps of a bounded size, of ids and of ids with sets, let the wanted through, so no text is shuffled. A set
+    may come twice, which only repeats a pair.
     """
     bits = min(1 << 27, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    found = wanted.select((place / 64).cast("long").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}) % 64 as int))").alias("bit"))
-    found = found.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[found["at"].to_numpy()] = found["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    by_id, by_set = F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.pmod(F.xxhash64("set_id", "doc_id"), F.lit(bits))
 
-    def run(batches):
-        bitmap = shared.value.view(np.uint64)
+    def bitmap(place):
+        at = wanted.select((place / 64).cast("long").alias("at"), (place % 64).cast("int").alias("bit"))
+        found = at.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        table = np.zeros(bits // 64, np.int64)
+        table[found["at"].to_numpy()] = found["bits"].to_numpy()
+        return docs.sparkSession.sparkContext.broadcast(table)
+
+    ids, sets = bitmap(by_id), bitmap(by_set)
+    has = lambda table, at: (table.value.view(np.uint64)[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+
+    def make(batches):
         for batch in batches:
-            at = batch.column("place").to_numpy()
-            keep = (bitmap[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-            batch = batch.filter(pa.array(keep.astype(bool)))
-            sets = [shingle_set(x, words) for x in texts(batch)]
-            some = [i for i, s in enumerate(sets) if len(s)]
-            sets = [sets[i] for i in some]
+            batch = batch.filter(pa.array(has(ids, batch.column("place").to_numpy()).astype(bool)))
+            found = [shingle_set(x, words) for x in texts(batch)]
+            some = [i for i, s in enumerate(found) if len(s)]
+            found = [found[i] for i in some]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(some, pa.int64())),
-                    pa.array([set_id(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([point(s) for s in sets], pa.binary()),
-                    pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
+                    pa.array([set_id(s) for s in found], pa.int64()),
+                    pa.array([len(s) for s in found], pa.int64()),
+                    pa.array([point(s) for s in found], pa.binary()),
+                    pa.array([packed(s) for s in found], pa.binary()),
                 ],
                 names=["doc_id", "set_id", "n", "point", "shingles"],
             )
 
-    rows = docs.withColumn("place", place)
-    sets = rows.mapInArrow(run, "doc_id long, set_id long, n long, point binary, shingles binary")
-    return sets.join(wanted, ["doc_id", "set_id"], "left_semi").dropDuplicates(["set_id"]).drop("doc_id")
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has(sets, batch.column("place").to_numpy()).astype(bool))).drop_columns(["place"])
+
+    made = docs.withColumn("place", by_id).mapInArrow(make, "doc_id long, set_id long, n long, point binary, shingles binary")
+    return made.withColumn("place", by_set).drop("doc_id").mapInArrow(keep, "set_id long, n long, point binary, shingles binary")
 
 
 def _with(pairs: DataFrame, members: DataFrame, column: str) -> DataFrame:
@@ -395,14 +421,15 @@ which lists are dealt to chunks, and of a chunk; they change the work, not the r
     order = np.argsort(hashes)
     frequent = spark.sparkContext.broadcast(np.stack([hashes[order], seen[order]]))
 
-    total = nodes.agg(F.sum(F.floor(F.col("n") * (100 - share) / 100) + 1)).first()[0] or 0
+    total = nodes.agg(F.sum(F.floor(F.col("n") * (100 - share) / 100) + COMMON)).first()[0] or 0
     buckets = max(BUCKETS, -(-int(total) // BUCKET))
     kind, deal = _postings(frequent, words, share, buckets)
     dealt = docs.mapInArrow(deal, "bucket long, postings binary")
-    found = written(dealt.groupBy("bucket").applyInArrow(_lists(kind, share, short), "list long, x long, y long, members long"), "candidates")
+    found = written(dealt.groupBy("bucket").applyInArrow(_lists(kind, share, short), "list long, x long, y long, need int, n long"), "candidates")
 
-    pairs = found.filter("list is null").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    long_lists = found.filter("list is not null").select("list", F.col("x").alias("set_id"), "members")
+    shared = found.filter("list is null").groupBy("x", "y").agg(F.min("need").alias("need"), F.sum("n").alias("n"))
+    pairs = written(shared.filter("n >= need").select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
+    long_lists = found.filter("list is not null").select("list", F.col("x").alias("set_id"), F.col("n").alias("members"))
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).unionByName(long_lists.select("set_id"))
     wanted = written(nodes.join(wanted.distinct(), "set_id").select("set_id", "doc_id"), "wanted")
     members = written(_members(docs, wanted, words), "members")
