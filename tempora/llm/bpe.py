@@ -35,20 +35,12 @@ CHUNK = 100_000
 
 # Letters that the normaliser leaves alone or lower-cases one by one; marks are printable ASCII.
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-įı-ſ]*")
-_PLAIN_TEXT = regex.compile(r"[\n -~À-ÖØ-öø-įı-ſ]*+")
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
 _KIND[ord("a") : ord("z") + 1] = _LETTER
 _KIND[128:] = _LETTER
 _KIND[ord("0") : ord("9") + 1] = _DIGIT
-_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
-_KIND = np.full(256, _OTHER, np.uint8)
-_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
-_KIND[ord("a") : ord("z") + 1] = _LETTER
-_KIND[128:] = _LETTER
-_KIND[ord("0") : ord("9") + 1] = _DIGIT
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿĀ-ſ]+|[0-9]|[^a-zß-öø-ÿĀ-ſ0-9]+")
 
 
 class _Cache(dict):

@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 #: ASCII white space, the class ``[\x20\x09-\x0D]`` of the contracts.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
+#: Folders made where the session names none, by application.
+_own_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tempora-")
-        spark.conf.set("spark.checkpoint.dir", where)
+    if not where:  # a static setting: it cannot be set on a running session
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tempora-")
+        where = _own_dirs[app]
     return where.rstrip("/")
 
 
