@@ -29,7 +29,9 @@ from .common import crc_mod, written
 
 #: Labelled rows that the fit uses at most.
 SAMPLE_ROWS = 20_000
-FEATURES = 1 << 18
+FEATURES = 1 << 16
+#: Partitions of the sample while the classifier is fitted; each sends a gradient in every step.
+FIT_PARTITIONS = 6
 #: Words mined from the labels, and the voters that they are dealt to.
 MINED_WORDS, MINED_VOTERS = 60, 6
 EM_ROUNDS = 60
@@ -169,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         "features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("x")
     ).select("features", "x.label", "x.w")
     fit = LogisticRegression(weightCol="w", regParam=2e-5, elasticNetParam=0.5, maxIter=50, standardization=False, aggregationDepth=2)
-    return ToxicityModel(model, fit.fit(both.filter("w > 1e-6")))
+    return ToxicityModel(model, fit.fit(both.filter("w > 1e-6").coalesce(FIT_PARTITIONS)))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
