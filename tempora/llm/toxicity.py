@@ -71,7 +71,9 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Dat
 
 
 def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:
-    """Words whose document frequency among toxic labels is surely higher than among the others."""
+    """Words whose share among toxic labels is surely more than twice that among the others."""
+    whole = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
+    lift = 2.0 * max(whole["bad"], 1) / max(whole["all"] - whole["bad"], 1)
     counted = (
         rows.select("toxic", F.explode(F.array_distinct("words")).alias("word"))
         .filter(F.length("word").between(3, 40))
@@ -81,7 +83,7 @@ def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:
     )
     low = F.col("bad") - 2 * F.sqrt("bad")
     ratio = low / (F.col("all") - F.col("bad") + 1)
-    return [r["word"] for r in counted.orderBy((ratio * F.sqrt(low)).desc(), "word").limit(most).collect()]
+    return [r["word"] for r in counted.filter(ratio > lift).orderBy((ratio * F.sqrt(low)).desc(), "word").limit(most).collect()]
 
 
 def voters(mined: list[str]) -> dict[str, Column]:
@@ -120,7 +122,8 @@ def fit_label_model(names: list[str], votes: np.ndarray, counts: np.ndarray, rou
     votes, counts = votes.astype(float), counts.astype(float)
     total = counts.sum()
     share = (counts @ votes) / total
-    post = 1 / (1 + np.exp(-(votes @ np.log((1 - share + 1e-3) / (share + 1e-3)) - 2.0)))
+    seldom = np.maximum(np.log((1 - share + 1e-3) / (share + 1e-3)), 0)
+    post = 1 / (1 + np.exp(-(votes @ seldom - 2.0)))
     discount = np.ones(votes.shape[1])
     corr = np.zeros((votes.shape[1],) * 2)
     for step in range(rounds):
