@@ -152,6 +152,12 @@ def test_line_dedup_equals_brute_force(spark):
     assert any(n for _, _, n in want)
 
 
+def test_line_dedup_deletes_short_lines(spark):
+    rows = [(i, f"own{i} line\nLicensed under the Apache License, Version 2.0\nBack to top\n\nend{i}") for i in range(1, 4)]
+    got = {r["doc_id"]: (r["n_deleted"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "own2 line\n\nend2"), 3: (2, "own3 line\n\nend3")}
+
+
 def test_empty_tables(spark):
     docs = frame(spark, EXACT).limit(0)
     assert exact_dedup.exact_duplicates(docs).count() == 0
