@@ -158,6 +158,40 @@ def test_line_dedup_deletes_short_lines(spark):
     assert got == {1: (0, rows[0][1]), 2: (2, "own2 line\n\nend2"), 3: (2, "own3 line\n\nend3")}
 
 
+def brute_maximal(rows, min_words):
+    """Lines to delete: every match with an earlier place, extended to its maximal run, of at least ``min_words`` words."""
+    docs = []
+    for own, t in sorted({(i, t) for i, t in rows if t}):
+        docs.append((own, t, [y.strip() for y in t.encode().split(b"\n") if y.strip()]))
+    spots, gone = [(d, at) for d in range(len(docs)) for at in range(len(docs[d][2]))], {}
+    for n, (d, at) in enumerate(spots):
+        own, t, lines = docs[d]
+        for e, other in spots[:n]:
+            before, long = docs[e][2], 0
+            while at + long < len(lines) and other + long < len(before) and lines[at + long] == before[other + long]:
+                long += 1
+            if sum(len(x.split()) for x in lines[at : at + long]) >= min_words:
+                gone.setdefault((own, t), set()).update(range(at, at + long))
+    return gone
+
+
+@pytest.mark.parametrize("min_words", [1, 10, 50])
+def test_line_dedup_deletes_maximal_runs(spark, min_words):
+    rng = random.Random(min_words)
+    pool = [prose(rng, rng.choice([1, 2, 3, 5, 20])) for _ in range(30)]
+    passage = [prose(rng, rng.choice([3, 4, 20])) for _ in range(25)]
+    rows = [(1, f"{prose(rng, 20)}\na b c\nown end"), (3, "\n".join([pool[0], pool[1]] * 9))]
+    rows.append((2, "other front\n" + rows[0][1].rpartition("\n")[0]))
+    for i in range(40):
+        a = rng.randrange(25)
+        rows.append((10 + i, "\n".join([rng.choice(pool) for _ in range(rng.randrange(6))] + passage[a : a + rng.randrange(25)] + [rng.choice(pool) for _ in range(rng.randrange(6))])))
+    gone = brute_maximal(rows, min_words)
+    want = sorted((i, line_dedup.without(t, sorted(gone.get((i, t), ())))[0] if t else "", len(gone.get((i, t), ()))) for i, t in rows)
+    got = line_dedup.dedup_lines(frame(spark, rows), min_words).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_deleted"]) for r in got) == want
+    assert any(n for _, _, n in want)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, EXACT).limit(0)
     assert exact_dedup.exact_duplicates(docs).count() == 0
