@@ -2,16 +2,16 @@
 
 Words are counted over the whole training part. The most frequent words are classes of their own, all others share
 classes by their last bytes, and the end of a text is a class. A hidden Markov model over classes is trained by
-Baum-Welch: every partition computes expected counts of its windows, the counts are summed by Spark, the driver
-normalises them. The score of a text is the exact likelihood of its whole sequence of classes by the scaled forward
+Baum-Welch from a seeded random model: in every round each partition computes the expected counts of its whole texts,
+the counts are summed by Spark, the driver normalises them, until the likelihood of all training texts settles. The score of a text is the exact likelihood of its whole sequence of classes by the scaled forward
 recursion, times the probability of each word within its class.
 
 Long sequences are split into segments whose K x K transfer matrices are computed side by side and then multiplied
-in order, which equals the plain recursion.
+in order, which equals the plain recursion. Training does the same in both directions, so that forward and backward
+probabilities are carried over the edges of segments.
 
 What is broadcast is bounded: the ``KNOWN`` most frequent words with their counts, and the model. Counts of all other
-words stay in a table and are joined. The starting point of Baum-Welch comes from ``START_ROWS`` texts; its rounds run
-over all training texts, cut into windows of ``SEGMENT`` tokens.
+words stay in a table and are joined. No text is left out of a round or cut.
 
 Cases: null and empty texts are one end token; texts are scored whole; repeated rows are scored each time and count
 each time; null ids are in the held-out part; without training texts all words are unknown. Extra columns are ignored.
@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, written
 
-STATES, SEGMENT, ROUNDS = 6, 64, 2
+STATES, SEGMENT = 6, 64
+#: Baum-Welch ends when a round raises the log-likelihood by less than this share, after a few rounds at least.
+SETTLED, LEAST_ROUNDS = 1e-4, 5
 #: Words with a class of their own; words whose counts are broadcast; the longest word among them, in bytes.
 OWN_CLASS, KNOWN, LONGEST = 60_000, 200_000, 64
 SHAPES = 255
-START_ROWS, START_TOKENS, START_ROUNDS = 1_500, 4_096, 20
 HELD, CHUNK, SLICE = 300_000, 400_000, 256
 END = b""
 
@@ -129,38 +130,86 @@ def _windows(codes: list[np.ndarray], size: int = SEGMENT):
     return flat[np.minimum(at, len(flat) - 1)], length[order], owner[order], index[order]
 
 
+def _transfers(model: Hmm, grid: np.ndarray, length: np.ndarray, first: np.ndarray):
+    """K x K matrices that carry forward probabilities over each window, scaled, and log10 of the scales."""
+    k, s = len(model.start), len(grid)
+    at = np.where(first[:, None, None], np.eye(k), model.move)
+    at = at * model.emit[grid[:, 0]][:, None, :]
+    logs = np.zeros(s)
+    for t in range(1, grid.shape[1]):
+        n = int((length > t).sum())
+        if not n:
+            break
+        at[:n] = (at[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[grid[:n, t]][:, None, :]
+        if t % 8 == 0:
+            top = at[:n].max(axis=(1, 2))
+            at[:n] /= top[:, None, None]
+            logs[:n] += np.log10(top)
+    return at, logs
+
+
+def _edges(model: Hmm, grid: np.ndarray, length: np.ndarray, owner: np.ndarray, index: np.ndarray):
+    """For each window the scaled forward probabilities just before it and the backward ones at its last token."""
+    k = len(model.start)
+    before, behind = np.ones((len(grid), k)), np.ones((len(grid), k))
+    many = np.flatnonzero(np.bincount(owner)[owner] > 1)
+    if not len(many):
+        return before, behind
+    at, _ = _transfers(model, grid[many], length[many], index[many] == 0)
+    by = np.argsort(index[many], kind="stable")
+    levels = np.split(by, np.cumsum(np.bincount(index[many]))[:-1])
+    now = np.tile(model.start, (owner.max() + 1, 1))
+    for level in levels:
+        own = owner[many[level]]
+        before[many[level]] = now[own]
+        step = (now[own, None, :] @ at[level])[:, 0]
+        now[own] = step / step.sum(axis=1, keepdims=True)
+    now = np.ones((owner.max() + 1, k))
+    for level in levels[::-1]:
+        own = owner[many[level]]
+        behind[many[level]] = now[own]
+        step = (at[level] @ now[own, :, None])[:, :, 0]
+        now[own] = step / step.sum(axis=1, keepdims=True)
+    return before, behind
+
+
 def expected(model: Hmm, codes: list[np.ndarray], n_classes: int):
-    """Baum-Welch counts of the windows: (start K, moves K x K, emissions classes x K)."""
-    grid, length, _, _ = _windows(codes)
+    """Baum-Welch counts of whole sequences: (start K, moves K x K, emissions classes x K), and log10 P of all."""
+    grid, length, owner, index = _windows(codes)
     size = grid.shape[1]
-    n_at = [(length > t).sum() for t in range(size)]
+    n_at = [int((length > t).sum()) for t in range(size)]
     s, k = len(grid), len(model.start)
     alpha, scale = np.zeros((size, s, k), np.float32), np.ones((size, s), np.float32)
     b = model.emit.astype(np.float32)
     move = model.move.astype(np.float32)
+    before, behind = _edges(model, grid, length, owner, index)
+    inner = index > 0
     for t in range(size):
         n = n_at[t]
         if not n:
             break
-        a = (model.start.astype(np.float32) if t == 0 else alpha[t - 1, :n] @ move) * b[grid[:n, t]]
+        a = (np.where(inner[:, None], before @ model.move, model.start).astype(np.float32) if t == 0 else alpha[t - 1, :n] @ move) * b[grid[:n, t]]
         scale[t, :n] = a.sum(axis=1)
         alpha[t, :n] = a / scale[t, :n, None]
-    beta = np.ones((s, k), np.float32)
+    # Scaled so that the probabilities of the states at a token sum to 1.
+    beta = (behind / (alpha[length - 1, np.arange(s)] * behind).sum(axis=1, keepdims=True)).astype(np.float32)
     moves = np.zeros((k, k))
     for t in range(size - 1, -1, -1):
         n = n_at[t]
         if not n:
             continue
         gamma = alpha[t, :n] * beta[:n]
+        right = b[grid[:n, t]] * beta[:n] / scale[t, :n, None]
         if t:
-            right = b[grid[:n, t]] * beta[:n] / scale[t, :n, None]
             moves += alpha[t - 1, :n].T.astype(float) @ right
             beta[:n] = right @ move.T
+        else:
+            moves += before[inner].T @ right[inner]
         alpha[t, :n] = gamma
     mask = np.arange(size)[:, None] < length
     classes, gammas = grid.T[mask], alpha[mask]
     emissions = np.stack([np.bincount(classes, weights=gammas[:, i], minlength=n_classes) for i in range(k)], axis=1)
-    return alpha[0].sum(axis=0), moves * model.move, emissions
+    return alpha[0][~inner].sum(axis=0), moves * model.move, emissions, float(np.log10(scale, dtype=float).sum())
 
 
 def normalised(start, moves, emissions, prior: np.ndarray) -> Hmm:
@@ -170,33 +219,19 @@ def normalised(start, moves, emissions, prior: np.ndarray) -> Hmm:
     return Hmm(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emit)
 
 
-def starting_point(codes: list[np.ndarray], prior: np.ndarray, states: int = STATES) -> Hmm:
+def starting_point(prior: np.ndarray, states: int = STATES) -> Hmm:
+    """A seeded random model around the classes' overall shares."""
     rng = np.random.default_rng(11)
     emit = prior[:, None] * rng.uniform(0.5, 1.5, (len(prior), states))
     move = np.full((states, states), 0.05 / max(states - 1, 1))
     np.fill_diagonal(move, 0.95)
-    model = Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-    for _ in range(START_ROUNDS if codes else 0):
-        model = normalised(*expected(model, codes, len(prior)), prior)
-    return model
+    return Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
 def log_likelihoods(model: Hmm, codes: list[np.ndarray]) -> np.ndarray:
     """log10 P of each whole sequence."""
     grid, length, owner, index = _windows(codes)
-    k, s = len(model.start), len(grid)
-    at = np.where(index[:, None, None] == 0, np.eye(k), model.move)
-    at = at * model.emit[grid[:, 0]][:, None, :]
-    logs = np.zeros(s)
-    for t in range(1, grid.shape[1]):
-        n = int((length > t).sum())
-        if not n:
-            break
-        at[:n] = (at[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[grid[:n, t]][:, None, :]
-        if t % 8 == 0:
-            top = at[:n].max(axis=(1, 2))
-            at[:n] /= top[:, None, None]
-            logs[:n] += np.log10(top)
+    at, logs = _transfers(model, grid, length, index == 0)
     order = np.lexsort((index, owner))
     out, now = np.zeros(len(codes)), None
     for i in order.tolist():
@@ -221,17 +256,17 @@ def _batched(codes: list[bytes]):
         yield held
 
 
-def baum_welch_round(coded: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
-    """One round over all rows of ``coded`` (codes)."""
+def baum_welch_round(coded: DataFrame, model: Hmm, prior: np.ndarray) -> tuple[Hmm, float]:
+    """One round over all rows of ``coded`` (codes): the new model, and log10 P of all rows by the old one."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
     n_classes, k = model.emit.shape
 
     def run(batches):
-        total = np.zeros((n_classes + 1 + k, k))
+        total = np.zeros((n_classes + 2 + k, k))
         for batch in batches:
             for codes in _batched(batch.column("codes").to_pylist()):
-                start, moves, emissions = expected(shared.value, codes, n_classes)
-                total += np.concatenate([emissions, start[None], moves])
+                start, moves, emissions, likely = expected(shared.value, codes, n_classes)
+                total += np.concatenate([emissions, start[None], moves, np.full((1, k), likely)])
         cuts = range(0, len(total), SLICE)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(cuts)), pa.int32()), pa.array([total[i : i + SLICE].astype("<f4").tobytes() for i in cuts], pa.binary())], names=["slice", "counts"]
@@ -243,7 +278,19 @@ def baum_welch_round(coded: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
 
     found = coded.select("codes").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow().sort_by("slice")
     total = np.concatenate([np.frombuffer(x, "<f8").reshape(-1, k) for x in found["counts"].to_pylist()])
-    return normalised(total[n_classes], total[n_classes + 1 :], total[:n_classes], prior)
+    shared.unpersist()
+    return normalised(total[n_classes], total[n_classes + 1 : -1], total[:n_classes], prior), float(total[-1, 0])
+
+
+def fit(coded: DataFrame, prior: np.ndarray) -> Hmm:
+    """Baum-Welch over all rows of ``coded`` until the likelihood settles."""
+    model, old, rounds = starting_point(prior), -np.inf, 0
+    while True:
+        model, likely = baum_welch_round(coded, model, prior)
+        rounds += 1
+        if rounds > LEAST_ROUNDS and likely - old <= SETTLED * abs(likely):
+            return model
+        old = likely
 
 
 CODED = "row long, doc_id long, held_out boolean, n_tokens long, codes binary, base double, n_known long, others array<binary>"
@@ -280,10 +327,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     prior = vocab.mass / vocab.mass.sum()
     train = coded.filter("not held_out")
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_ROWS).select(F.expr(f"substring(codes, 1, {2 * START_TOKENS})").alias("codes")).toArrow()
-    model = starting_point([np.frombuffer(x, "<u2") for x in sample["codes"].to_pylist()], prior)
-    for _ in range(ROUNDS):
-        model = baum_welch_round(train, model, prior)
+    model = fit(train, prior)
     both = spark.sparkContext.broadcast((model, np.log10(vocab.mass)))
 
     def forward(batches):

@@ -120,6 +120,49 @@ def test_segments_give_the_plain_forward_recursion():
     assert np.allclose(hmm.log_likelihoods(model, codes), want)
 
 
+def plain_counts(model, x):
+    """Forward-backward over one whole sequence: (start, moves, emissions, log10 P)."""
+    k, v = len(model.start), len(model.emit)
+    alpha, beta, scale = np.zeros((len(x), k)), np.ones((len(x), k)), np.zeros(len(x))
+    for t, c in enumerate(x):
+        a = (alpha[t - 1] @ model.move if t else model.start) * model.emit[c]
+        scale[t] = a.sum()
+        alpha[t] = a / scale[t]
+    moves, emissions = np.zeros((k, k)), np.zeros((v, k))
+    for t in range(len(x) - 1, 0, -1):
+        right = model.emit[x[t]] * beta[t] / scale[t]
+        moves += np.outer(alpha[t - 1], right) * model.move
+        beta[t - 1] = model.move @ right
+    np.add.at(emissions, x, alpha * beta)
+    return alpha[0] * beta[0], moves, emissions, np.log10(scale).sum()
+
+
+def test_expected_counts_are_those_of_whole_sequences():
+    rng = np.random.default_rng(6)
+    k, v = 3, 11
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = hmm.Hmm(norm(rng.random(k), 0), norm(rng.random((k, k)) ** 4, 1), norm(rng.random((v, k)) ** 4, 0))
+    codes = [rng.integers(0, v, n) for n in (1, 2, 63, 64, 65, 128, 500)]
+    want = [sum(x) for x in zip(*(plain_counts(model, x) for x in codes))]
+    got = hmm.expected(model, codes, v)
+    assert math.isclose(got[0].sum(), len(codes), rel_tol=1e-4) and math.isclose(got[1].sum(), sum(map(len, codes)) - len(codes), rel_tol=1e-4)
+    assert all(np.allclose(g, w, rtol=1e-3, atol=1e-3) for g, w in zip(got, want))
+
+
+def test_language_model_is_fitted_until_it_settles(spark):
+    rng = np.random.default_rng(7)
+    codes = [np.concatenate([rng.integers(0, 9, 60), rng.integers(9, 18, 5_000)]).astype("<u2") for _ in range(6)]
+    prior = np.full(18, 1 / 18)
+    coded = spark.createDataFrame([(bytearray(x.tobytes()),) for x in codes], "codes binary").repartition(3)
+    model = hmm.fit(coded, prior)
+    now = hmm.log_likelihoods(model, codes).sum()
+    again, told = hmm.baum_welch_round(coded, model, prior)
+    assert math.isclose(told, now, rel_tol=1e-5)
+    assert abs(hmm.log_likelihoods(again, codes).sum() - now) <= hmm.SETTLED * abs(now)
+    # What follows the first 4,096 tokens counts, too.
+    assert now / sum(map(len, codes)) > -1.0
+
+
 def test_bpe_equals_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
 
