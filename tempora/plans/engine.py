@@ -24,8 +24,7 @@ class Engine:
         return documents.locations(documents.read_document(self.spark, self.path))
 
     def _store(self, rows: DataFrame) -> None:
-        kept = self.spark.createDataFrame(rows.toArrow(), LOCATIONS)  # read before the file is replaced; a document is one file
-        documents.write_document(kept, self.path)
+        documents.write_document(rows, self.path)  # the new file is whole before the old one, which ``rows`` read, is deleted
 
     def show_map(self, query: str | None = None, filter_year: int | None = None, location_id: str | None = None) -> DataFrame:
         """Locations with an event that matches; year and id are passed on for whoever draws the map."""

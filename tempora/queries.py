@@ -504,6 +504,13 @@ def _(s, d):
     return documents.locations(back).select("id", "name", F.size("events").cast("long").alias("n"))
 
 
+@_query("json_roundtrip_all", f"WITH {LOC}, {EVT} SELECT id, name, count(*) AS n FROM loc JOIN evt USING (loc_ord) GROUP BY ALL")
+def _(s, d):
+    rows = nested(s, d).withColumn("part", F.floor(F.col("loc_ord") / 1000))
+    back = documents.import_json(documents.export_json(documents.documents_of(rows, ["part"]))).filter("valid").select("document.*")
+    return documents.locations(back).select("id", "name", F.size("events").cast("long").alias("n"))
+
+
 def prose(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, text): for each order a sentence with its date in one of eight forms, and one without a date."""
     return _table(spark, d, "orders").select(

@@ -44,10 +44,15 @@ def locations(document: DataFrame) -> DataFrame:
 
 def document_of(rows: DataFrame, updated: Column | None = None, version: str = VERSION) -> DataFrame:
     """One document of location rows, in order. The document is one value, as its format asks."""
+    return documents_of(rows, [], updated, version)
+
+
+def documents_of(rows: DataFrame, keys: list[str], updated: Column | None = None, version: str = VERSION) -> DataFrame:
+    """One document of the location rows of each key, in order."""
     packed = F.struct("loc_ord", F.struct("id", "name", "coordinates", "events").alias("l"))
     stamp = updated if updated is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     listed = F.transform(F.sort_array(F.collect_list(packed)), lambda x: x["l"])
-    return rows.agg(listed.alias("locations")).select(F.lit(version).alias("version"), stamp.alias("lastUpdated"), "locations")
+    return rows.groupBy(*keys).agg(listed.alias("locations")).select(F.lit(version).alias("version"), stamp.alias("lastUpdated"), "locations")
 
 
 def write_document(rows: DataFrame, path: str, updated: Column | None = None) -> None:

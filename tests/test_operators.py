@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tempora.operators import edits, search, timeline
@@ -209,3 +210,20 @@ def test_defaults_and_edits(spark):
     assert [tuple(r) for r in edited.collect()] == [("a", "b", "c")]
     tags = spark.createDataFrame([(["a", "b", "c"],), (None,)], "tags array<string>")
     assert [r[0] for r in tags.select(timeline.shown_tags(F.col("tags"))).collect()] == [["a", "b"], None]
+
+
+def test_documents_of_each_key(spark):
+    rows = spark.createDataFrame([(i, str(i), f"n{i}", [0.0, 0.0], [], i // 4) for i in range(10)], "loc_ord int, id string, name string, coordinates array<double>, events " + LOCATIONS["events"].dataType.simpleString() + ", part int")
+    made = documents.documents_of(rows, ["part"])
+    assert sorted(len(r["locations"]) for r in made.collect()) == [2, 4, 4]
+    back = documents.locations(documents.import_json(documents.export_json(made)).filter("valid").select("document.*"))
+    assert sorted(int(r["id"]) for r in back.collect()) == list(range(10))
+
+
+def test_edits_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "map.json"))
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: pytest.fail("the table went to the driver"))
+    for i in range(3):
+        engine.upsert_location(spark.createDataFrame([(0, f"l{i}", f"n{i}", [1.0, 2.0], [])], LOCATIONS))
+    assert engine.delete_location("l1")
+    assert [r["id"] for r in engine.locations().orderBy("loc_ord").collect()] == ["l0", "l2"]
