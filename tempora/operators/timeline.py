@@ -109,6 +109,24 @@ def overlays_overlapping_each(ranges: DataFrame, overlays: DataFrame, width: int
     return met.filter((F.col("_d") == first) & (F.col("year_to") >= F.col("lo")) & (F.col("year_from") <= F.col("hi"))).drop("_d")
 
 
+def counted_in_overlay_years(events: DataFrame, overlays: DataFrame, year: str = "year") -> DataFrame:
+    """(id, n): for each overlay the events in its years, none left out; overlays without events are not listed.
+
+    Events are counted by year first, so the range join meets years with ranges of years.
+    """
+    counts = events.groupBy(F.col(year).alias("year")).agg(F.count("*").alias("_c"))
+    ranges = overlays.select("year_from", "year_to").distinct()
+    per = in_overlay_years(counts, ranges).groupBy("year_from", "year_to").agg(F.sum("_c").alias("n"))
+    return overlays.join(per, ["year_from", "year_to"]).select("id", "n")
+
+
+def overlapping_counts(ranges: DataFrame, overlays: DataFrame) -> DataFrame:
+    """``ranges`` (lo, hi) with ``n``, the overlays that each overlaps; those without are not listed. Counted as above."""
+    counts = overlays.groupBy("year_from", "year_to").agg(F.count("*").alias("_c"))
+    per = overlays_overlapping_each(ranges.select("lo", "hi").distinct(), counts).groupBy("lo", "hi").agg(F.sum("_c").alias("n"))
+    return ranges.join(per, ["lo", "hi"])
+
+
 def attribution(source: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in ATTRIBUTIONS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, source), F.lit(""))

@@ -253,6 +253,19 @@ def _(s, d):
     return timeline.overlays_overlapping_each(ranges, overlays(s, d).filter("z = 1")).groupBy("r").agg(F.count("*").alias("n"))
 
 
+@_query("overlay_event_range_join_all", f"WITH {EVT}, {OVL}, e AS (SELECT ty, count(DISTINCT loc_ord) AS c FROM evt WHERE ty IS NOT NULL GROUP BY ty) SELECT ovl.id, CAST(sum(c) AS BIGINT) AS n FROM e JOIN ovl ON ty BETWEEN year_from AND year_to GROUP BY ovl.id")
+def _(s, d):
+    own = events(s, d).select("loc_ord", dates.timeline_year(F.col("date")).alias("year")).filter("year is not null").distinct()
+    return timeline.counted_in_overlay_years(own, overlays(s, d))
+
+
+@_query("overlay_ranges_overlap_all", f"WITH {OVL}, r AS (SELECT s_suppkey AS r, CAST(1990 + s_suppkey % 12 AS INTEGER) AS lo, CAST(1990 + s_suppkey % 12 + s_suppkey % 3 AS INTEGER) AS hi FROM supplier), o AS (SELECT year_from, year_to, count(*) AS c FROM ovl GROUP BY ALL) SELECT r, CAST(sum(c) AS BIGINT) AS n FROM r JOIN o ON year_to >= lo AND year_from <= hi GROUP BY r")
+def _(s, d):
+    key = F.col("s_suppkey")
+    ranges = _table(s, d, "supplier").select(key.alias("r"), (1990 + key % 12).cast("int").alias("lo"), (1990 + key % 12 + key % 3).cast("int").alias("hi"))
+    return timeline.overlapping_counts(ranges, overlays(s, d)).select("r", "n")
+
+
 @_query("overlay_enabled_count", "SELECT count(*) FILTER (p_size % 2 = 0) AS enabled FROM part")
 def _(s, d):
     return timeline.enabled_count(_table(s, d, "part").select((F.col("p_size") % 2 == 0).alias("enabled")))

@@ -227,3 +227,16 @@ def test_edits_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
         engine.upsert_location(spark.createDataFrame([(0, f"l{i}", f"n{i}", [1.0, 2.0], [])], LOCATIONS))
     assert engine.delete_location("l1")
     assert [r["id"] for r in engine.locations().orderBy("loc_ord").collect()] == ["l0", "l2"]
+
+
+def test_range_joins_count_every_pair(spark):
+    years = [(i % 7, 1985 + i * 5 % 40) for i in range(60)]
+    spans = [(i, 1980 + i * 7 % 40, 1980 + i * 7 % 40 + i % 13, i % 9) for i in range(50)] + [(99, 2500, 2501, 1)]
+    ranges = [(i, 1990 + i % 12, 1990 + i % 12 + i % 3) for i in range(30)]
+    overlays = spark.createDataFrame(spans, "id int, year_from int, year_to int, z int")
+    got = timeline.counted_in_overlay_years(spark.createDataFrame(years, "loc_ord int, year int"), overlays).collect()
+    want = {i: n for i, a, b, _ in spans if (n := sum(a <= y <= b for _, y in years))}
+    assert sorted(map(tuple, got)) == sorted(want.items())
+    got = timeline.overlapping_counts(spark.createDataFrame(ranges, "r int, lo int, hi int"), overlays).select("r", "n").collect()
+    want = {i: n for i, lo, hi in ranges if (n := sum(b >= lo and a <= hi for _, a, b, _ in spans))}
+    assert sorted(map(tuple, got)) == sorted(want.items())
