@@ -29,7 +29,7 @@ from .common import crc_mod, written
 
 #: Labelled rows that the fit uses at most.
 SAMPLE_ROWS = 20_000
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 #: Partitions of the sample while the classifier is fitted; each sends a gradient in every step.
 FIT_PARTITIONS = 6
 #: Words mined from the labels, and the voters that they are dealt to.

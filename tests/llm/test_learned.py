@@ -50,6 +50,16 @@ def test_toxicity_learns_and_scores_every_row(spark):
     assert len(none) == len(rows) and {r["score"] for r in none} == {0.0}
 
 
+def test_toxicity_tells_words_apart(spark):
+    rng = random.Random(10)
+    rows = [(100 + i, prose(rng, WORDS, 20) + (" pathetic " if i % 3 == 0 else " ") + prose(rng, WORDS, 20)) for i in range(300)]
+    docs = frame(spark, rows)
+    model = toxicity.learn(docs, labels(spark, [(i, int((i - 100) % 3 == 0)) for i, _ in rows], "toxic"))
+    # The first word shares a bucket of 65,536 with the insult.
+    new = frame(spark, [(1, prose(rng, WORDS, 20) + " w1164746"), (2, prose(rng, WORDS, 20) + " pathetic")])
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(new, model).collect()} == {1: 0, 2: 1}
+
+
 def test_quality_learns_and_keeps_good(spark):
     rng = random.Random(2)
     rows, marks = list(ODD), [(4, None)]
