@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -49,24 +49,32 @@ def rate_limited(requests: DataFrame, keys: list[str], most: int, window_ms: int
     return ordered.mapInPandas(run, f"{kinds}, admitted boolean").select(*names, "admitted")
 
 
-def rate_limited_stream(requests: DataFrame, most: int, window_ms: int) -> DataFrame:
-    """(key, ts_ms, admitted) of a stream of (key string, ts_ms long); a key's state expires with its window."""
+def rate_limited_stream(requests: DataFrame, most: int, window_ms: int, late_ms: int = 60_000) -> DataFrame:
+    """(key, ts_ms, admitted) of a stream of (key string, ts_ms long), by the requests' own times.
+
+    A micro-batch's requests of a key are taken in the order of their times, so a group's times, eight bytes each, are
+    held at once; the trigger bounds a batch. Between batches a key keeps its last ``most`` admissions at most, and
+    drops them once the watermark has passed their window. Requests that come more than ``late_ms`` behind the newest
+    of earlier batches are dropped; a late request within that is judged by the admissions known when it comes.
+    """
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        times = json.loads(state.get[0]) if state.exists else []
-        for frame in frames:
-            out = []
-            for now in sorted(frame["ts_ms"]):
-                ok, times = _admit(times, int(now), most, window_ms)
-                out.append((key[0], int(now), ok))
-            yield pd.DataFrame(out, columns=["key", "ts_ms", "admitted"])
-        state.update((json.dumps(times),))
-        state.setTimeoutDuration(max(window_ms, 1))
+        times = list(state.get[0]) if state.exists else []
+        asked = np.sort(np.concatenate([frame["ts_ms"].to_numpy(np.int64) for frame in frames]))
+        asked = asked[asked > state.getCurrentWatermarkMs()]  # Spark's own filter lags behind by a batch
+        out = []
+        for now in asked.tolist():
+            ok, times = _admit(times, now, most, window_ms)
+            out.append(ok)
+        state.update((times,))
+        state.setTimeoutTimestamp(max(max(times, default=0) + window_ms, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"key": key[0], "ts_ms": asked, "admitted": out})
 
-    return requests.groupBy("key").applyInPandasWithState(step, "key string, ts_ms long, admitted boolean", "times string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withColumn("_ts", F.timestamp_millis("ts_ms")).withWatermark("_ts", f"{late_ms} milliseconds")
+    return timed.groupBy("key").applyInPandasWithState(step, "key string, ts_ms long, admitted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_points(acks: DataFrame, user: str, event: str, time: str) -> DataFrame:
@@ -95,14 +103,30 @@ def changed_snapshots(polls: DataFrame, by: list[str], time: str, value: str) ->
     return polls.withColumn("_b", before).withColumn("_n", n).filter((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_b"))).drop("_b", "_n")
 
 
-def on_change(act):
-    """A function for ``foreachBatch`` that calls ``act`` with the newest (poll_ts, lastUpdated) when the latter is new."""
-    seen = {"value": object()}
+def on_change(act, store: str | None = None):
+    """A function for ``foreachBatch`` that calls ``act`` with the newest (poll_ts, lastUpdated) when the latter is new.
+
+    ``store`` names a table for the last value, so that a query that starts anew does not act on it again; ``act`` comes
+    before the value is stored, so a value may come twice after a failure, but none is lost.
+    """
+    seen: dict = {}
+
+    def last(spark):
+        if not seen:
+            seen["value"] = object()
+            if store:
+                try:
+                    seen["value"] = spark.read.schema("value string").parquet(store).first()[0]
+                except (AnalysisException, TypeError):  # nothing stored yet
+                    pass
+        return seen["value"]
 
     def each(batch: DataFrame, _epoch: int) -> None:
         newest = batch.agg(F.max_by("lastUpdated", "poll_ts").alias("v"), F.count("*").alias("n")).first()
-        if newest["n"] and newest["v"] != seen["value"]:
-            seen["value"] = newest["v"]
+        if newest["n"] and newest["v"] != last(batch.sparkSession):
             act(newest["v"])
+            seen["value"] = newest["v"]
+            if store:
+                batch.sparkSession.createDataFrame([(newest["v"],)], "value string").coalesce(1).write.mode("overwrite").parquet(store)
 
     return each

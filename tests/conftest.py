@@ -1,9 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+TOP = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, TOP)
+# Python's workers find the package from here, whatever folder the tests are started in.
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (TOP, os.environ.get("PYTHONPATH")) if x)
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,13 +122,49 @@ def test_limiter(spark):
     assert [r.admitted for r in got.filter("key = 'k'").orderBy("seq").collect()] == [True, True, True, False, True, False]
 
 
+def streamed(frame, name, tmp_path):
+    """Rows of a streaming frame after all files have been taken, one file a batch."""
+    q = frame.writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"cp-{name}")).start()
+    try:
+        assert q.awaitTermination(120), "the stream does not end"
+    finally:
+        q.stop()
+    return frame.sparkSession.table(name)
+
+
+def requests(spark, tmp_path, *batches):
+    """A stream with one file for each batch of (key, seconds)."""
+    for n, rows in enumerate(batches):
+        made = spark.createDataFrame([(k, 1_000_000_000 + t * 1000) for k, t in rows], "key string, ts_ms long")
+        made.coalesce(1).write.parquet(str(tmp_path / f"in/b{n}"))
+        (part,) = (tmp_path / f"in/b{n}").glob("*.parquet")
+        os.utime(part, (1_700_000_000 + n, 1_700_000_000 + n))
+    return spark.readStream.schema("key string, ts_ms long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+
+
+def admitted(rows, key="k"):
+    return [(int(r.ts_ms - 1_000_000_000) // 1000, r.admitted) for r in rows.filter(F.col("key") == key).orderBy("ts_ms").collect()]
+
+
 def test_limiter_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("k", t * 1000) for t in [0, 10, 20, 30, 60, 61]], "key string, ts_ms long")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key string, ts_ms long").parquet(str(tmp_path / "in"))
-    q = state.rate_limited_stream(stream, 3, 60_000).writeStream.format("memory").queryName("limited").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination()
-    assert [r.admitted for r in spark.sql("select * from limited order by ts_ms").collect()] == [True, True, True, False, True, False]
+    stream = requests(spark, tmp_path, [("k", t) for t in (30, 0, 20, 10)] + [("other", 5)], [("k", 61), ("k", 60)])
+    got = streamed(state.rate_limited_stream(stream, 3, 60_000), "limited", tmp_path)
+    assert admitted(got) == [(0, True), (10, True), (20, True), (30, False), (60, True), (61, False)]
+    assert admitted(got, "other") == [(5, True)]
+
+
+def test_limiter_stream_takes_late_requests_within_the_watermark_and_forgets_by_event_time(spark, tmp_path):
+    batches = [("k", 100), ("k", 101)], [("k", 95), ("k", 10)], [("k", 500)], [("k", 501), ("k", 380)], [("k", 502)]
+    got = streamed(state.rate_limited_stream(requests(spark, tmp_path, *batches), 2, 60_000, 30_000), "late", tmp_path)
+    # 95 comes late but in time, and finds two admissions; 10 and 380 are too late; 100 and 101 are forgotten by 500.
+    assert admitted(got) == [(95, False), (100, True), (101, True), (500, True), (501, True), (502, False)]
+
+
+def test_limiter_stream_of_one_hot_key_equals_the_batch(spark, tmp_path):
+    times = [(7919 * i) % 30_000 for i in range(30_000)]
+    got = streamed(state.rate_limited_stream(requests(spark, tmp_path, [("k", t) for t in times]), 10, 60_000), "hot", tmp_path)
+    rows = spark.createDataFrame([("k", 1_000_000_000 + t * 1000, t) for t in times], "key string, ts_ms long, seq long")
+    assert admitted(got) == admitted(state.rate_limited(rows, ["key"], 10, 60_000))
 
 
 def test_acknowledgements(spark):
@@ -139,9 +176,7 @@ def test_acknowledgements(spark):
 def test_acknowledgement_stream(spark, tmp_path):
     spark.createDataFrame([("u", "e1"), ("u", "e1"), ("u", "e2")], "user string, event string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user string, event string").parquet(str(tmp_path / "in"))
-    q = state.first_acks_stream(stream).writeStream.format("memory").queryName("acks").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination()
-    assert spark.sql("select sum(points) from acks").first()[0] == 20
+    assert streamed(state.first_acks_stream(stream), "acks", tmp_path).agg(F.sum("points")).first()[0] == 20
 
 
 def test_snapshots(spark):
@@ -154,6 +189,15 @@ def test_snapshots(spark):
     assert seen == ["a", "b"]
 
 
+def test_changes_are_remembered_by_a_query_that_starts_anew(spark, tmp_path):
+    seen, store = [], str(tmp_path / "last")
+    for values in (["a", "b"], ["b", "b", "c"], ["c"]):
+        each = state.on_change(seen.append, store)
+        for v in values:
+            each(spark.createDataFrame([(1, v)], "poll_ts int, lastUpdated string"), 0)
+    assert seen == ["a", "b", "c"]
+
+
 def test_documents(spark, tmp_path):
     path = str(tmp_path / "map.json")
     assert documents.locations(documents.read_document(spark, path)).count() == 0
