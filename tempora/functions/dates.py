@@ -2,69 +2,87 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITE
+from .text import PY_WHITE, WHITE
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 SHORT = [m[:3] for m in MONTHS]
 
 _NAMES, _ABBREVIATED = "|".join(MONTHS), "|".join(SHORT)
+_NUMBER = {m.lower(): f"{i + 1:02d}" for i, m in enumerate(SHORT)}
 
 # Fixed values: (pattern, confidence, order of the parts in its groups). Where two match at one place the first counts.
 PATTERNS = [
     (r"(\d{4})-(\d{2})-(\d{2})", 1.0, "ymd"),
-    (rf"(?i)({_NAMES}){WHITE}+(\d{{1,2}}),?{WHITE}+(\d{{4}})", 0.95, "Mdy"),
-    (rf"(?i)({_ABBREVIATED})\.?{WHITE}+(\d{{1,2}}),?{WHITE}+(\d{{4}})", 0.9, "Mdy"),
+    (rf"(?i)({_NAMES}){PY_WHITE}+(\d{{1,2}}),?{PY_WHITE}+(\d{{4}})", 0.95, "Mdy"),
+    (rf"(?i)({_ABBREVIATED})\.?{PY_WHITE}+(\d{{1,2}}),?{PY_WHITE}+(\d{{4}})", 0.9, "Mdy"),
     (r"(\d{1,2})/(\d{1,2})/(\d{4})", 0.85, "mdy"),
     (r"(\d{1,2})[-.](\d{1,2})[-.](\d{4})", 0.8, "dmy"),
-    (rf"(?i)({_NAMES}){WHITE}+(\d{{4}})", 0.7, "My"),
-    (rf"(?i)(?:in|during|around|circa|c\.){WHITE}+(\d{{4}})", 0.5, "y"),
+    (rf"(?i)({_NAMES}){PY_WHITE}+(\d{{4}})", 0.7, "My"),
+    (rf"(?i)(?:in|during|around|circa|c\.){PY_WHITE}+(\d{{4}})", 0.5, "y"),
     (r"(?<![A-Za-z0-9_])(1[0-9]{3}|20[0-2][0-9])(?![A-Za-z0-9_])", 0.3, "y"),
 ]
 
 
 def month_number(name: Column) -> Column:
     """Two digits for an English month's name or its first three letters; null for other text."""
-    table = F.create_map(*[F.lit(x) for i, m in enumerate(SHORT) for x in (m.lower(), f"{i + 1:02d}")])
+    table = F.create_map(*[F.lit(x) for pair in _NUMBER.items() for x in pair])
     return F.try_element_at(table, F.lower(F.substring(name, 1, 3)))
 
 
-def _iso(raw: Column, pattern: str, parts: str) -> Column:
+MATCH = "index int, priority int, raw string, normalized string, confidence double"
+_MATCH = pa.struct([("index", pa.int32()), ("priority", pa.int32()), ("raw", pa.string()), ("normalized", pa.string()), ("confidence", pa.float64())])
+
+
+def _iso(groups: tuple[str, ...], parts: str) -> str:
     """Year, month and day of a match, padded and joined by hyphens."""
     out = []
     for part in "ymd":
         at = parts.lower().find(part)
-        if at < 0:
-            continue
-        value = F.regexp_extract(raw, pattern, at + 1)
-        out.append(value if part == "y" else month_number(value) if parts[at] == "M" else F.lpad(value, 2, "0"))
-    return F.concat_ws("-", *out)
-
-
-def _found(text: Column, number: int) -> Column:
-    """All matches of one pattern: array of (index, priority, raw, normalized, confidence)."""
-    pattern, confidence, parts = PATTERNS[number]
-    # Outside its context a year has no neighbours to look at, so the groups are read without the look-arounds.
-    bare = pattern.replace("(?<![A-Za-z0-9_])", "").replace("(?![A-Za-z0-9_])", "")
-    raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(raws, F.length)
-    # The k-th match begins behind k + 1 gaps and k matches.
-    begin = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-    return F.transform(
-        raws,
-        lambda raw, i: F.struct(
-            begin(i).alias("index"), F.lit(number).alias("priority"), raw.alias("raw"), _iso(raw, bare, parts).alias("normalized"), F.lit(confidence).alias("confidence")
-        ),
-    )
+        if at >= 0:
+            out.append(groups[at] if part == "y" else _NUMBER[groups[at][:3].lower()] if parts[at] == "M" else groups[at].rjust(2, "0"))
+    return "-".join(out)
+
+
+@cache
+def _compiled() -> list[re.Pattern]:
+    return [re.compile(pattern, re.ASCII) for pattern, _, _ in PATTERNS]
+
+
+def _dates(text: str) -> dict[int, tuple]:
+    """Place to (priority, match, parts, confidence): of the patterns that match at a place the first."""
+    found: dict[int, tuple] = {}
+    for n, (pattern, (_, confidence, parts)) in enumerate(zip(_compiled(), PATTERNS)):
+        for m in pattern.finditer(text):
+            found.setdefault(m.start(), (n, m, parts, confidence))
+    return found
 
 
 def date_matches(text: Column) -> Column:
-    """Dates in a text by place: array of (index, priority, raw, normalized, confidence), one for each place."""
-    everything = F.array_sort(F.concat(*[_found(text, i) for i in range(len(PATTERNS))]))
-    return F.filter(everything, lambda x, i: (i == 0) | (F.get(everything, i - 1)["index"] != x["index"]))
+    """Dates in a text by place: array of (index, priority, raw, normalized, confidence), one for each place.
+
+    Every pattern scans a text once, by batches in Python: regular expressions of Spark SQL do not tell where they
+    match, and to add up the lengths of what lies between costs the square of the number of matches. Null has none.
+    """
+
+    @F.arrow_udf(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>")
+    def run(texts: pa.Array) -> pa.Array:
+        ends, columns = [0], ([], [], [], [], [])
+        for x in texts.to_pylist():
+            for at, (n, m, parts, confidence) in sorted(_dates(x).items()) if x else ():
+                for column, value in zip(columns, (at, n, m.group(), _iso(m.groups(), parts), confidence)):
+                    column.append(value)
+            ends.append(len(columns[0]))
+        made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCH)], fields=list(_MATCH))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+
+    return run(text)
 
 
 def parse_to_iso(text: Column) -> Column:

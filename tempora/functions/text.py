@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same for Python's regular expressions, and its characters.
+PY_WHITE = re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", WHITE)
+_SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(PY_WHITE, c))
 #: The title of an event whose sentence has nothing but its date.
 NO_TITLE = "Historical Event"
 
@@ -33,18 +40,36 @@ def or_default(column: Column, default) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(default) if isinstance(default, str) else default)
 
 
-def sentence_at(text: Column, index: Column) -> Column:
-    """The sentence around a place: from behind the last of ``.!?`` before it to the first at or after it.
+def _sentences(text: str, places: list[int]) -> list[str]:
+    stops = [m.start() for m in re.finditer("[.!?]", text)]
+    out = []
+    for at in places:
+        n = bisect_left(stops, at)
+        start = stops[n - 1] + 1 if n else 0
+        end = stops[n] + 1 if n < len(stops) else len(text)
+        whole = text[start:end].strip(_SPACES)
+        out.append(text[max(at - 100, 0) : at + 200].strip(_SPACES) + "..." if len(whole) > 300 else whole)
+    return out
+
 
-    Longer than 300 characters, it is the stretch from 100 before to 200 behind the place, with dots.
+def sentences_at(text: Column, places: Column) -> Column:
+    """The sentences around places of a text: from behind the last of ``.!?`` before one to the first at or after it.
+
+    Longer than 300 characters, one is the stretch from 100 before to 200 behind its place, with dots. Stops are looked
+    for once in a text, by batches in Python: expressions on arrays would scan the text for every place.
     """
-    start = F.length(F.regexp_extract(F.substring(text, F.lit(1), index), r"(?s)^(.*[.!?])", 1))
-    stop = F.regexp_instr(F.substring(text, index + 1, F.length(text)), F.lit(r"[.!?]"))
-    end = F.when(stop > 0, index + stop).otherwise(F.length(text))
-    whole = trimmed(F.substring(text, start + 1, end - start))
-    begin = F.greatest(index - 100, F.lit(0))
-    around = F.concat(trimmed(F.substring(text, begin + 1, F.least(index + 200, F.length(text)) - begin)), F.lit("..."))
-    return F.when(F.length(whole) > 300, around).otherwise(whole)
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, places: pa.Array) -> pa.Array:
+        found = zip(texts.to_pylist(), places.to_pylist())
+        return pa.array([None if t is None or p is None else _sentences(t, p) for t, p in found], pa.list_(pa.string()))
+
+    return run(text, places)
+
+
+def sentence_at(text: Column, index: Column) -> Column:
+    """The sentence around one place."""
+    return F.get(sentences_at(text, F.array(index)), F.lit(0))
 
 
 def title_of(sentence: Column, raw_date: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_matches, parse_to_iso, sort_date_or_epoch
-from ..functions.text import WHITE, field_of, or_default, sentence_at, stable_id, title_of, trimmed
+from ..functions.text import WHITE, field_of, or_default, sentences_at, stable_id, title_of, trimmed
 
 LEAST_CONFIDENCE = 0.5
 COLUMNS = ["doc_id", "rank", "id", "title", "description", "date", "confidence", "sourceText"]
@@ -36,18 +36,23 @@ def _ranked(docs: DataFrame, events: Column) -> DataFrame:
     return rows.select("doc_id", F.col("rank"), made.alias("id"), *[event(c).alias(c) for c in COLUMNS[3:]])
 
 
-def _once(items: Column, key: Callable[[Column], Column]) -> Column:
-    """The first item of each key."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+def _once(items: Column, key: Callable[[Column], Column], always: Callable[[Column], Column] | None = None) -> Column:
+    """The first item of each key, in their order, and those that ``always`` keeps, which take their keys first.
+
+    By one sort: comparing each item with all keys before it costs the square of their number.
+    """
+    late = (lambda x: ~always(x)) if always else (lambda x: F.lit(True))
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), late(x).alias("late"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit(None)), keyed)  # the item that was sorted before each; one more than there are items
+    first = F.zip_with(keyed, before, lambda a, b: F.when(a.isNotNull() & (b.isNull() | ~a["late"] | (a["k"] != b["k"])), F.struct(a["i"].alias("i"), a["x"].alias("x"))))
+    return F.transform(F.array_sort(F.filter(first, lambda y: y.isNotNull())), lambda y: y["x"])
 
 
 def parse_regex(docs: DataFrame) -> DataFrame:
     """One event for each sentence with a date that is sure enough; the sentence is its description."""
-    text = F.col("text")
-    sure = F.filter(date_matches(text), lambda m: m["confidence"] >= LEAST_CONFIDENCE)
-    sentences = F.transform(sure, lambda m: F.struct(m.alias("m"), sentence_at(text, m["index"]).alias("s")))
-    rows = docs.select("doc_id", "text", _once_key(sentences).alias("found"))
+    sure = docs.select("doc_id", "text", F.filter(date_matches(F.col("text")), lambda m: m["confidence"] >= LEAST_CONFIDENCE).alias("m"))
+    sure = sure.filter(F.size("m") > 0).withColumn("s", sentences_at(F.col("text"), F.transform("m", lambda m: m["index"]))).drop("text")
+    rows = sure.select("doc_id", _once(F.arrays_zip("m", "s"), lambda x: F.substring(x["s"], 1, 100)).alias("found"))
     events = F.transform(
         "found",
         lambda x: F.struct(
@@ -61,10 +66,6 @@ def parse_regex(docs: DataFrame) -> DataFrame:
     return _ranked(rows, events)
 
 
-def _once_key(sentences: Column) -> Column:
-    return _once(sentences, lambda x: F.substring(x["s"], 1, 100))
-
-
 def _record(title: Column, date: Column, description: Column, source: Column) -> Column:
     return F.struct(
         title.alias("title"), or_default(description, title).alias("description"), parse_to_iso(date).alias("date"), F.lit(1.0).alias("confidence"), source.alias("sourceText")
@@ -76,9 +77,10 @@ def _valid(records: Column) -> Column:
 
 
 def block_events(text: Column) -> Column:
-    """Events of blocks of several lines."""
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(BLOCK), F.lit(i)).alias(f"p{i}") for i in range(4)])
-    return _valid(F.transform(parts, lambda p: _record(trimmed(p["p1"]), trimmed(p["p2"]), trimmed(p["p3"]), trimmed(p["p0"]))))
+    """Events of blocks of several lines. Texts without a line that begins with a date's key are not searched for blocks."""
+    blocks = F.when(text.rlike(r"(?i)[\n\r]DATE:"), F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    part = lambda block, i: trimmed(F.regexp_extract(block, BLOCK, i))
+    return _valid(F.transform(blocks, lambda x: _record(part(x, 1), part(x, 2), part(x, 3), trimmed(x))))
 
 
 def line_events(text: Column) -> Column:
@@ -94,9 +96,10 @@ def line_events(text: Column) -> Column:
 
 def parse_structured(docs: DataFrame) -> DataFrame:
     """Events of blocks, then of single lines whose title has not been seen."""
-    rows = docs.select("doc_id", block_events(F.col("text")).alias("blocks"), _once(line_events(F.col("text")), lambda r: r["title"]).alias("lines"))
-    titles = F.transform("blocks", lambda r: r["title"])
-    return _ranked(rows, F.concat("blocks", F.filter("lines", lambda r: ~F.array_contains(titles, r["title"]))))
+    kept = lambda records, is_block: F.transform(records, lambda r: F.struct(F.lit(is_block).alias("block"), r.alias("r")))
+    both = docs.select("doc_id", F.concat(kept(block_events(F.col("text")), True), kept(line_events(F.col("text")), False)).alias("found"))
+    once = both.select("doc_id", _once(F.col("found"), lambda x: x["r"]["title"], lambda x: x["block"]).alias("found"))
+    return _ranked(once, F.transform("found", lambda x: x["r"]))
 
 
 Parser = Callable[[DataFrame], DataFrame]
