@@ -3,8 +3,9 @@
 Words are counted over the whole training part. The most frequent words are classes of their own, all others share
 classes by their last bytes, and the end of a text is a class. A hidden Markov model over classes is trained by
 Baum-Welch from a seeded random model: in every round each partition computes the expected counts of its whole texts,
-the counts are summed by Spark, the driver normalises them, until the likelihood of all training texts settles. The score of a text is the exact likelihood of its whole sequence of classes by the scaled forward
-recursion, times the probability of each word within its class.
+the counts are summed by Spark in a tree of partial sums, the driver normalises them, until the likelihood of all
+training texts settles. The score of a text is the exact likelihood of its whole sequence of classes by the scaled
+forward recursion, times the probability of each word within its class.
 
 Long sequences are split into segments whose K x K transfer matrices are computed side by side and then multiplied
 in order, which equals the plain recursion. Training does the same in both directions, so that forward and backward
@@ -22,9 +23,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,9 @@ SETTLED, LEAST_ROUNDS = 1e-4, 5
 #: Words with a class of their own; words whose counts are broadcast; the longest word among them, in bytes.
 OWN_CLASS, KNOWN, LONGEST = 60_000, 200_000, 64
 SHAPES = 255
-HELD, CHUNK, SLICE = 300_000, 400_000, 256
+HELD, CHUNK, SLICE = 300_000, 200_000, 4096
+#: Partial counts that are added up by one task.
+FAN_IN = 16
 END = b""
 
 
@@ -72,7 +77,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    known: dict[bytes, tuple[int, float]]  # word to class and log10(count + 0.1)
+    known: dict[bytes, int]  # word to its place in the next two
+    classes: np.ndarray
+    logs: np.ndarray  # log10(count + 0.1)
     mass: np.ndarray  # for each class: the counts of its words plus 0.1 for each
     total: float  # all counts plus 0.1 for each word and 0.1 for the unknown
     train_tokens: int
@@ -84,11 +91,15 @@ class Vocabulary:
     def encode(self, text: str):
         """(classes, log10 of counts of the known words, how many these are, the other words)."""
         words = tokens(text)
-        get, first = self.known.get, self.n_classes - SHAPES
-        found = [get(w) for w in words]
-        other = [w for w, f in zip(words, found) if f is None]
-        codes = np.array([f[0] if f else first + shape(w) for f, w in zip(found, words)], "<u2")
-        return codes, sum([f[1] for f in found if f]), len(words) - len(other), other
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(at < 0)
+        codes = np.zeros(len(words), "<u2")
+        inside = at if not len(new) else at[at >= 0]
+        other = [words[i] for i in new.tolist()]
+        codes[at >= 0] = self.classes[inside]
+        if other:
+            codes[new] = [self.n_classes - SHAPES + shape(w) for w in other]
+        return codes, float(self.logs[inside].sum()), len(inside), other
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -104,9 +115,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for w, c in own:
         shapes[shape(w)] -= c + 0.1
     first = len(own)
-    known = {w: (i if i < first else first + shape(w), float(np.log10(c + 0.1))) for i, (w, c) in enumerate(zip(words, ns))}
+    classes = np.array([i if i < first else first + shape(w) for i, w in enumerate(words)], "<u2")
     mass = np.concatenate([[c + 0.1 for _, c in own], np.maximum(shapes, 0.1 / SHAPES)])
-    return Vocabulary(known, mass, n + 0.1 * (v + 1), n)
+    return Vocabulary({w: i for i, w in enumerate(words)}, classes, np.log10(ns + 0.1), mass, n + 0.1 * (v + 1), n)
 
 
 @dataclass
@@ -130,86 +141,107 @@ def _windows(codes: list[np.ndarray], size: int = SEGMENT):
     return flat[np.minimum(at, len(flat) - 1)], length[order], owner[order], index[order]
 
 
-def _transfers(model: Hmm, grid: np.ndarray, length: np.ndarray, first: np.ndarray):
-    """K x K matrices that carry forward probabilities over each window, scaled, and log10 of the scales."""
-    k, s = len(model.start), len(grid)
-    at = np.where(first[:, None, None], np.eye(k), model.move)
-    at = at * model.emit[grid[:, 0]][:, None, :]
-    logs = np.zeros(s)
-    for t in range(1, grid.shape[1]):
-        n = int((length > t).sum())
+def _emissions(model: Hmm, grid: np.ndarray, kind) -> list[np.ndarray]:
+    """For each place in the windows the K x windows probabilities of the classes there."""
+    emit = np.ascontiguousarray(model.emit.T, kind)
+    return [emit.take(own, axis=1) for own in np.ascontiguousarray(grid.T)]
+
+
+def _transfers(model: Hmm, seen: list[np.ndarray], n_at: list[int], first: np.ndarray):
+    """K x K x windows: what carries forward probabilities (second axis: before the window, first: at its last token)
+    over each window, scaled, and log10 of the scales. ``seen``: see ``_emissions``, whose precision is used."""
+    k, kind = len(model.start), seen[0].dtype
+    move = np.ascontiguousarray(model.move.T, kind)
+    at = np.where(first, np.eye(k, dtype=kind)[:, :, None], move[:, :, None]) * seen[0][:, None, :]
+    logs = np.zeros(len(first))
+    live = at  # the windows that have not ended, side by side
+    for t in range(1, len(seen)):
+        n = n_at[t]
         if not n:
             break
-        at[:n] = (at[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[grid[:n, t]][:, None, :]
-        if t % 8 == 0:
-            top = at[:n].max(axis=(1, 2))
-            at[:n] /= top[:, None, None]
+        if n < live.shape[2]:
+            at[:, :, n : live.shape[2]] = live[:, :, n:]
+            live = np.ascontiguousarray(live[:, :, :n])
+        live = (move @ live.reshape(k, -1)).reshape(k, k, n)
+        live *= seen[t][:, None, :n]
+        if t % 4 == 0:
+            top = live.max(axis=(0, 1))
+            live /= top
             logs[:n] += np.log10(top)
+    at[:, :, : live.shape[2]] = live
     return at, logs
 
 
-def _edges(model: Hmm, grid: np.ndarray, length: np.ndarray, owner: np.ndarray, index: np.ndarray):
-    """For each window the scaled forward probabilities just before it and the backward ones at its last token."""
-    k = len(model.start)
-    before, behind = np.ones((len(grid), k)), np.ones((len(grid), k))
+def _edges(model: Hmm, seen: list[np.ndarray], length: np.ndarray, owner: np.ndarray, index: np.ndarray):
+    """K x windows: the scaled forward probabilities just before each window and the backward ones at its last token."""
+    k, kind = len(model.start), seen[0].dtype
+    before, behind = np.ones((k, len(owner)), kind), np.ones((k, len(owner)), kind)
     many = np.flatnonzero(np.bincount(owner)[owner] > 1)
     if not len(many):
         return before, behind
-    at, _ = _transfers(model, grid[many], length[many], index[many] == 0)
+    own_length = length[many]
+    n_at = [int((own_length > t).sum()) for t in range(len(seen))]
+    at, _ = _transfers(model, [x[:, many] for x in seen], n_at, index[many] == 0)
     by = np.argsort(index[many], kind="stable")
     levels = np.split(by, np.cumsum(np.bincount(index[many]))[:-1])
-    now = np.tile(model.start, (owner.max() + 1, 1))
+    now = np.repeat(model.start.astype(kind)[:, None], owner.max() + 1, axis=1)
     for level in levels:
         own = owner[many[level]]
-        before[many[level]] = now[own]
-        step = (now[own, None, :] @ at[level])[:, 0]
-        now[own] = step / step.sum(axis=1, keepdims=True)
-    now = np.ones((owner.max() + 1, k))
+        before[:, many[level]] = now[:, own]
+        step = (at[:, :, level] * now[None, :, own]).sum(axis=1)
+        now[:, own] = step / step.sum(axis=0)
+    now = np.ones((k, owner.max() + 1), kind)
     for level in levels[::-1]:
         own = owner[many[level]]
-        behind[many[level]] = now[own]
-        step = (at[level] @ now[own, :, None])[:, :, 0]
-        now[own] = step / step.sum(axis=1, keepdims=True)
+        behind[:, many[level]] = now[:, own]
+        step = (at[:, :, level] * now[:, None, own]).sum(axis=0)
+        now[:, own] = step / step.sum(axis=0)
     return before, behind
 
 
 def expected(model: Hmm, codes: list[np.ndarray], n_classes: int):
-    """Baum-Welch counts of whole sequences: (start K, moves K x K, emissions classes x K), and log10 P of all."""
+    """Baum-Welch counts of whole sequences: (start K, moves K x K, emissions classes x K), and log10 P of all.
+
+    States are the first axis, so that all arithmetic runs along windows.
+    """
     grid, length, owner, index = _windows(codes)
     size = grid.shape[1]
     n_at = [int((length > t).sum()) for t in range(size)]
-    s, k = len(grid), len(model.start)
-    alpha, scale = np.zeros((size, s, k), np.float32), np.ones((size, s), np.float32)
-    b = model.emit.astype(np.float32)
-    move = model.move.astype(np.float32)
-    before, behind = _edges(model, grid, length, owner, index)
+    s, k, kind = len(grid), len(model.start), np.float32
+    seen = _emissions(model, grid, kind)
+    move = model.move.astype(kind)
+    onward = np.ascontiguousarray(move.T)
+    before, behind = _edges(model, seen, length, owner, index)
     inner = index > 0
+    alpha, scale = np.zeros((size, k, s), kind), np.ones((size, s), kind)
     for t in range(size):
         n = n_at[t]
         if not n:
             break
-        a = (np.where(inner[:, None], before @ model.move, model.start).astype(np.float32) if t == 0 else alpha[t - 1, :n] @ move) * b[grid[:n, t]]
-        scale[t, :n] = a.sum(axis=1)
-        alpha[t, :n] = a / scale[t, :n, None]
+        a = onward @ alpha[t - 1, :, :n] if t else np.where(inner, onward @ before, model.start.astype(kind)[:, None])
+        a *= seen[t][:, :n]
+        np.sum(a, axis=0, out=scale[t, :n])
+        np.divide(a, scale[t, :n], out=alpha[t, :, :n])
     # Scaled so that the probabilities of the states at a token sum to 1.
-    beta = (behind / (alpha[length - 1, np.arange(s)] * behind).sum(axis=1, keepdims=True)).astype(np.float32)
+    last = alpha[length - 1, :, np.arange(s)].T
+    beta = behind / (last * behind).sum(axis=0)
     moves = np.zeros((k, k))
     for t in range(size - 1, -1, -1):
         n = n_at[t]
         if not n:
             continue
-        gamma = alpha[t, :n] * beta[:n]
-        right = b[grid[:n, t]] * beta[:n] / scale[t, :n, None]
+        right = seen[t][:, :n] * beta[:, :n]
+        right /= scale[t, :n]
+        alpha[t, :, :n] *= beta[:, :n]
         if t:
-            moves += alpha[t - 1, :n].T.astype(float) @ right
-            beta[:n] = right @ move.T
+            # The earlier token's forward probabilities; its own product with ``beta`` comes in the next step.
+            moves += alpha[t - 1, :, :n] @ right.T
+            beta[:, :n] = move @ right
         else:
-            moves += before[inner].T @ right[inner]
-        alpha[t, :n] = gamma
-    mask = np.arange(size)[:, None] < length
-    classes, gammas = grid.T[mask], alpha[mask]
-    emissions = np.stack([np.bincount(classes, weights=gammas[:, i], minlength=n_classes) for i in range(k)], axis=1)
-    return alpha[0][~inner].sum(axis=0), moves * model.move, emissions, float(np.log10(scale, dtype=float).sum())
+            moves += before[:, inner] @ right[:, inner].T
+    classes = np.ascontiguousarray(grid.T).ravel()  # places behind a window's end weigh nothing
+    emissions = np.stack([np.bincount(classes, weights=alpha[:, i].ravel(), minlength=n_classes) for i in range(k)], axis=1)
+    return alpha[0][:, ~inner].sum(axis=1), moves * model.move, emissions, float(np.log10(scale, dtype=float).sum())
 
 
 def normalised(start, moves, emissions, prior: np.ndarray) -> Hmm:
@@ -231,15 +263,16 @@ def starting_point(prior: np.ndarray, states: int = STATES) -> Hmm:
 def log_likelihoods(model: Hmm, codes: list[np.ndarray]) -> np.ndarray:
     """log10 P of each whole sequence."""
     grid, length, owner, index = _windows(codes)
-    at, logs = _transfers(model, grid, length, index == 0)
-    order = np.lexsort((index, owner))
-    out, now = np.zeros(len(codes)), None
-    for i in order.tolist():
-        o = owner[i]
-        now = (model.start if index[i] == 0 else now) @ at[i]
-        top = now.sum()
-        now = now / top
-        out[o] += logs[i] + np.log10(top)
+    n_at = [int((length > t).sum()) for t in range(grid.shape[1])]
+    at, logs = _transfers(model, _emissions(model, grid, np.float64), n_at, index == 0)
+    out, now = np.zeros(len(codes)), np.repeat(model.start[:, None], len(codes), axis=1)
+    by = np.argsort(index, kind="stable")
+    for level in np.split(by, np.cumsum(np.bincount(index))[:-1]):
+        own = owner[level]
+        step = (at[:, :, level] * now[None, :, own]).sum(axis=1)
+        top = step.sum(axis=0)
+        now[:, own] = step / top
+        out[own] += logs[level] + np.log10(top)
     return out
 
 
@@ -268,15 +301,20 @@ def baum_welch_round(coded: DataFrame, model: Hmm, prior: np.ndarray) -> tuple[H
                 start, moves, emissions, likely = expected(shared.value, codes, n_classes)
                 total += np.concatenate([emissions, start[None], moves, np.full((1, k), likely)])
         cuts = range(0, len(total), SLICE)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(cuts)), pa.int32()), pa.array([total[i : i + SLICE].astype("<f4").tobytes() for i in cuts], pa.binary())], names=["slice", "counts"]
-        )
+        context = TaskContext.get()
+        node = np.full(len(cuts), context.partitionId() if context else 0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array(node), pa.array([total[i : i + SLICE].tobytes() for i in cuts], pa.binary())], names=["slice", "node", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in rows["counts"].to_pylist())
-        return pa.table({"slice": pa.array([rows["slice"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    found = coded.select("codes").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow().sort_by("slice")
+        total = sum(np.frombuffer(x) for x in rows["counts"].to_pylist())
+        return pa.table({"slice": rows["slice"][:1], "node": rows["node"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    part = "slice int, node long, counts binary"
+    width, sums = coded.rdd.getNumPartitions(), coded.select("codes").mapInArrow(run, part)
+    while width > 1:
+        width = -(-width // FAN_IN)
+        sums = sums.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("slice", "node").applyInArrow(add, part)
+    found = sums.toArrow().sort_by("slice")
     total = np.concatenate([np.frombuffer(x, "<f8").reshape(-1, k) for x in found["counts"].to_pylist()])
     shared.unpersist()
     return normalised(total[n_classes], total[n_classes + 1 : -1], total[:n_classes], prior), float(total[-1, 0])
