@@ -7,11 +7,15 @@ whose boxes give the same bound for all pairs below two nodes; the pairs that su
 
 Counts of random sets are alike, so one tree over all points would compare most of them. Points are therefore dealt to
 blocks by an exact rule: two sets that are similar enough share at least ``COMMON`` of the first shingles of each, in
-an order that all sets use (``prefix``). Shingles that many sets have come last in that order, the rest by hash. A
-block is the list of the sets that have one shingle in front. Short lists are one leaf of a tree; their pairs are
-counted over all lists, and pairs that share too few shingles in front are dropped, unless a long list has both. Long lists, which copies with small
-edits make, are dealt to chunks; first every member meets a few pivots and its neighbours in the tree, then the links
-found so far are joined to components, and then only members of different components meet, chunk against chunk.
+an order that all sets use (``prefix``). Shingles that many sets have come last in that order, the rest by hash. The
+sets that have one shingle in front are its list.
+
+Only components are wanted, so most pairs need no look. In each of ``ROUNDS`` rounds every set goes to one block, that of
+the list with the smallest hash among its lists; large blocks are dealt to chunks, which share a few pivots. Within a
+chunk neighbours in the tree are verified first, then pairs of different components whose bound reaches, and only links
+that span are handed on. Lists whose members are all in one component are done. In the lists that stay open after the
+rounds every pair of different components is a candidate: in short lists pairs are counted over all lists, and those
+that share too few shingles in front are dropped; in long lists chunk meets chunk in their trees.
 
 Equal sets are one point with many documents. Shingles are hashes of 64 bits, of which 48 are compared at the end.
 
@@ -27,8 +31,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import apart, texts, written
 from .components import components
@@ -45,6 +51,10 @@ COMMON = 4
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT, MOST_LOCAL = 3, 8, 200_000, 20_000
 #: Members of a list that is one leaf; of a chunk of longer lists, about; pivots of a list, about; of a tree's leaf.
 SHORT, CHUNK, PIVOTS, LEAF = 64, 512, 8, 32
+#: Rounds in which every set of an open list meets one block.
+ROUNDS = 2
+#: Sets of a partition's texts with which a shingle is hot: its postings go to many tasks and its list counts as long.
+HOT = 20_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _word_hashes: dict[bytes, bytes] = {}
@@ -208,17 +218,25 @@ def _sets(words: int):
     return run
 
 
-def _postings(shared, words: int, share: int, buckets: int):
-    """(bucket, packed postings): shingle, set and size of each first shingle, once for each set of the task."""
+def _postings(shared, words: int, share: int, buckets: int, hot: int):
+    """(bucket, packed postings): shingle, set and size of each first shingle, once for each set of the task.
+
+    Postings of hot shingles are dealt to negative buckets by task, so that no bucket holds a hot list whole.
+    """
     kind = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("n", "<i4")])
 
     def run(batches):
         held, n_held, seen = [], 0, set()
+        often = shared.value[0][shared.value[1] >= hot]
+        context = TaskContext.get()
+        own_bucket = -1 - (context.partitionId() if context else 0) % buckets
 
         def out():
             nonlocal held, n_held
             rows = np.concatenate(held) if held else np.zeros(0, kind)
             to = ((rows["shingle"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            if len(often):
+                to[np.isin(rows["shingle"], often)] = own_bucket
             order = np.argsort(to, kind="stable")
             rows, to = rows[order], to[order]
             starts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
@@ -245,90 +263,179 @@ def _postings(shared, words: int, share: int, buckets: int):
     return kind, run
 
 
-def _lists(kind, share: int, short: int):
-    """Candidates of one bucket: pairs of short lists (x, y) with the shingles they share there and those they need
-    to share in all lists; members of long lists (list, x) with the number of members."""
+def _lists(kind):
+    """Members of the lists of one bucket: (list, set_id, n, members); lists of one set are left out. Of hot lists a
+    bucket has a part only, so ``members`` is null there."""
 
     def run(frame: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, kind) for x in frame["postings"].to_pylist()])
-        rows = rows[np.lexsort((rows["set"], rows["n"], rows["shingle"]))]
-        fresh = np.append(True, (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["set"][1:] != rows["set"][:-1]))
-        rows = rows[fresh]
+        rows = rows[np.lexsort((rows["set"], rows["shingle"]))]
+        rows = rows[np.append(True, (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["set"][1:] != rows["set"][:-1]))]
         starts = np.flatnonzero(np.append(True, rows["shingle"][1:] != rows["shingle"][:-1]))
         length = np.diff(np.append(starts, len(rows)))
-        pairs, lists = [np.zeros((0, 4), np.int64)], [np.zeros((0, 3), np.int64)]
-        for m in np.unique(length[(length > 1) & (length <= short)]).tolist():
-            i, j = np.triu_indices(m, 1)
-            own = starts[length == m]
-            step = max(1, 500_000 // len(i))
-            for at in range(0, len(own), step):
-                base = own[at : at + step, None]
-                a, b = (base + i).ravel(), (base + j).ravel()  # sizes ascend within a list
-                small, large = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
-                near = 100 * small >= share * large
-                a, b, need = rows["set"][a[near]], rows["set"][b[near]], np.minimum(COMMON, -(-share * large[near] // 100))
-                p = np.stack([np.minimum(a, b), np.maximum(a, b), need], axis=1)
-                p, n = np.unique(p, axis=0, return_counts=True)
-                pairs.append(np.concatenate([p, n[:, None]], axis=1))
-        for s, m in zip(starts[length > short].tolist(), length[length > short].tolist()):
-            name = int(rows["shingle"][s].astype(np.int64))
-            lists.append(np.stack([np.full(m, name), rows["set"][s : s + m], np.full(m, m)], axis=1))
-        p, q = np.concatenate(pairs), np.concatenate(lists)
+        members = np.repeat(length, length)
+        hot = frame["bucket"][0].as_py() < 0
+        keep = slice(None) if hot else members > 1
+        rows, members = rows[keep], members[keep]
         return pa.table(
             {
-                "list": pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(q[:, 0])]),
-                "x": pa.array(np.concatenate([p[:, 0], q[:, 1]])),
-                "y": pa.concat_arrays([pa.array(p[:, 1]), pa.nulls(len(q), pa.int64())]),
-                "need": pa.concat_arrays([pa.array(p[:, 2].astype(np.int32)), pa.nulls(len(q), pa.int32())]),
-                "n": pa.array(np.concatenate([p[:, 3], q[:, 2]])),
+                "list": pa.array(rows["shingle"].astype(np.uint64).view(np.int64)),
+                "set_id": pa.array(rows["set"].astype(np.int64)),
+                "n": pa.array(rows["n"].astype(np.int64)),
+                "members": pa.nulls(len(rows), pa.int64()) if hot else pa.array(members.astype(np.int64)),
             }
         )
 
     return run
 
 
+MEMBERS = "set_id long, n long, point binary, shingles binary"
+
+
 def _members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_id, n, point, shingles) of the sets in ``wanted`` (set_id, doc_id), and of a few others.
+    """``MEMBERS`` of the sets in ``wanted`` (set_id, doc_id), which names a row for each. A set may come twice where ids
+    repeat. Rows without an id are looked at by their sets."""
+
+    def make(by_id: bool):
+        def run(batches):
+            for batch in batches:
+                found = [shingle_set(x, words) for x in texts(batch)]
+                ids = [set_id(s) if len(s) else None for s in found]
+                some = [i for i, own in enumerate(ids) if own is not None]
+                if by_id:
+                    asked = batch.column("wanted").to_pylist()
+                    some = [i for i in some if ids[i] == asked[i]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[i] for i in some], pa.int64()),
+                        pa.array([len(found[i]) for i in some], pa.int64()),
+                        pa.array([point(found[i]) for i in some], pa.binary()),
+                        pa.array([packed(found[i]) for i in some], pa.binary()),
+                    ],
+                    names=["set_id", "n", "point", "shingles"],
+                )
+
+        return run
+
+    named = docs.join(wanted.filter("doc_id is not null").select("doc_id", F.col("set_id").alias("wanted")), "doc_id")
+    made = named.select("text", "wanted").mapInArrow(make(True), MEMBERS)
+    nameless = docs.filter("doc_id is null").select("text").mapInArrow(make(False), MEMBERS)
+    return made.unionByName(nameless.join(wanted.filter("doc_id is null").select("set_id"), "set_id", "left_semi"))
+
+
+def spanning(points: np.ndarray, sizes: np.ndarray, sets: list[bytes], share: int, pivots: np.ndarray):
+    """Links (i, j) that span the components of these sets: neighbours in the tree and pivots first, then what is apart."""
+    parent = list(range(len(sizes)))
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+
+    def meet(pairs):
+        for i, j in pairs:
+            a, b = top(i), top(j)
+            if a != b and similar(sets[i], sets[j], share):
+                parent[max(a, b)] = min(a, b)
+                links.append((i, j))
+
+    tree = RTree(points, sizes)
+    meet(zip(tree.order[:-1].tolist(), tree.order[1:].tolist()))
+    for p in pivots.tolist():
+        near = bound(points[p][None], points, sizes[p], sizes) >= needed(sizes[p], sizes, share)
+        meet((p, i) for i in np.flatnonzero(near).tolist())
+    own = np.array([top(i) for i in range(len(sizes))])
+    if len(np.unique(own)) > 1:
+        i, j = tree_join(tree, tree, share)
+        apart_yet = (own[i] != own[j]) & (i < j)
+        meet(zip(i[apart_yet].tolist(), j[apart_yet].tolist()))
+    return links
+
+
+def _blocks(share: int):
+    """One chunk of a block: the links that span it."""
 
-    Two bitmaps of a bounded size, of ids and of ids with sets, let the wanted through, so no text is shuffled. A set
-    may come twice, which only repeats a pair.
-    """
-    bits = min(1 << 27, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
-    by_id, by_set = F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.pmod(F.xxhash64("set_id", "doc_id"), F.lit(bits))
+    def run(frame: pa.Table) -> pa.Table:
+        ids = frame["set_id"].to_numpy()
+        _, first = np.unique(ids, return_index=True)
+        frame = frame.take(pa.array(first))
+        ids, sizes = frame["set_id"].to_numpy(), frame["n"].to_numpy()
+        if len(ids) < 2:
+            return _pairs_table(ids[:0], ids[:0])
+        pivots = np.flatnonzero(np.array(frame["pivot"].to_pylist(), bool))
+        links = spanning(_points(frame), sizes, frame["shingles"].to_pylist(), share, pivots)
+        return _pairs_table(ids[[i for i, _ in links]], ids[[j for _, j in links]])
 
-    def bitmap(place):
-        at = wanted.select((place / 64).cast("long").alias("at"), (place % 64).cast("int").alias("bit"))
-        found = at.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-        table = np.zeros(bits // 64, np.int64)
-        table[found["at"].to_numpy()] = found["bits"].to_numpy()
-        return docs.sparkSession.sparkContext.broadcast(table)
+    return run
 
-    ids, sets = bitmap(by_id), bitmap(by_set)
-    has = lambda table, at: (table.value.view(np.uint64)[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
 
-    def make(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array(has(ids, batch.column("place").to_numpy()).astype(bool)))
-            found = [shingle_set(x, words) for x in texts(batch)]
-            some = [i for i, s in enumerate(found) if len(s)]
-            found = [found[i] for i in some]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(some, pa.int64())),
-                    pa.array([set_id(s) for s in found], pa.int64()),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([point(s) for s in found], pa.binary()),
-                    pa.array([packed(s) for s in found], pa.binary()),
-                ],
-                names=["doc_id", "set_id", "n", "point", "shingles"],
-            )
+def _dealt(lists: DataFrame, chunk: int) -> DataFrame:
+    """``lists`` with the number of chunks of each, the member's chunk and whether it is a pivot, which a list without
+    chunks needs not have."""
+    return (
+        lists.withColumn("chunks", F.ceil(F.col("members") / chunk))
+        .withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("chunks")))
+        .withColumn("pivot", (F.col("chunks") > 1) & (F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("members")) < PIVOTS))
+    )
+
+
+def _homes(lists: DataFrame, share: int, chunk: int, turn: int) -> DataFrame:
+    """(set_id, n, list, chunk, pivot): the block of each set, one row for each chunk that it goes to.
+
+    A set that has fewer shared lists than any link needs is in no link.
+    """
+    smallest = F.min(F.struct(F.xxhash64("list", F.lit(turn)).alias("h"), "list", "members")).alias("home")
+    per = lists.groupBy("set_id").agg(F.count("*").alias("lists"), F.first("n").alias("n"), smallest)
+    own = per.filter(F.col("lists") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * share / 100))).select("set_id", "n", "home.list", "home.members")
+    spread = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    return _dealt(own, chunk).withColumn("chunk", F.explode(spread)).select("set_id", "list", "chunk", "pivot")
+
+
+def _open(lists: DataFrame, joined: DataFrame, able: DataFrame) -> DataFrame:
+    """``lists`` of the sets in ``able`` with the component of each, without the lists whose members are all in one."""
+    lists = lists.join(able, "set_id", "left_semi")
+    labelled = lists.join(apart(joined.withColumnRenamed("node", "set_id")), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    mixed = labelled.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("list")
+    return labelled.join(apart(mixed), "list", "left_semi")
+
+
+def _cross_pairs(share: int):
+    """Rows of short lists, list by list, to pairs (a, b) of different components with the shingles that they share
+    there (n) and those that they need to share in all lists."""
+
+    def pairs(rows: pa.Table):
+        of, ids, sizes, own = (rows[c].to_numpy() for c in ("list", "set_id", "n", "component"))
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        length = np.diff(np.append(starts, len(of)))
+        for m in np.unique(length[length > 1]).tolist():
+            i, j = np.triu_indices(m, 1)
+            at = starts[length == m]
+            step = max(1, 200_000 // len(i))
+            for k in range(0, len(at), step):
+                a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+                small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+                near = (own[a] != own[b]) & (100 * small >= share * large)
+                a, b, large = ids[a[near]], ids[b[near]], large[near]
+                need = np.minimum(COMMON, -(-share * large // 100))
+                found, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need], axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(n.astype(np.int64))], names=["a", "b", "need", "n"])
 
-    def keep(batches):
+    def run(batches):
+        rest = None
         for batch in batches:
-            yield batch.filter(pa.array(has(sets, batch.column("place").to_numpy()).astype(bool))).drop_columns(["place"])
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            of = rows["list"].to_numpy()
+            whole = int(np.searchsorted(of, of[-1])) if len(of) else 0  # the last list may go on
+            yield from pairs(rows.slice(0, whole))
+            rest = rows.slice(whole)
+        if rest is not None:
+            yield from pairs(rest)
 
-    made = docs.withColumn("place", by_id).mapInArrow(make, "doc_id long, set_id long, n long, point binary, shingles binary")
-    return made.withColumn("place", by_set).drop("doc_id").mapInArrow(keep, "set_id long, n long, point binary, shingles binary")
+    return run
 
 
 def _with(pairs: DataFrame, members: DataFrame, column: str) -> DataFrame:
@@ -365,24 +472,6 @@ def _pairs_table(a, b) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _first_meetings(share: int):
-    """Within a chunk of a long list: members with the list's pivots and with their neighbours in the tree."""
-
-    def run(frame: pa.Table) -> pa.Table:
-        ids, sizes, pivot = frame["set_id"].to_numpy(), frame["n"].to_numpy(), np.array(frame["pivot"].to_pylist(), bool)
-        tree = RTree(_points(frame), sizes)
-        near = [(tree.order[:-k], tree.order[k:]) for k in (1, 2) if len(ids) > k]
-        if pivot.any():
-            some = RTree(_points(frame)[pivot], sizes[pivot])
-            i, j = tree_join(tree, some, share)
-            near.append((i, np.flatnonzero(pivot)[j]))
-        a = np.concatenate([ids[i] for i, _ in near]) if near else ids[:0]
-        b = np.concatenate([ids[j] for _, j in near]) if near else ids[:0]
-        return _pairs_table(a[a != b], b[a != b])
-
-    return run
-
-
 def _second_meetings(share: int):
     """Two chunks of a long list: members of different components whose bound reaches."""
 
@@ -402,12 +491,12 @@ def _second_meetings(share: int):
     return run
 
 
-def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE, short: int = SHORT, chunk: int = CHUNK) -> DataFrame:
+def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE, short: int = SHORT, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, set_id.
 
     Documents are linked when 100 * intersection >= share * union of their shingle sets; ``component_id`` is the
-    smallest id that links reach. ``set_id`` is null where there is no shingle. ``short`` and ``chunk``: the sizes above
-which lists are dealt to chunks, and of a chunk; they change the work, not the result.
+    smallest id that links reach. ``set_id`` is null where there is no shingle. ``short``, ``chunk`` and ``hot``: see the
+    constants; they change the work, not the result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -423,34 +512,35 @@ which lists are dealt to chunks, and of a chunk; they change the work, not the r
 
     total = nodes.agg(F.sum(F.floor(F.col("n") * (100 - share) / 100) + COMMON)).first()[0] or 0
     buckets = max(BUCKETS, -(-int(total) // BUCKET))
-    kind, deal = _postings(frequent, words, share, buckets)
+    kind, deal = _postings(frequent, words, share, buckets, hot)
     dealt = docs.mapInArrow(deal, "bucket long, postings binary")
-    found = written(dealt.groupBy("bucket").applyInArrow(_lists(kind, share, short), "list long, x long, y long, need int, n long"), "candidates")
-
-    shared = found.filter("list is null").groupBy("x", "y").agg(F.min("need").alias("need"), F.sum("n").alias("n"))
-    pairs = written(shared.filter("n >= need").select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
-    long_lists = found.filter("list is not null").select("list", F.col("x").alias("set_id"), F.col("n").alias("members"))
-    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).unionByName(long_lists.select("set_id"))
-    wanted = written(nodes.join(wanted.distinct(), "set_id").select("set_id", "doc_id"), "wanted")
+    lists = written(dealt.groupBy("bucket").applyInArrow(_lists(kind), "list long, set_id long, n long, members long"), "lists")
+    if len(seen) and int(seen.max()) >= hot:
+        parts = written(lists.filter("members is null").drop("members").distinct(), "hot")
+        sizes = parts.groupBy("list").agg(F.greatest(F.count("*"), F.lit(short + 1)).alias("members"))
+        lists = lists.filter("members is not null").unionByName(parts.join(sizes, "list").select(lists.columns))
+
+    homes = written(_homes(lists, share, chunk, 0), "homes")
+    able = homes.select("set_id").distinct()
+    wanted = able.join(nodes, "set_id").select("set_id", "doc_id")
     members = written(_members(docs, wanted, words), "members")
-
-    chunks = F.ceil(F.col("members") / chunk)
-    dealt_lists = (
-        long_lists.join(members.select("set_id", "n", "point"), "set_id")
-        .withColumn("chunks", chunks)
-        .withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
-        .withColumn("pivot", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("members")) < PIVOTS)
-    )
-    met = dealt_lists.withColumn("chunk", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
-    first = met.groupBy("list", "chunk").applyInArrow(_first_meetings(share), "a long, b long")
-    links = written(_verified(pairs.unionByName(first), members, share), "links")
-
-    joined = components(links)
-    if long_lists.limit(1).count():
-        labelled = long_lists.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        mixed = labelled.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("list")
-        open_lists = dealt_lists.join(labelled.select("list", "set_id", "component"), ["list", "set_id"]).join(mixed, "list", "left_semi")
-        tiles = open_lists.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
+    links, joined, still = None, None, lists
+    for turn in range(ROUNDS):
+        homes = homes if turn == 0 else written(_homes(still, share, chunk, turn), "homes")
+        found = written(members.join(homes, "set_id").groupBy("list", "chunk").applyInArrow(_blocks(share), "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        joined = components(links)
+        still = written(_open(lists if turn == 0 else still.drop("component"), joined, able), "open")
+
+    near = still.filter(F.col("members") <= short).select("list", "set_id", "n", "component")
+    counted = near.repartition("list").sortWithinPartitions("list").mapInArrow(_cross_pairs(share), "a long, b long, need long, n long")
+    pairs = counted.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).filter("n >= need").select("a", "b")
+    long_lists = _dealt(still.filter(F.col("members") > short), chunk)
+    tiles = (
+        long_lists.drop("n")
+        .join(members.select("set_id", "n", "point"), "set_id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select(
             "list",
             F.least("chunk", "other").alias("one"),
             F.greatest("chunk", "other").alias("two"),
@@ -460,22 +550,45 @@ which lists are dealt to chunks, and of a chunk; they change the work, not the r
             "point",
             "component",
         )
-        second = tiles.groupBy("list", "one", "two").applyInArrow(_second_meetings(share), "a long, b long")
-        more = written(_verified(second, members, share), "links")
-        if more.limit(1).count():
-            joined = components(links.unionByName(more))
+    )
+    second = tiles.groupBy("list", "one", "two").applyInArrow(_second_meetings(share), "a long, b long")
+    more = written(_verified(pairs.unionByName(second), members, share), "links")
+    if more.limit(1).count():
+        joined = components(links.unionByName(more))
 
     label = nodes.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(apart(smallest), "component").select("set_id", "component_id")
+    label = label.join(apart(smallest), "component").select("set_id", "component_id", F.col("component").alias("class_set"))
     out = own.join(apart(label), "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "class_set")
 
 
 def keep_one_each(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """``docs`` with the smallest id of each class of similar documents; all columns stay, also of texts without words."""
-    found = similarity_classes(docs, words, share)
+    """``docs`` with one row of each class of similar documents, that with the smallest id; all columns stay, also of
+    texts without words.
+
+    Where an id stands on several rows each is judged by its own text, and of rows of one class with the smallest id one
+    stays; so it does of a class whose rows have no id.
+    """
+    found = written(similarity_classes(docs, words, share), "classes")
+    several = found.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_several"))
     gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "similar")
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    own = F.col(names[docs.columns.index("doc_id")]).cast("long")
-    return docs.toDF(*names).join(gone, own == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    rows = docs.toDF(*names)
+    own, text = F.col(names[docs.columns.index("doc_id")]).cast("long"), names[docs.columns.index("text")]
+    if several.isEmpty():
+        return rows.join(gone, own == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    several = written(several, "several")
+    kept = rows.filter(own.isNotNull()).join(several, own == F.col("_several"), "left_anti").join(gone, own == F.col("_gone"), "left_anti")
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(x, words) for x in texts(batch, text)]
+            yield batch.append_column("_set", pa.array([set_id(s) if len(s) else None for s in found], pa.int64()))
+
+    looked_at = rows.join(several, own.eqNullSafe(F.col("_several")), "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    looked_at = written(looked_at.mapInArrow(sets, StructType([*looked_at.schema.fields, StructField("_set", LongType())])), "repeats")
+    classes = found.select(F.col("set_id").alias("_set"), "class_set", "component_id").filter("_set is not null").distinct()
+    first = looked_at.join(classes, "_set").filter(own.eqNullSafe(F.col("component_id"))).groupBy("class_set").agg(F.min(F.struct("_set", "_row")).alias("k"))
+    stay = looked_at.join(first.select(F.col("k._row").alias("_row")), "_row", "left_semi").unionByName(looked_at.filter("_set is null"))
+    return kept.unionByName(stay.select(*names)).toDF(*docs.columns)

@@ -47,7 +47,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), words=4, share=85).drop("set_id")
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), words=4, share=85).drop("set_id", "class_set")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,15 +29,69 @@ def stripped(text):
 EXACT = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, None), (5, " \n"), (6, "c"), (7, "a b"), (8, "c"), (8, "c"), (None, "c"), (9, "x" * 300_000), (10, "x" * 300_000 + " ")]
 
 
+def groups(rows):
+    """(doc_id, keep_id, size, digest) of each row, and how often each (keep_id, digest) is to be kept: once."""
+    out, kept = [], {}
+    for i, t in rows:
+        group = [(j, u or "") for j, u in rows if stripped(u) == stripped(t)]
+        keep, _ = min(group, key=lambda x: (-len(x[1]), x[0] is None, x[0] or 0))
+        digest = hashlib.sha256(stripped(t).encode()).hexdigest()
+        out.append((i, keep, len(group), digest))
+        kept[keep, digest] = 1
+    return sorted(out, key=str), kept
+
+
+def check_groups(got, rows):
+    want, kept = groups(rows)
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == want
+    found = {}
+    for r in got:
+        if r["kept"]:
+            assert r["doc_id"] == r["keep_id"]
+            found[r["keep_id"], r["text_sha256"]] = found.get((r["keep_id"], r["text_sha256"]), 0) + 1
+    assert found == kept
+
+
 def test_exact_duplicates(spark):
-    got = sorted((tuple(r) for r in exact_dedup.exact_duplicates(frame(spark, EXACT)).collect()), key=str)
+    check_groups(exact_dedup.exact_duplicates(frame(spark, EXACT)).collect(), EXACT)
+
+
+def test_exact_duplicates_in_three_rounds(spark):
+    rng = random.Random(31)
+    rows = [(rng.choice([None, rng.randrange(300)]) if rng.random() < 0.3 else 1000 + i, prose(rng, rng.randrange(1, 3)) + " " * rng.randrange(3)) for i in range(600)]
+    rows += [(5000 + i, "the same\ttext" + " " * (i % 5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)
+    check_groups(exact_dedup.exact_duplicates(docs).collect(), rows)
+    found = exact_dedup.digests(docs)
+    plan = exact_dedup.copied(found)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1].count("FlatMapGroupsInArrow") == 3
+
+
+def test_merging_sorted_runs():
+    rng = exact_dedup.np.random.default_rng(4)
+    rows = exact_dedup.np.zeros(900, exact_dedup._ENTRY)
+    rows["digest"] = [hashlib.sha256(str(x).encode()).digest() for x in rng.integers(0, 200, 900)]
+    rows["n_points"], rows["keep_id"], rows["row"], rows["copies"] = rng.integers(0, 3, 900), rng.integers(0, 9, 900), range(900), 1
+    rows["nameless"] = rng.random(900) < 0.2
+    rows["proof"] = [int.from_bytes(x.ljust(32, b"\0")[:7], "big") for x in rows["digest"].tolist()]
+    runs = [exact_dedup.merged([x[exact_dedup.np.argsort(x["digest"], kind="stable")]]) for x in exact_dedup.np.array_split(rows, 7)]
+    got = exact_dedup.merged([exact_dedup.merged(runs[:3]), exact_dedup.merged(runs[3:])])
     want = []
-    for i, t in EXACT:
-        group = [(j, u or "") for j, u in EXACT if stripped(u) == stripped(t)]
-        keep, longest = min(group, key=lambda x: (-len(x[1]), x[0] is None, x[0] or 0))
-        stays = i == keep and len(t or "") == len(longest)
-        want.append((i, keep, len(group), stays, hashlib.sha256(stripped(t).encode()).hexdigest()))
-    assert got == sorted(want, key=str)
+    for d in sorted(set(rows["digest"].tolist())):
+        group = [r for r in rows.tolist() if r[0] == d]
+        best = min(group, key=lambda r: (-r[1], r[2], r[3], r[4]))
+        want.append((*best[:6], len(group)))
+    assert got.tolist() == want
+    rows["proof"][0] += 1
+    if (rows["digest"] == rows["digest"][0]).sum() > 1:
+        with pytest.raises(ValueError):
+            exact_dedup.merged([rows[exact_dedup.np.argsort(rows["digest"], kind="stable")]])
+
+
+def test_keep_one_of_ids_that_repeat_or_lack(spark):
+    rows = [(1, "a b"), (1, "c"), (2, "ab"), (2, "d"), (None, "c"), (None, "e"), (None, "e "), (None, None), (3, ""), (4, "f"), (4, "f"), (4, "f  ")]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in exact_dedup.keep_one(frame(spark, rows)).collect())
+    assert kept == [(0, "e "), (1, "a b"), (1, "c"), (2, "d"), (3, ""), (4, "f  ")]
 
 
 def test_keep_one_leaves_one_row_of_each_text(spark):
@@ -88,13 +142,29 @@ def near_copies(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("words, share, short, chunk", [(4, 85, 64, 512), (5, 80, 4, 6)])
-def test_ngram_join_equals_all_pairs(spark, words, share, short, chunk):
+@pytest.mark.parametrize("words, share, sizes", [(4, 85, {}), (5, 80, {"short": 4, "chunk": 6}), (4, 85, {"short": 8, "chunk": 16, "hot": 20})])
+def test_ngram_join_equals_all_pairs(spark, words, share, sizes):
     rows = near_copies(words)
-    got = ngram_join.similarity_classes(frame(spark, rows), words, share, short, chunk)
+    got = ngram_join.similarity_classes(frame(spark, rows), words, share, **sizes)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == classes(rows, words, share)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 64, "hot": 50}])
+def test_ngram_join_of_a_large_group(spark, sizes):
+    """One group of edited copies, most in one list, and texts that share a passage with it but are no copies."""
+    rng = random.Random(21)
+    base = prose(rng, 60).split()
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(40, 60)] = f"new{rng.randrange(50)}"
+        rows.append((i + 1, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:30]) + " " + prose(rng, 60)) for i in range(60)]
+    got = ngram_join.similarity_classes(frame(spark, rows), 4, 85, **sizes)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == classes(rows, 4, 85)
+
+
 def test_ngram_join_keeps_smallest_of_each_class(spark):
     rows = near_copies(3, 60)
     docs = frame(spark, rows)
@@ -103,6 +173,16 @@ def test_ngram_join_keeps_smallest_of_each_class(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in classes(rows, 5, 80)}
 
 
+def test_ngram_join_keeps_rows_whose_ids_repeat_or_lack(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda at: " ".join("other" if i == at else w for i, w in enumerate(words))
+    clean = " ".join(f"c{i}" for i in range(40))
+    rows = [(1, near(0)), (2, clean), (2, near(59)), (3, near(59)), (None, near(58)), (5, None), (5, " "), (None, None)]
+    rows += [(None, " ".join(f"n{i}" for i in range(30)))] * 3 + [(7, " ".join(f"r{i}" for i in range(30)))] * 2
+    kept = sorted(((r["doc_id"] or 0), (r["text"] or "")[:3]) for r in ngram_join.keep_one_each(frame(spark, rows)).collect())
+    assert kept == [(0, ""), (0, "n0 "), (1, "oth"), (2, "c0 "), (5, ""), (5, " "), (7, "r0 ")]
+
+
 def test_bound_is_never_below_the_overlap():
     rng = random.Random(5)
     for _ in range(50):
