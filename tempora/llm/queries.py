@@ -82,16 +82,16 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_topk": """
         WITH v AS (
-            SELECT CAST(vec_id AS BIGINT) AS vec_id,
+            SELECT CAST(vec_id AS BIGINT) AS vec_id, row_number() OVER () AS n,
                    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+            SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0
         ), r AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+            SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,

@@ -7,15 +7,18 @@ Within a shard every term has the least and the largest weight of its postings,
 query's score. A query's terms are ordered by the width of their bounds. Those at the end of the order whose bounds
 together cannot lift a vector above the query's threshold are non-essential: the essential terms' postings are
 traversed, and the others are probed, largest first, only for vectors that are still competitive. The threshold is the
-k-th best score so far and rises while the postings are traversed in pieces. All arithmetic is on integers, so a
-score equals the plain inner product.
+k-th best score so far and rises while the postings are traversed in pieces. All arithmetic is exact, in the narrowest
+kind of number that holds every score that the components allow, so a score equals the plain inner product.
 
-Shards see each other's work through the threshold that a first, small shard gives every query.
+Shards see each other's work through the threshold that a first, small shard gives every query. The queries are a stated
+part of the rows, so shards times blocks grow with both; each meeting ships a shard and a block once, and the larger they
+are the less is shipped for a pair of rows.
 
 Cases: vectors that are null or hold a null or non-finite component take no part, as queries or candidates; nor do
 empty vectors. Vectors of different lengths meet in the terms they share. Ties go to the smaller id. A query's own row
-is no candidate; repeated rows of one id are one another's own. Components are clipped to 2**27 after scaling. Fewer
-than ``k`` candidates give fewer rows; an empty table gives an empty result. Extra columns are ignored.
+is no candidate; other rows of its id are, and each of them is a query of its own. Components and scores that 64 bits do
+not hold are an error. Fewer than ``k`` candidates give fewer rows; an empty table gives an empty result. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SCALE, QUERY_STEP, TOP = 256, 50, 5
 #: Vectors of a shard and queries of a block, about.
-SHARD_ROWS, BLOCK_ROWS = 4096, 1024
+SHARD_ROWS, BLOCK_ROWS = 8192, 4096
 #: Postings that are traversed before the threshold is looked at again, and terms that are probed at once.
 PIECE, PROBED = 1024, 8
-LIMIT = 1 << 27
+LEAST = np.iinfo(np.int64).min
 
 
 def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(SCALE * x) of every component of the vectors that take part."""
     x = F.col(column).cast("array<double>")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    whole = F.transform(x, lambda e: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(e * SCALE))).cast("int"))
+    too_large = F.raise_error(F.lit("a component does not fit into 64 bits")).cast("long")
+    whole = F.transform(x, lambda e: F.when(F.abs(e) < 2.0**63 / SCALE, F.floor(e * SCALE)).otherwise(too_large))
     return vectors.filter(x.isNotNull() & (F.size(x) > 0) & ~bad & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")
     )
@@ -52,26 +58,34 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.
     return out
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, floors: np.ndarray, k: int = TOP):
+def _kind(a: np.ndarray, b: np.ndarray):
+    """The kind of number in which all inner products of these rows, and the bounds on them, are exact."""
+    most = max((abs(int(f(a))) for f in (np.min, np.max)), default=0) * max((abs(int(f(b))) for f in (np.min, np.max)), default=0) * a.shape[1] * 4
+    return np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
+
+
+def search(queries: np.ndarray, query_rows: np.ndarray, shard: np.ndarray, rows: np.ndarray, ids: np.ndarray, floors: np.ndarray, k: int = TOP):
     """(query number, id, score) of each query's best ``k`` of the shard that can reach its floor.
 
-    ``ids`` ascend. ``floors``: for each query a score that ``k`` other vectors reach, or the smallest integer.
+    ``rows`` tell rows apart, ``ids`` ascend. ``floors``: for each query a score that ``k`` other vectors reach, or the
+    smallest integer.
     """
-    low, high = shard.min(axis=0), shard.max(axis=0)
-    exact = np.float64 if float(np.abs(shard).max()) * float(np.abs(queries).max()) * shard.shape[1] < 2**52 else np.int64
+    exact = _kind(queries, shard)
+    low, high = shard.min(axis=0).astype(exact), shard.max(axis=0).astype(exact)
     postings = shard.T.astype(exact)
     out = []
-    for n, (q, own, floor) in enumerate(zip(queries.astype(exact), query_ids, floors)):
+    for n, (q, own, floor) in enumerate(zip(queries.astype(exact), query_rows, floors)):
         ends = np.stack([q * low, q * high])
         most, least = ends.max(axis=0), ends.min(axis=0)
-        order = np.argsort(least - most, kind="stable")
+        order = np.argsort((least - most).astype(float), kind="stable")
         rest = np.append(np.cumsum(most[order][::-1])[::-1], 0)  # what terms from here on can add at most
-        best = [(-int(floor) + 1, 1 << 62)] * k if floor > np.iinfo(np.int64).min else []
-        bar = float(floor) if len(best) == k else -np.inf
+        # In the place of the vectors that reach the floor stand ones that are below all of these.
+        best = [(-int(floor) + 1, None)] * k if floor > LEAST else []
+        bar = int(floor) if best else None
         for at in range(0, len(ids), PIECE):
             stop = min(at + PIECE, len(ids))
-            alive = np.flatnonzero(ids[at:stop] != own) + at
-            if bar == -np.inf:
+            alive = np.flatnonzero(rows[at:stop] != own) + at
+            if bar is None:
                 essential = len(order)
             else:  # the fewest terms in front without which nothing reaches the bar
                 reach = np.cumsum(most[order] - least[order])
@@ -84,25 +98,29 @@ def search(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: n
                 probe = order[done : done + PROBED]
                 got = got + q[probe] @ postings[np.ix_(probe, alive)]
                 done += len(probe)
-            keep = got >= bar
-            found = list(zip((-got[keep]).astype(np.int64).tolist(), ids[alive[keep]].tolist()))
+            if bar is not None:
+                alive, got = alive[got >= bar], got[got >= bar]
+            found = list(zip([-int(x) for x in got.tolist()], ids[alive].tolist()))
             if found:
-                best = sorted(best + found)[:k]
+                best = sorted(best + found, key=lambda x: (x[0], x[1] is None, x[1]))[:k]
                 if len(best) == k:
-                    bar = float(-best[-1][0])
-        out += [(n, i, -s) for s, i in best if i != 1 << 62]
+                    bar = -best[-1][0]
+        out += [(n, i, -s) for s, i in best if i is not None]
     return out
 
 
 def _packed(name: str):
     def run(frame: pa.Table) -> pa.Table:
-        frame = frame.sort_by("vec_id")
+        frame = frame.sort_by([("vec_id", "ascending"), ("row", "ascending")])
         m = _matrix(frame["v"])
+        small = -(2**31) <= m.min() and m.max() < 2**31
         row = {
             name: [frame[name][0].as_py()],
             f"{name}_ids": [frame["vec_id"].to_numpy().astype("<i8").tobytes()],
+            f"{name}_numbers": [frame["row"].to_numpy().astype("<i8").tobytes()],
             f"{name}_width": pa.array([m.shape[1]], pa.int32()),
-            f"{name}_rows": [m.astype("<i4").tobytes()],
+            f"{name}_kind": ["<i4" if small else "<i8"],
+            f"{name}_rows": [m.astype("<i4" if small else "<i8").tobytes()],
         }
         if name == "block":
             row["floors"] = [frame["floor"].to_numpy().astype("<i8").tobytes()]
@@ -111,22 +129,31 @@ def _packed(name: str):
     return run
 
 
-def _unpacked(ids: bytes, width: int, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i4").reshape(-1, width).astype(np.int64)
+PACKED = "{0} long, {0}_ids binary, {0}_numbers binary, {0}_width int, {0}_kind string, {0}_rows binary"
+
+
+def _unpacked(r: dict, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(r[f"{name}_rows"], r[f"{name}_kind"]).reshape(-1, r[f"{name}_width"]).astype(np.int64)
+    return np.frombuffer(r[f"{name}_ids"], "<i8"), np.frombuffer(r[f"{name}_numbers"], "<i8"), rows
+
+
+def _widened(*matrices: np.ndarray) -> list[np.ndarray]:
+    width = max(m.shape[1] for m in matrices)
+    return [np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in matrices]
 
 
 def _meet(batches):
     for batch in batches:
         for r in batch.to_pylist():
-            ids, shard = _unpacked(r["shard_ids"], r["shard_width"], r["shard_rows"])
-            own, queries = _unpacked(r["block_ids"], r["block_width"], r["block_rows"])
-            width = max(shard.shape[1], queries.shape[1])
-            shard, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (shard, queries))
-            found = search(queries, own, shard, ids, np.frombuffer(r["floors"], "<i8"))
+            ids, numbers, shard = _unpacked(r, "shard")
+            own_ids, own, queries = _unpacked(r, "block")
+            shard, queries = _widened(shard, queries)
+            found = search(queries, own, shard, numbers, ids, np.frombuffer(r["floors"], "<i8"))
             n = [x[0] for x in found]
+            # A score of more than 64 bits is refused here.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[n] if n else [], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())],
-                names=["query_id", "vec_id", "score"],
+                [pa.array(own[n] if n else [], pa.int64()), pa.array(own_ids[n] if n else [], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())],
+                names=["row", "query_id", "vec_id", "score"],
             )
 
 
@@ -134,41 +161,37 @@ def top_k(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = TOP, column
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``query_step`` its best ``k`` others."""
     if k != TOP:
         raise ValueError("k is fixed")
-    rows = quantised(vectors, column).dropDuplicates(["vec_id"])
+    rows = written(quantised(vectors, column).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
     shards, blocks = -(-max(n, 1) // SHARD_ROWS), -(-max(n // query_step, 1) // BLOCK_ROWS)
     asked = rows.filter(F.col("vec_id") % query_step == 0)
 
     # A first look at a few vectors gives every query a floor: the k-th best of them. A bounded number of rows.
-    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(64).toArrow().sort_by("vec_id")
-    first_ids, first_rows = first["vec_id"].to_numpy(), (_matrix(first["v"]) if first.num_rows else np.zeros((0, 1), np.int64))
+    first = rows.orderBy(F.xxhash64("vec_id"), "row").limit(64).toArrow()
+    first_rows, first_numbers = (_matrix(first["v"]) if first.num_rows else np.zeros((0, 1), np.int64)), first["row"].to_numpy()
 
     def floored(batches):
         for batch in batches:
-            own = batch.column("vec_id").to_numpy()
-            floors = np.full(len(own), np.iinfo(np.int64).min, np.int64)
-            if len(own) and len(first_ids) > k:
-                m = _matrix(batch.column("v"))
-                w = max(m.shape[1], first_rows.shape[1])
-                m, f = np.pad(m, ((0, 0), (0, w - m.shape[1]))), np.pad(first_rows, ((0, 0), (0, w - first_rows.shape[1])))
-                s = m @ f.T
-                s[own[:, None] == first_ids] = np.iinfo(np.int64).min
-                floors = np.sort(s, axis=1)[:, -k]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(floors)], names=["vec_id", "v", "floor"])
-
-    asked = asked.mapInArrow(floored, "vec_id long, v array<int>, floor long")
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    packed_blocks = (
-        asked.withColumn("block", part(blocks)).groupBy("block").applyInArrow(_packed("block"), "block long, block_ids binary, block_width int, block_rows binary, floors binary")
-    )
-    packed_shards = (
-        rows.withColumn("shard", part(shards)).groupBy("shard").applyInArrow(_packed("shard"), "shard long, shard_ids binary, shard_width int, shard_rows binary")
-    )
+            own = batch.column("row").to_numpy()
+            floors = np.full(len(own), LEAST, np.int64)
+            if len(own) and len(first_rows) > k:
+                m, f = _widened(_matrix(batch.column("v")), first_rows)
+                exact = _kind(m, f)
+                s = m.astype(exact) @ f.astype(exact).T
+                s = np.where(own[:, None] == first_numbers, -(2**62) if exact is object else np.iinfo(np.int64).min, s)
+                best = np.sort(s, axis=1)[:, -k]
+                floors = np.array([int(x) if abs(x) < 2**62 else LEAST for x in best.tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("row"), pa.array(floors)], names=["vec_id", "v", "row", "floor"])
+
+    asked = asked.mapInArrow(floored, "vec_id long, v array<long>, row long, floor long")
+    part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
+    packed_blocks = asked.withColumn("block", part(blocks)).groupBy("block").applyInArrow(_packed("block"), PACKED.format("block") + ", floors binary")
+    packed_shards = rows.withColumn("shard", part(shards)).groupBy("shard").applyInArrow(_packed("shard"), PACKED.format("shard"))
     # Every shard meets every block of the stated queries: one row for each, spread over all tasks.
     to = packed_shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     meetings = to.join(packed_blocks, "block").repartition(max(shards * blocks, 1), "shard", "block")
-    found = meetings.mapInArrow(_meet, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(
+    found = meetings.mapInArrow(_meet, "row long, query_id long, vec_id long, score long")
+    best = found.groupBy("row", "query_id").agg(
         F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b")
     )
     return best.select("query_id", F.posexplode("b").alias("rank", "x")).select(
