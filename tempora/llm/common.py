@@ -17,9 +17,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. A local session without one gets its own; on a
+    cluster that is an error, since no local folder is seen by all."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:  # a static setting: it cannot be set on a running session
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tempora-")

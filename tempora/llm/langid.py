@@ -11,7 +11,7 @@ The filter is bounded: a trigram must make up ``MIN_SHARE`` of a language's trig
 ``1 / MIN_SHARE`` of them. Counting covers every training row and is combined before the shuffle.
 
 Cases: texts that are null or have no letter get ``und`` with score 0; so does every text if nothing can be learned.
-Ties go to the language that sorts first. Texts are processed whole, long ones in pieces that overlap. Repeated rows
+Ties go to the language that sorts first. Texts are processed whole, long ones in pieces cut between words. Repeated rows
 count each time. An empty table gives an empty result. Columns other than the ones named are ignored.
 """
 
@@ -39,10 +39,10 @@ _LETTER = None
 
 
 def _letter_table() -> np.ndarray:
-    """For each code point of the first planes: whether it is a letter."""
+    """For each code point: whether it is a letter."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.array([chr(i).isalpha() for i in range(0x30000)])
+        _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
     return _LETTER
 
 
@@ -54,7 +54,7 @@ def grams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "\n" + "\n".join(x.lower() for x in found) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     table = _letter_table()
-    letter = table[np.minimum(points, len(table) - 1)]
+    letter = table[points]
     points = np.where(letter, points, 32)
     key = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
     middle = letter[1:-1]

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tempora.llm")
 
@@ -60,6 +61,31 @@ def test_toxicity_tells_words_apart(spark):
     assert {r["doc_id"]: r["predicted"] for r in toxicity.score(new, model).collect()} == {1: 0, 2: 1}
 
 
+@pytest.mark.parametrize("copied", [[], [0], [0, 0], [2]])
+def test_label_model_recovers_planted_rates_whatever_is_voted_twice(copied):
+    rng = np.random.default_rng(12)
+    toxic = rng.random(50_000) < 0.15
+    bad, good = np.array([0.5, 0.3, 0.6, 0.2, 0.4, 0.35]), np.array([0.02, 0.01, 0.05, 0.002, 0.03, 0.02])
+    votes = (rng.random((len(toxic), 6)) < np.where(toxic[:, None], bad, good)).astype(int)
+    votes = np.concatenate([votes, votes[:, copied]], axis=1) if copied else votes
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.fit_label_model([str(i) for i in range(votes.shape[1])], patterns, counts)
+    assert abs(model.prior - 0.15) < 0.02
+    assert np.allclose(model.rates[1][:6], bad, atol=0.03) and np.allclose(model.rates[0][:6], good, atol=0.01)
+    # A vote cast twice says no more than once: the odds are those of the six independent voters.
+    own = patterns[:, :6]
+    odds = np.log(0.15 / 0.85) + (own * np.log(bad / good) + (1 - own) * np.log((1 - bad) / (1 - good))).sum(axis=1)
+    assert np.average(np.abs(model.posterior(patterns) - 1 / (1 + np.exp(-odds))), weights=counts) < 0.01
+    if copied:
+        assert all(model.correlations[1][c, 6 + i] > 0.99 for i, c in enumerate(copied))
+
+
+def test_votes_of_unlabelled_texts_count(spark):
+    rows = spark.createDataFrame([("you idiot", ["you", "idiot"])] * 3 + [("fine", ["fine"])] * 5, "text string, words array<string>")
+    patterns, counts = toxicity.counted_votes(rows, {"a": F.array_contains("words", "idiot"), "b": F.col("text") == "no"})
+    assert sorted(zip(map(tuple, patterns.tolist()), counts.tolist())) == [((0, 0), 5), ((1, 0), 3)]
+
+
 def test_quality_learns_and_keeps_good(spark):
     rng = random.Random(2)
     rows, marks = list(ODD), [(4, None)]
@@ -96,6 +122,22 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_letters_of_all_planes(spark):
+    docs = frame(spark, [(100 + i, "\U00030100\U00031000" * 5 if i % 2 else "abc abd", "zz" if i % 2 else "aa") for i in range(20)])
+    got = langid.identify(docs, langid.learn(langid.training_rows(docs))).collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] % 2} == {"zz"} and {r["lang_pred"] for r in got if r["doc_id"] % 2 == 0} == {"aa"}
+
+
+def test_keep_identified(spark):
+    rows = ODD + [(100 + i, prose(random.Random(i), WORDS, 40), "aa") for i in range(30)]
+    docs = frame(spark, rows)
+    kept = langid.keep_identified(docs, langid.learn(langid.training_rows(docs)))
+    assert kept.columns == docs.columns
+    found = [r["doc_id"] for r in kept.collect()]
+    assert {i for i in found if (i or 0) >= 100} == {i for i, *_ in rows if (i or 0) >= 100} and not {1, 2, 3, 4} & set(found)
+    assert langid.keep_identified(docs.limit(0), langid.learn(docs)).count() == 0
+
+
 def test_base_score_and_counts_of_the_language_model(spark):
     rng = random.Random(4)
     rows = ODD + [(100 + i, prose(rng, WORDS, rng.randrange(1, 300)) + f" Rare{i % 7}") for i in range(80)]
@@ -254,12 +296,35 @@ def test_top_k_equals_all_products(spark):
         if i % 50 == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i)[:5]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS rank")
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS rank", "3 AS row")
     got = topk.top_k(vectors).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
     assert topk.top_k(vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e10])
+def test_top_k_of_large_components_and_repeated_ids(spark, scale):
+    rng = random.Random(10)
+    rows = [(i, [rng.choice([0.0, scale, rng.gauss(0, scale)]) if scale < 1e9 else rng.choice([0.0, 1.0, scale if i % 2 else 1e3]) for _ in range(6)]) for i in range(200)]
+    if scale < 1e9:
+        rows += [(i, [rng.gauss(0, scale) for _ in range(6)]) for i in (0, 1, 50, 50)] + [rows[100], rows[7]]
+    good = [[math.floor(256 * x) for x in v] for _, v in rows]
+    product = lambda a, b: sum(x * y for x, y in zip(good[a], good[b]))
+    want = []
+    for q, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            scores = sorted((-product(q, c), rows[c][0]) for c in range(len(rows)) if c != q)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
+def test_top_k_refuses_what_64_bits_do_not_hold(spark):
+    for big in (1e18, 1e30):
+        with pytest.raises(Exception):  # noqa: B017
+            topk.top_k(spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ODD).limit(0)
     path = vocabulary()
