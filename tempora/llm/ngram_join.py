@@ -6,15 +6,15 @@ whose bound is below what the threshold needs is never compared. Points of one b
 whose boxes give the same bound for all pairs below two nodes; the pairs that survive are verified on the sets.
 
 Counts of random sets are alike, so one tree over all points would compare most of them. Points are therefore dealt to
-blocks by an exact rule: two sets that are similar enough share at least ``COMMON`` of the first shingles of each, in
+blocks by an exact rule: two sets that are similar enough share at least ``common`` of the first shingles of each, in
 an order that all sets use (``prefix``). Shingles that many sets have come last in that order, the rest by hash. The
-sets that have one shingle in front are its list.
+sets that have one shingle in front are its list. A set that shares too few of its lists with anyone is in no link, so
+such sets go, and with them the lists that they leave to one set.
 
-Only components are wanted, so most pairs need no look. In each of ``ROUNDS`` rounds every set goes to one block, that of
-the list with the smallest hash among its lists; large blocks are dealt to chunks, which share a few pivots. Within a
-chunk neighbours in the tree are verified first, then pairs of different components whose bound reaches, and only links
-that span are handed on. Lists whose members are all in one component are done. In the lists that stay open after the
-rounds every pair of different components is a candidate: in short lists pairs are counted over all lists, and those
+Only components are wanted, so most pairs need no look. First every set goes to one block, that of the list with the
+smallest hash among its lists; large blocks are dealt to chunks, which share a few pivots. Within a chunk neighbours in
+the tree are verified first, then pairs of different components whose bound reaches, and only links that span are handed
+on. Lists whose members are all in one component are done. In the lists that stay open every pair of different components is a candidate: in short lists pairs are counted over all lists, and those
 that share too few shingles in front are dropped; in long lists chunk meets chunk in their trees.
 
 Equal sets are one point with many documents. Shingles are hashes of 64 bits, of which 48 are compared at the end.
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -44,15 +44,14 @@ GROUPS = 256
 #: Words whose hashes a task keeps; postings that a task holds before it hands them on; postings of a bucket, about.
 CACHE, HELD, BUCKET = 200_000, 400_000, 100_000
 BUCKETS = 64
-#: Shingles in front that similar sets must share, if they have as many in all.
-COMMON = 4
+#: Shingles in front that similar sets must share, if they have as many in all: so many at least, or this part of the set.
+#: More of them make longer fronts, but fewer texts that share a passage only are taken for candidates.
+COMMON, COMMON_PART = 4, 16
 #: Shingles that come last in the order: found this often in a partition and in all, so many at most. The order only
 #: decides how long lists get; any order that all sets share gives the same links.
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT, MOST_LOCAL = 3, 8, 200_000, 20_000
 #: Members of a list that is one leaf; of a chunk of longer lists, about; pivots of a list, about; of a tree's leaf.
 SHORT, CHUNK, PIVOTS, LEAF = 64, 512, 8, 32
-#: Rounds in which every set of an open list meets one block.
-ROUNDS = 2
 #: Sets of a partition's texts with which a shingle is hot: its postings go to many tasks and its list counts as long.
 HOT = 20_000
 
@@ -93,13 +92,18 @@ def needed(a, b, share: int):
     return -(-share * (np.asarray(a, np.int64) + b) // (100 + share))
 
 
+def common(n):
+    """Shingles in front that a set of ``n`` must share with a similar one that is at least as large."""
+    return np.maximum(COMMON, np.asarray(n, np.int64) // COMMON_PART)
+
+
 def prefix(shingles: np.ndarray, frequent: np.ndarray, share: int) -> np.ndarray:
-    """The shingles of which a similar set must share ``COMMON``: all but ``ceil(share * n) - COMMON``, in the common order.
+    """The shingles of which similar sets share ``common``: all but ``ceil(share * n) - common(n)``, in the common order.
 
     ``frequent``: sorted hashes, with ranks in the second row; they come last, by rank.
     """
     n = len(shingles)
-    k = min(n, n - (-(-share * n // 100)) + COMMON)
+    k = min(n, n - (-(-share * n // 100)) + int(common(n)))
     if n and frequent.shape[1]:
         at = np.minimum(np.searchsorted(frequent[0], shingles), frequent.shape[1] - 1)
         rank = np.where(frequent[0][at] == shingles, frequent[1][at], np.uint64(0))
@@ -324,7 +328,7 @@ def _members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def spanning(points: np.ndarray, sizes: np.ndarray, sets: list[bytes], share: int, pivots: np.ndarray):
-    """Links (i, j) that span the components of these sets: neighbours in the tree and pivots first, then what is apart."""
+    """(i, j), every set with the first of its component: neighbours in the tree and pivots meet first, then what is apart."""
     parent = list(range(len(sizes)))
 
     def top(x):
@@ -333,14 +337,11 @@ def spanning(points: np.ndarray, sizes: np.ndarray, sets: list[bytes], share: in
             x = parent[x]
         return x
 
-    links = []
-
     def meet(pairs):
         for i, j in pairs:
             a, b = top(i), top(j)
             if a != b and similar(sets[i], sets[j], share):
                 parent[max(a, b)] = min(a, b)
-                links.append((i, j))
 
     tree = RTree(points, sizes)
     meet(zip(tree.order[:-1].tolist(), tree.order[1:].tolist()))
@@ -352,11 +353,11 @@ def spanning(points: np.ndarray, sizes: np.ndarray, sets: list[bytes], share: in
         i, j = tree_join(tree, tree, share)
         apart_yet = (own[i] != own[j]) & (i < j)
         meet(zip(i[apart_yet].tolist(), j[apart_yet].tolist()))
-    return links
+    return [(i, top(i)) for i in range(len(sizes)) if top(i) != i]
 
 
 def _blocks(share: int):
-    """One chunk of a block: the links that span it."""
+    """One chunk of a block: links that span it."""
 
     def run(frame: pa.Table) -> pa.Table:
         ids = frame["set_id"].to_numpy()
@@ -382,34 +383,54 @@ def _dealt(lists: DataFrame, chunk: int) -> DataFrame:
     )
 
 
-def _homes(lists: DataFrame, share: int, chunk: int, turn: int) -> DataFrame:
-    """(set_id, n, list, chunk, pivot): the block of each set, one row for each chunk that it goes to.
+def _per_list(rows: DataFrame, **values) -> DataFrame:
+    """``rows`` with aggregates over their lists. Lists of bounded size are sorted together once; hot ones are aggregated
+    by many tasks and joined."""
+    cold = rows.filter("not hot").withColumns({k: v.over(Window.partitionBy("list")) for k, v in values.items()})
+    hot = rows.filter("hot").drop(*values)
+    return cold.unionByName(hot.join(apart(hot.groupBy("list").agg(*[v.alias(k) for k, v in values.items()])), "list"))
 
-    A set that has fewer shared lists than any link needs is in no link.
-    """
-    smallest = F.min(F.struct(F.xxhash64("list", F.lit(turn)).alias("h"), "list", "members")).alias("home")
-    per = lists.groupBy("set_id").agg(F.count("*").alias("lists"), F.first("n").alias("n"), smallest)
-    own = per.filter(F.col("lists") >= F.least(F.lit(COMMON), F.ceil(F.col("n") * share / 100))).select("set_id", "n", "home.list", "home.members")
+
+def _pruned(lists: DataFrame, share: int) -> DataFrame:
+    """``lists`` without the sets that share fewer lists than any link needs, and without the lists of one set."""
+    enough = F.least(F.greatest(F.lit(COMMON), F.floor(F.col("n") / COMMON_PART)), F.ceil(F.col("n") * share / 100))
+    able = lists.groupBy("set_id").agg(F.count("*").alias("lists"), F.first("n").alias("n")).filter(F.col("lists") >= enough).select("set_id")
+    kept = lists.join(written(able, "able"), "set_id", "left_semi")
+    return written(_per_list(kept, members=F.count("*")).filter("members > 1"), "lists")
+
+
+def _homes(lists: DataFrame, chunk: int) -> DataFrame:
+    """(set_id, list, chunk, pivot): the block of each set, one row for each chunk that it goes to."""
+    smallest = F.min(F.struct(F.xxhash64("list").alias("h"), "list", "members")).alias("home")
+    own = lists.groupBy("set_id").agg(smallest).select("set_id", "home.list", "home.members")
     spread = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     return _dealt(own, chunk).withColumn("chunk", F.explode(spread)).select("set_id", "list", "chunk", "pivot")
 
 
-def _open(lists: DataFrame, joined: DataFrame, able: DataFrame) -> DataFrame:
-    """``lists`` of the sets in ``able`` with the component of each, without the lists whose members are all in one."""
-    lists = lists.join(able, "set_id", "left_semi")
-    labelled = lists.join(apart(joined.withColumnRenamed("node", "set_id")), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = labelled.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("list")
-    return labelled.join(apart(mixed), "list", "left_semi")
+def _labelled(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """``lists`` with the component of each member."""
+    of = joined.select(F.col("node").alias("set_id"), "component")
+    return lists.drop("component").join(of, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
 def _cross_pairs(share: int):
-    """Rows of short lists, list by list, to pairs (a, b) of different components with the shingles that they share
-    there (n) and those that they need to share in all lists."""
+    """Rows of short lists, in the order of leaders and lists, to pairs (a, b) of different components with the shingles
+    that they share (n) and those that they need to share in all lists.
+
+    Lists of one leader have much the same members, so pairs are counted over all of them before they are handed on; a
+    leader has no more lists than it has shingles in front.
+    """
+
+    def counted(held):
+        found = np.concatenate(held)
+        rows, at = np.unique(found[:, :3], axis=0, return_inverse=True)
+        return np.column_stack([rows, np.bincount(at.ravel(), weights=found[:, 3]).astype(np.int64)])
 
     def pairs(rows: pa.Table):
         of, ids, sizes, own = (rows[c].to_numpy() for c in ("list", "set_id", "n", "component"))
         starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
         length = np.diff(np.append(starts, len(of)))
+        held, n_held = [], 0
         for m in np.unique(length[length > 1]).tolist():
             i, j = np.triu_indices(m, 1)
             at = starts[length == m]
@@ -418,22 +439,34 @@ def _cross_pairs(share: int):
                 a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
                 small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
                 near = (own[a] != own[b]) & (100 * small >= share * large)
-                a, b, large = ids[a[near]], ids[b[near]], large[near]
-                need = np.minimum(COMMON, -(-share * large // 100))
-                found, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need], axis=1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(n.astype(np.int64))], names=["a", "b", "need", "n"])
+                a, b, small, large = ids[a[near]], ids[b[near]], small[near], large[near]
+                need = np.minimum(common(small), -(-share * large // 100))
+                held.append(np.stack([np.minimum(a, b), np.maximum(a, b), need, np.ones(len(a), np.int64)], axis=1))
+                n_held += len(a)
+                if n_held > 400_000:
+                    held = [counted(held)]
+                    n_held = len(held[0])
+        return counted(held) if held else np.zeros((0, 4), np.int64)
 
     def run(batches):
         rest = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            of = rows["list"].to_numpy()
-            whole = int(np.searchsorted(of, of[-1])) if len(of) else 0  # the last list may go on
-            yield from pairs(rows.slice(0, whole))
-            rest = rows.slice(whole)
-        if rest is not None:
-            yield from pairs(rest)
+            leader = rows["leader"].to_numpy()
+            ends = np.append(np.flatnonzero(leader[1:] != leader[:-1]) + 1, len(leader))
+            # Whole leaders, some thousands of rows at a time; the last one may go on in the next batch.
+            begin = 0
+            for end in ends[:-1].tolist():
+                if end - begin >= 20_000 or end == ends[-2]:
+                    yield out(pairs(rows.slice(begin, end - begin)))
+                    begin = end
+            rest = rows.slice(begin)
+        if rest is not None and len(rest):
+            yield out(pairs(rest))
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(4)], names=["a", "b", "need", "n"])
 
     return run
 
@@ -460,7 +493,8 @@ def _verified(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
             keep = [similar(x, y, share) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = _with(pairs.select("a", "b").distinct(), members, "point").mapInArrow(by_points, "a long, b long")
+    # Written, so that Spark knows how few they are and need not move the sets.
+    near = written(_with(pairs, members, "point").mapInArrow(by_points, "a long, b long"), "near")
     return _with(near, members, "shingles").mapInArrow(by_sets, "a long, b long")
 
 
@@ -510,34 +544,33 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE,
     order = np.argsort(hashes)
     frequent = spark.sparkContext.broadcast(np.stack([hashes[order], seen[order]]))
 
-    total = nodes.agg(F.sum(F.floor(F.col("n") * (100 - share) / 100) + COMMON)).first()[0] or 0
+    front = F.floor(F.col("n") * (100 - share) / 100) + F.greatest(F.lit(COMMON), F.floor(F.col("n") / COMMON_PART))
+    total = nodes.agg(F.sum(front)).first()[0] or 0
     buckets = max(BUCKETS, -(-int(total) // BUCKET))
     kind, deal = _postings(frequent, words, share, buckets, hot)
     dealt = docs.mapInArrow(deal, "bucket long, postings binary")
     lists = written(dealt.groupBy("bucket").applyInArrow(_lists(kind), "list long, set_id long, n long, members long"), "lists")
+    lists = lists.withColumn("hot", F.col("members").isNull())
     if len(seen) and int(seen.max()) >= hot:
-        parts = written(lists.filter("members is null").drop("members").distinct(), "hot")
-        sizes = parts.groupBy("list").agg(F.greatest(F.count("*"), F.lit(short + 1)).alias("members"))
-        lists = lists.filter("members is not null").unionByName(parts.join(sizes, "list").select(lists.columns))
+        lists = lists.filter("not hot").unionByName(lists.filter("hot").distinct())  # a hot list's sets come from many tasks
+    lists = _pruned(lists, share)
 
-    homes = written(_homes(lists, share, chunk, 0), "homes")
-    able = homes.select("set_id").distinct()
-    wanted = able.join(nodes, "set_id").select("set_id", "doc_id")
+    wanted = written(lists.select("set_id").distinct().join(nodes, "set_id").select("set_id", "doc_id"), "wanted")
     members = written(_members(docs, wanted, words), "members")
-    links, joined, still = None, None, lists
-    for turn in range(ROUNDS):
-        homes = homes if turn == 0 else written(_homes(still, share, chunk, turn), "homes")
-        found = written(members.join(homes, "set_id").groupBy("list", "chunk").applyInArrow(_blocks(share), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        joined = components(links)
-        still = written(_open(lists if turn == 0 else still.drop("component"), joined, able), "open")
-
-    near = still.filter(F.col("members") <= short).select("list", "set_id", "n", "component")
-    counted = near.repartition("list").sortWithinPartitions("list").mapInArrow(_cross_pairs(share), "a long, b long, need long, n long")
+    homes = written(_homes(lists, chunk), "homes")
+    links = written(members.join(homes, "set_id").groupBy("list", "chunk").applyInArrow(_blocks(share), "a long, b long"), "links")
+    joined = components(links)
+
+    labelled = _per_list(_labelled(lists, joined), least=F.min("component"), most=F.max("component"), leader=F.min("set_id"))
+    still = written(labelled.filter("least <> most").drop("least", "most", "hot"), "open")
+    near = still.filter(F.col("members") <= short).select("leader", "list", "set_id", "n", "component")
+    counted = near.repartition("leader").sortWithinPartitions("leader", "list").mapInArrow(_cross_pairs(share), "a long, b long, need long, n long")
     pairs = counted.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).filter("n >= need").select("a", "b")
-    long_lists = _dealt(still.filter(F.col("members") > short), chunk)
+    # Long lists of one leader have much the same members, too: they are one list of all of them.
+    grouped = written(still.filter(F.col("members") > short).select(F.col("leader").alias("list"), "set_id", "component").distinct(), "long")
+    sizes = grouped.groupBy("list").agg(F.count("*").alias("members"))
     tiles = (
-        long_lists.drop("n")
+        _dealt(grouped.join(apart(sizes), "list"), chunk)
         .join(members.select("set_id", "n", "point"), "set_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select(
@@ -552,9 +585,18 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE,
         )
     )
     second = tiles.groupBy("list", "one", "two").applyInArrow(_second_meetings(share), "a long, b long")
-    more = written(_verified(pairs.unionByName(second), members, share), "links")
-    if more.limit(1).count():
-        joined = components(links.unionByName(more))
+    candidates = written(pairs.unionByName(second).distinct(), "candidates")
+    # One pair of every two components first: what it joins needs no more looks.
+    for last in (False, True):
+        between = candidates
+        for x in "ab":
+            between = between.join(apart(joined.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))), x, "left").withColumn(f"_{x}", F.coalesce(f"_{x}", x))
+        between = between.filter("_a <> _b")
+        if not last:
+            between = between.groupBy(F.least("_a", "_b"), F.greatest("_a", "_b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        more = written(_verified(written(between.select("a", "b"), "pairs"), members, share), "links")
+        if not more.isEmpty():
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     label = nodes.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
