@@ -1,13 +1,16 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons of insults, words mined from the labelled rows, patterns such as direct address or
-shouting, and, on labelled rows, the label itself. A generative label model with a latent class estimates by EM how
-often each voter fires on toxic and on other texts, and from the posterior residuals how strongly voters correlate; a
-voter that repeats what others say counts for less. The posteriors, not the labels, train a linear classifier over
-hashed words, and that classifier alone scores texts.
+Many voters look at a text: lexicons of insults, words mined from the labelled rows, and patterns such as direct address
+or shouting. A generative label model with a latent class estimates by EM, from the votes on all training texts, labelled
+or not, how often each voter fires on toxic and on other texts (its accuracies), and for every voter at most one other on
+whose vote its own depends given the class (its correlations): the edges are the strongest tree of mutual information
+given the class, and the chances of a vote are estimated for each vote of the other, so a voter that repeats another
+adds nothing. Labels only mine words and give EM its start, which tells which of the classes is the toxic one; from there
+on it sees the votes alone. The posteriors, not the labels, train a linear classifier over hashed words, and that classifier alone scores texts.
 
-Voters and classifier are DataFrame and MLlib operations. The fit uses at most ``SAMPLE_ROWS`` labelled rows, those
-with the smallest hashes of their ids; vote patterns are counted by Spark, and only counts reach the driver.
+Voters and classifier are DataFrame and MLlib operations. Votes are counted by Spark over all training texts, and only
+the counts of patterns, at most two to the number of voters, reach the driver. The classifier's fit uses at most
+``SAMPLE_ROWS`` labelled rows, those with the smallest hashes of their ids.
 
 Cases: null and empty texts have no words and get the score of the intercept; texts are scored whole; repeated rows are
 scored each time; labels that are null are not learned from; ids that are repeated in the labels count once; with no
@@ -30,11 +33,14 @@ from .common import crc_mod, written
 #: Labelled rows that the fit uses at most.
 SAMPLE_ROWS = 20_000
 FEATURES = 1 << 18
-#: Partitions of the sample while the classifier is fitted; each sends a gradient in every step.
-FIT_PARTITIONS = 6
+#: Partitions of the sample while the classifier is fitted; each sends a gradient in every step. Up to four of them send it
+#: to the driver without a shuffle between, whose files would pile up over the steps.
+FIT_PARTITIONS = 4
 #: Words mined from the labels, and the voters that they are dealt to.
-MINED_WORDS, MINED_VOTERS = 60, 6
-EM_ROUNDS = 60
+MINED_WORDS, MINED_VOTERS = 240, 12
+EM_ROUNDS = 100
+#: Information of two voters about one another, in nats a text, with which they are tied.
+LEAST_INFORMATION = 1e-6
 
 # Words that insult.
 LEXICONS = {
@@ -90,7 +96,7 @@ def voters(mined: list[str]) -> dict[str, Column]:
     """Name to a Boolean column over (text, words)."""
     hits = lambda found: F.arrays_overlap("words", F.array(*[F.lit(x) for x in found]))
     out = {f"lexicon {k}": hits(v) for k, v in LEXICONS.items()}
-    for i in range(MINED_VOTERS):
+    for i in range(MINED_VOTERS):  # dealt out, so that every voter knows words of all languages and strengths
         if own := mined[i::MINED_VOTERS]:
             out[f"mined {i}"] = hits(own)
     known = sorted({x for v in LEXICONS.values() for x in v})
@@ -104,52 +110,111 @@ def voters(mined: list[str]) -> dict[str, Column]:
 
 @dataclass
 class LabelModel:
-    """Log-odds of toxicity are ``bias`` plus the weights of the voters that fired. ``rates``: firing by class."""
+    """``rates``: P(fires | class), 2 x voters. ``parents``: the voter on whose vote each depends, or -1. ``chances``:
+    P(fires | class, the parent's vote), 2 x 2 x voters. ``correlations``: of votes given the class, 2 x voters x voters."""
 
     names: list[str]
-    bias: float
-    weights: np.ndarray
+    prior: float
     rates: np.ndarray
+    parents: list[int]
+    chances: np.ndarray
     correlations: np.ndarray
 
+    @property
+    def bias(self) -> float:
+        return float(np.log(self.prior / (1 - self.prior)))
 
-def fit_label_model(names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> LabelModel:
+    def evidence(self) -> np.ndarray:
+        """Log-odds that each vote adds: the parent's vote x own vote x voters."""
+        fires = np.log(self.chances[1] / self.chances[0])
+        quiet = np.log((1 - self.chances[1]) / (1 - self.chances[0]))
+        return np.stack([quiet, fires], axis=1)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        table, odds = self.evidence(), np.full(len(votes), self.bias)
+        for j, k in enumerate(self.parents):
+            odds += table[votes[:, k] if k >= 0 else 0, votes[:, j], j]
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def _dependence(votes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mutual information of every two voters given the class, in nats a text, and their correlations in each class."""
+    total, n = weight.sum(), votes.shape[1]
+    info, corr = np.zeros((n, n)), np.zeros((2, n, n))
+    for y in (0, 1):
+        size = weight[y].sum() + 1e-9
+        one = (weight[y] @ votes) / size
+        both = (votes * weight[y][:, None]).T @ votes / size
+        cells = [(both, one[:, None] * one), (one[:, None] - both, one[:, None] * (1 - one)), (one - both, (1 - one)[:, None] * one), (1 - one[:, None] - one + both, (1 - one)[:, None] * (1 - one))]
+        for p, q in cells:
+            p = np.maximum(p, 0)
+            info += size / total * np.where(p > 1e-12, p * np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)), 0)
+        spread = np.sqrt(np.maximum(one * (1 - one), 1e-12))
+        corr[y] = (both - one[:, None] * one) / np.outer(spread, spread)
+    np.fill_diagonal(info, 0)
+    return info, corr
+
+
+def _strongest_tree(info: np.ndarray, least: float) -> list[int]:
+    """Parents in a forest with the most information; edges with less than ``least`` are left out."""
+    n = len(info)
+    parents, best, come = [-1] * n, np.full(n, -1.0), [-1] * n
+    left = set(range(n))
+    while left:
+        j = max(left, key=lambda x: (best[x], -x))
+        left.remove(j)
+        if best[j] >= least:
+            parents[j] = come[j]
+        for k in left:
+            if info[j, k] > best[k]:
+                best[k], come[k] = info[j, k], j
+    return parents
+
+
+def _estimated(names: list[str], votes: np.ndarray, weight: np.ndarray) -> LabelModel:
+    """The model that fits votes best whose patterns have these weights in the two classes (2 x patterns)."""
+    total, size = weight.sum(), weight.sum(axis=1)
+    rates = (weight @ votes + 0.5) / (size[:, None] + 1.0)
+    info, corr = _dependence(votes, weight)
+    parents = _strongest_tree(info, max(10.0 / max(total, 1.0), LEAST_INFORMATION))
+    chances = np.stack([rates, rates], axis=1)
+    for j, k in enumerate(parents):
+        if k < 0:
+            continue
+        for a in (0, 1):
+            own = weight * (votes[:, k] == a)
+            # Shrunk to the voter's rate in the class, so that rare votes of the parent say little.
+            chances[:, a, j] = (own @ votes[:, j] + 2 * rates[:, j]) / (own.sum(axis=1) + 2)
+    return LabelModel(names, float(np.clip(size[1] / max(total, 1.0), 1e-4, 0.5)), rates, parents, np.clip(chances, 1e-6, 1 - 1e-6), corr)
+
+
+def fit_label_model(names: list[str], votes: np.ndarray, counts: np.ndarray, start: LabelModel | None = None, rounds: int = EM_ROUNDS) -> LabelModel:
     """EM over counted vote patterns. ``votes``: patterns x voters, 0 or 1.
 
-    Class 1 starts where any voter fired that seldom fires. Voters' evidence is divided by one plus the absolute
-    correlations that its residuals have with those of the others given the class.
+    Without a model to start from, class 1 starts where voters fired that seldom fire, those that fire together sharing
+    a say. The tree of dependences is drawn anew in every round from the posteriors of the round before.
     """
-    votes, counts = votes.astype(float), counts.astype(float)
-    total = counts.sum()
-    share = (counts @ votes) / total
-    seldom = np.maximum(np.log((1 - share + 1e-3) / (share + 1e-3)), 0)
-    post = 1 / (1 + np.exp(-(votes @ seldom - 2.0)))
-    discount = np.ones(votes.shape[1])
-    corr = np.zeros((votes.shape[1],) * 2)
-    for step in range(rounds):
-        weight = np.stack([counts * (1 - post), counts * post])
-        rates = (weight @ votes + 0.5) / (weight.sum(axis=1, keepdims=True) + 1.0)
-        prior = np.clip(weight[1].sum() / total, 1e-4, 0.5)
-        if step >= rounds // 2:
-            cov = np.zeros_like(corr)
-            for k in (0, 1):
-                left = votes - rates[k]
-                cov += (left * weight[k][:, None]).T @ left
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = cov / np.outer(scale, scale)
-            strong = np.abs(corr) * (np.abs(corr) > 0.1)
-            discount = 1 / (1 + strong.sum(axis=1) - np.diag(strong))
-        fired, quiet = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        weights = discount * (fired - quiet)
-        bias = float(np.log(prior / (1 - prior)) + (discount * quiet).sum())
-        post = 1 / (1 + np.exp(-np.clip(votes @ weights + bias, -30, 30)))
-    return LabelModel(names, bias, weights, rates, corr)
+    votes, counts = votes.astype(np.int64), counts.astype(float)
+    if start is None:
+        share = (counts @ votes) / counts.sum()
+        alike = _dependence(votes, np.stack([counts, 0 * counts]))[1][0] ** 2
+        np.fill_diagonal(alike, 1.0)
+        seldom = np.maximum(np.log((1 - share + 1e-3) / (share + 1e-3)), 0) / alike.sum(axis=1)
+        post = 1 / (1 + np.exp(-(votes @ seldom - 2.0)))
+    else:
+        post = start.posterior(votes)
+    for _ in range(rounds):
+        model = _estimated(names, votes, np.stack([counts * (1 - post), counts * post]))
+        post = model.posterior(votes)
+    return model
 
 
 def posterior(model: LabelModel, votes: dict[str, Column]) -> Column:
-    odds = F.lit(model.bias)
-    for name, w in zip(model.names, model.weights.tolist()):
-        odds = odds + F.when(votes[name], F.lit(w)).otherwise(0.0)
+    odds, table = F.lit(model.bias), model.evidence()
+    own = [votes[n] for n in model.names]
+    for j, k in enumerate(model.parents):
+        value = lambda a, j=j: F.when(own[j], F.lit(float(table[a, 1, j]))).otherwise(F.lit(float(table[a, 0, j])))
+        odds = odds + (value(0) if k < 0 else F.when(own[k], value(1)).otherwise(value(0)))
     return 1 / (1 + F.exp(-odds))
 
 
@@ -159,15 +224,26 @@ class ToxicityModel:
     classifier: LogisticRegressionModel | None
 
 
+def counted_votes(rows: DataFrame, votes: dict[str, Column], more: list[str] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """(patterns x voters, counts) of the votes on all rows (text, words); columns of ``more`` follow the voters."""
+    cast = {f"v{i}": F.coalesce(c, F.lit(False)).cast("int") for i, c in enumerate(votes.values())}
+    found = rows.select(*[c.alias(k) for k, c in cast.items()], *more).groupBy(*cast, *more).agg(F.count("*").alias("n")).collect()
+    return np.array([r[:-1] for r in found], np.int64).reshape(-1, len(cast) + len(more)), np.array([r["n"] for r in found], np.int64)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     rows = written(labelled(docs, labels, sample_rows), "labelled")
-    votes = voters(mined_words(rows)) | {"label": F.col("toxic") == 1}
-    names = list(votes)
-    cast = {f"v{i}": F.coalesce(votes[n], F.lit(False)) for i, n in enumerate(names)}
-    found = rows.select(*[c.alias(k) for k, c in cast.items()]).groupBy(*cast).count().toPandas()
-    if not len(found) or not found[list(cast)].to_numpy().any():
+    votes = {n: F.coalesce(v, F.lit(False)) for n, v in voters(mined_words(rows)).items()}
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    training = docs.filter(crc_mod("doc_id", 5) != 0).select(text).withColumn("words", words_of(F.col("text")))
+    patterns, counts = counted_votes(training, votes)
+    known, n = counted_votes(rows, votes, ["toxic"])
+    if not len(known) or not patterns.any():
         return ToxicityModel(None, None)
-    model = fit_label_model(names, found[list(cast)].to_numpy(), found["count"].to_numpy())
+    # The labels tell EM which class is the toxic one by where it starts; from there on it sees votes alone.
+    toxic = known[:, -1] == 1
+    start = _estimated(list(votes), known[:, :-1], np.stack([n * ~toxic, n * toxic]).astype(float)) if toxic.any() else None
+    model = fit_label_model(list(votes), patterns, counts, start)
     soft = rows.select("words", posterior(model, votes).alias("p"))
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="features").transform(soft)
     both = hashed.select(
