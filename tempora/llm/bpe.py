@@ -26,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, texts
+from .common import in_chunks, texts, tidy
 
 #: Words and fragments that a task keeps; beyond that its cache starts anew.
 CACHE_WORDS, CACHE_FRAGMENTS = 500_000, 100_000
+#: Characters of the longest word that is kept from one text to the next; so a cache is bounded in bytes, too.
+KEPT_WORD = 64
 #: Characters that are cut at once: few enough for the processor's cache.
 CHUNK = 100_000
 
@@ -49,9 +51,11 @@ class _Cache(dict):
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= KEPT_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -71,6 +75,7 @@ class Encoder:
         model = made["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        self._check(made)
         self.whole = Tokenizer.from_file(path)
         self.last = models.BPE(model["vocab"], merges, end_of_word_suffix=self.suffix or None)
         self.inner = models.BPE(model["vocab"], merges) if self.suffix else self.last
@@ -90,6 +95,15 @@ class Encoder:
         self.cut_out = _Cache(self._cut_out, CACHE_FRAGMENTS)
         self.words: dict[str, bytes] = {}
 
+    @staticmethod
+    def _check(made: dict) -> None:
+        """The array path and the decoder suit files of one form; others are refused, not coded wrongly."""
+        model = made["model"]
+        parts = str(made.get("normalizer")), str(made.get("pre_tokenizer"))
+        ok = model.get("type") == "BPE" and made.get("decoder") is None and not model.get("byte_fallback") and not model.get("continuing_subword_prefix")
+        if not (ok and "Lowercase" in parts[0] and "ByteLevel" in parts[1] and all("<|" in x["content"] for x in made["added_tokens"])):
+            raise ValueError("a lower-casing byte-level BPE file without a decoder is needed")
+
     def _fragment(self, letters: str, is_last: bool) -> list[int]:
         return [x.id for x in (self.last if is_last else self.inner).tokenize(letters)]
 
@@ -172,6 +186,9 @@ class Encoder:
                 new = {w for words in split for w in words}
             self._learn(new)
             out += [b"".join(map(known.__getitem__, words)) for words in split]
+            for w in new:
+                if len(w) > KEPT_WORD:
+                    del known[w]
         return out
 
     def encode(self, text: str) -> bytes:
@@ -192,42 +209,13 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
-def _coded(path: str):
-    def run(batches):
-        code = encoder(path)
-        for batch in batches:
-            ids = code.encode_all(texts(batch))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.large_binary()).cast(pa.binary())], names=["doc_id", "ids"]
-            )
-
-    return run
-
-
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers in one binary value."""
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pick.mapInArrow(_coded(path), "doc_id long, ids binary")
-
-
-def decode_documents(coded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of the result of ``encode_documents``."""
-
-    def run(batches):
-        code = encoder(path)
-        for batch in batches:
-            found = [code.decode(x or b"") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "text"])
-
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
-
-
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Ids and decoded text are made and digested in one pass, so neither is shuffled or written.
     """
 
+    @tidy
     def run(batches):
         code = encoder(path)
         for batch in batches:

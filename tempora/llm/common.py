@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -59,6 +61,23 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def tidy(run):
+    """``run``, a generator over batches, that gives the memory it has used back to the system when it ends: Spark keeps
+    its Python workers, and the stages of a pipeline would add up in them."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def in_chunks(sizes, most: int):
     """(start, end) ranges over consecutive items whose sizes sum to about ``most``; at least one item each."""
     start = total = 0

@@ -128,21 +128,19 @@ def _node(frame: pa.Table) -> pa.Table:
     return pa.table({"part": frame["part"][:1], "node": frame["node"][:1], "run": pa.array([run.tobytes()], pa.binary())})
 
 
-def _entries(batches):
-    for batch in batches:
-        for x in batch.column("run").to_pylist():
-            rows = np.frombuffer(x, _ENTRY)
-            rows = rows[rows["copies"] > 1]
+def _top(frame: pa.Table) -> pa.Table:
+    """The root of a range: the entries of the digests that several rows have."""
+    rows = merged([np.frombuffer(x, _ENTRY) for x in frame["run"].to_pylist()])
+    rows = rows[rows["copies"] > 1]
+    return pa.table(
+        {
             # ``tolist`` of byte strings drops zero bytes at their ends.
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([d.ljust(32, b"\0") for d in rows["digest"].tolist()], pa.binary()),
-                    pa.array(rows["keep_id"], mask=rows["nameless"]),
-                    pa.array(rows["row"].copy()),
-                    pa.array(rows["copies"].copy()),
-                ],
-                names=["digest", "keep_id", "keep_row", "copies"],
-            )
+            "digest": pa.array([d.ljust(32, b"\0") for d in rows["digest"].tolist()], pa.binary()),
+            "keep_id": pa.array(rows["keep_id"], mask=rows["nameless"]),
+            "keep_row": pa.array(rows["row"].copy()),
+            "copies": pa.array(rows["copies"].copy()),
+        }
+    )
 
 
 def copied(found: DataFrame) -> DataFrame:
@@ -152,9 +150,10 @@ def copied(found: DataFrame) -> DataFrame:
     runs = found.mapInArrow(_local_runs(ranges), RUN)
     while True:
         width = -(-width // FAN_IN)
-        runs = runs.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("part", "node").applyInArrow(_node, RUN)
+        nodes = runs.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("part", "node")
         if width <= 1:
-            return runs.mapInArrow(_entries, "digest binary, keep_id long, keep_row long, copies long")
+            return nodes.applyInArrow(_top, "digest binary, keep_id long, keep_row long, copies long")
+        runs = nodes.applyInArrow(_node, RUN)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_chunks, texts
+from .common import crc_mod, in_chunks, texts, tidy
 
 #: Share of a language's trigrams that one needs to belong to it, and its least ratio to the language with most.
 MIN_SHARE, MIN_RATIO = 1e-5, 0.05
@@ -190,6 +190,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in batches:
             langs, score = shared.value.predict(texts(batch))
@@ -212,6 +213,7 @@ def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.2)
     """Rows whose text is in a learned language with at least this score; all columns stay, nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in batches:
             langs, score = shared.value.predict(texts(batch))

@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import apart, texts, written
+from .common import apart, texts, tidy, written
 from .components import components
 
 WORDS, SHARE = 5, 80
 GROUPS = 256
 #: Words whose hashes a task keeps; postings that a task holds before it hands them on; postings of a bucket, about.
 CACHE, HELD, BUCKET = 200_000, 400_000, 100_000
+#: Bytes of the longest word whose hash is kept.
+KEPT_WORD = 64
 BUCKETS = 64
 #: Shingles in front that similar sets must share, if they have as many in all: so many at least, or this part of the set.
 #: More of them make longer fronts, but fewer texts that share a passage only are taken for candidates.
@@ -67,10 +69,10 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     known = _word_hashes
     if len(known) > CACHE:
         known.clear()
-    for w in found:
-        if w not in known:
+    for w in set(found):
+        if w not in known and len(w) <= KEPT_WORD:
             known[w] = xxhash.xxh3_64_digest(w)
-    h = np.frombuffer(b"".join([known[w] for w in found]), ">u8").astype(np.uint64)
+    h = np.frombuffer(b"".join([known[w] if len(w) <= KEPT_WORD else xxhash.xxh3_64_digest(w) for w in found]), ">u8").astype(np.uint64)
     if len(h) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(h))], np.uint64)
     n = len(h) - words + 1
@@ -182,6 +184,7 @@ def similar(a: bytes, b: bytes, share: int) -> bool:
 def _sets(words: int):
     """doc_id, set_id, n_shingles of each row; rows of a second kind name shingles that are frequent in the partition."""
 
+    @tidy
     def run(batches):
         held, n_held = [], 0
         frequent: Counter = Counter()
@@ -229,6 +232,7 @@ def _postings(shared, words: int, share: int, buckets: int, hot: int):
     """
     kind = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("n", "<i4")])
 
+    @tidy
     def run(batches):
         held, n_held, seen = [], 0, set()
         often = shared.value[0][shared.value[1] >= hot]

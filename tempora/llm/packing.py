@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark import TaskContext
 
 from .bpe import encoder
-from .common import in_chunks, texts
+from .common import in_chunks, texts, tidy
 
 WIDTH, END_ID = 2048, 1
 #: Penalties, in ids of padding: for a cut at a sentence's end, and inside a sentence.
@@ -111,6 +111,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, is_end: np.ndarray, width: int =
 def pack_documents(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
     """One row for each piece of a document; see ``SCHEMA``. Sequences of a partition have consecutive ids."""
 
+    @tidy
     def run(batches):
         code = encoder(path)
         ends = [i for i, t in code.shown.items() if t in (".</w>", "!</w>", "?</w>", "...</w>", '."</w>')]

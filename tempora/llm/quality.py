@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, texts
+from .common import crc_mod, texts, tidy
 
 PASSAGE_WORDS = 100
 SAMPLE_ROWS = 8_000
@@ -186,6 +186,7 @@ def score(docs: DataFrame, model: BagModel | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in batches:
             y = _scores(shared.value, texts(batch))
@@ -204,6 +205,7 @@ def attention(docs: DataFrame, model: BagModel) -> DataFrame:
     """(doc_id, passage, first_word, weight): how much each passage of every row counts for its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for i, x in zip(batch.column("doc_id").to_pylist(), texts(batch)):
@@ -222,6 +224,7 @@ def keep_good(docs: DataFrame, model: BagModel | None, least: float = LEAST) ->
     """Rows that score at least ``least``, with all their columns; everything stays if nothing could be learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in batches:
             if shared.value is None:
