@@ -142,6 +142,11 @@ def confidence_band(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "high").when(confidence >= 0.5, "medium").otherwise("low")
 
 
+def source_shown(source: Column, description: Column) -> Column:
+    """The source of a parsed event where it says more than its description; null elsewhere."""
+    return F.when(~source.eqNullSafe(description), source)
+
+
 def counted(n: Column, noun: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n != 1, "s").otherwise(""))
 

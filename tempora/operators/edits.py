@@ -7,16 +7,35 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
 
+#: Ranges in which rows are numbered side by side.
+RANGES = 256
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their number from 1 in the order of a numeric column.
+
+    Rows are dealt to ranges by approximate quantiles and numbered there, and every range begins behind the rows of
+    those before it, so no task sees all rows.
+    """
+    edges = rows.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_edges"))
+    dealt = rows.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col(order)))).drop("_edges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")  # at most ``RANGES`` rows
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.withColumn("_in", at).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_before", "_in")
+
 
 def upserted(locations: DataFrame, new: DataFrame, key: str = "id", place: str = "loc_ord") -> DataFrame:
     """Rows of ``new`` replace those with their key in place; the others follow at the end, in their own order.
 
-    ``new`` has the columns of ``locations``; its places order what is appended.
+    ``new`` has the columns of ``locations``; its places order what is appended. Of several rows of one key the last is
+    written, at the place of the first.
     """
+    others = [c for c in new.columns if c not in (key, place)]
+    new = new.groupBy(key).agg(F.min(place).alias(place), F.max_by(F.struct(*others), place).alias("_last")).select(key, place, "_last.*")
     last = locations.agg(F.coalesce(F.max(place), F.lit(-1)).alias("_last"))
     fresh = new.join(locations.select(key), key, "left_anti")
-    at = F.row_number().over(Window.orderBy(place))  # over one batch of edits
-    fresh = fresh.withColumn("_at", at).crossJoin(F.broadcast(last)).withColumn(place, (F.col("_last") + F.col("_at")).cast(locations.schema[place].dataType)).select(*locations.columns)
+    fresh = numbered(fresh, place, "_at").crossJoin(F.broadcast(last)).withColumn(place, (F.col("_last") + F.col("_at")).cast(locations.schema[place].dataType)).select(*locations.columns)
     rest = [c for c in locations.columns if c not in (key, place)]
     joined = locations.alias("o").join(new.withColumn("_is", F.lit(True)).alias("n"), key, "left")
     merged = joined.select(key, F.col(f"o.{place}").alias(place), *[F.when(F.col("n._is"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest])
@@ -58,6 +77,16 @@ def edited(rows: DataFrame) -> DataFrame:
     return clean.filter((F.col("title") != "") & (F.col("date") != ""))
 
 
+def all_selected(parsed: DataFrame, key: str = "id") -> DataFrame:
+    """The selection of everything."""
+    return parsed.select(key).distinct()
+
+
+def cleared(chosen: DataFrame) -> DataFrame:
+    """The empty selection."""
+    return chosen.limit(0)
+
+
 def toggled(chosen: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Symmetric difference."""
     both = chosen.select(key).distinct().withColumn("_s", F.lit(1)).unionByName(keys.select(key).distinct().withColumn("_s", F.lit(2)))

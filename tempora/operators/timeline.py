@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import sort_date, sort_date_or_epoch, year_text
+from ..functions.text import trimmed
 
 PAGE = 3
 
@@ -47,13 +48,20 @@ def active_year(rows: DataFrame, location: str) -> DataFrame:
 
 
 def paginated(rows: DataFrame, location: str, order: str, size: int = PAGE) -> DataFrame:
-    """Rows with year, page (from 0) within location and year, and whether there is a page before and behind."""
+    """Rows with year, page (from 0) within location and year, whether there is a page before and behind, and whether
+    a pager is shown, which one page needs not."""
     rows = rows.withColumn("year", year_text(F.col("date")))
     keys = Window.partitionBy(location, "year")
     n = F.row_number().over(keys.orderBy(sort_date(F.col("date")).asc_nulls_last(), order))
     pages = F.ceil(F.count("*").over(keys) / size)
     out = rows.withColumn("page", F.floor((n - 1) / size).cast("int")).withColumn("pages", pages.cast("int"))
-    return out.withColumn("has_previous", F.col("page") > 0).withColumn("has_next", F.col("page") < F.col("pages") - 1)
+    return out.withColumn("has_previous", F.col("page") > 0).withColumn("has_next", F.col("page") < F.col("pages") - 1).withColumn("pager_shown", F.col("pages") > 1)
+
+
+def year_tabs(rows: DataFrame, location: str) -> DataFrame:
+    """(location, years, tabs_shown): tabs of years are shown where there is more than one year."""
+    years = rows.groupBy(location).agg(F.count_distinct(year_text(F.col("date"))).alias("years"))
+    return years.withColumn("tabs_shown", F.col("years") > 1)
 
 
 def shown_tags(tags: Column, most: int = 2) -> Column:
@@ -144,8 +152,6 @@ def web_url(url: Column) -> Column:
 
 def new_overlay(rows: DataFrame) -> DataFrame:
     """(id, name, url, source) as overlays with defaults; blank names and addresses are refused."""
-    from ..functions.text import trimmed
-
     name, url = trimmed(F.col("name")), trimmed(F.col("url"))
     annotated = F.col("source") == "allmaps"
     return rows.filter((name != "") & (url != "")).select(
@@ -155,6 +161,11 @@ def new_overlay(rows: DataFrame) -> DataFrame:
     )
 
 
+def added(overlays: DataFrame, new: DataFrame) -> DataFrame:
+    """Overlays with new ones behind them; ``edits.deleted`` takes one away."""
+    return overlays.unionByName(new, allowMissingColumns=True)
+
+
 def toggled(overlays: DataFrame, id: str) -> DataFrame:
     return overlays.withColumn("enabled", F.when(F.col("id") == id, ~F.col("enabled")).otherwise(F.col("enabled")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import location_id, stable_id
 from ..operators import edits, search
-from ..schema import EVENT, LOCATIONS
+from ..schema import EVENT, LOCATION, LOCATIONS
 from ..sources import documents
 from . import extract
 
@@ -43,6 +43,13 @@ class Engine:
     def upsert_location(self, rows: DataFrame) -> None:
         self._store(edits.upserted(self.locations(), rows))
 
+    def create_location_with_events(self, name: str, coordinates: list[float], events: list[tuple]) -> str:
+        """Store a new location and all its events in one edit; its id, which comes from the name."""
+        made = self.spark.createDataFrame([(None, name, coordinates, events)], LOCATION)
+        row = documents.new_location(made).withColumn("loc_ord", F.lit(0)).select(*LOCATIONS.names)
+        self._store(edits.upserted(self.locations(), row))
+        return row.first()["id"]
+
     def delete_location(self, id: str) -> bool:
         """Whether there was such a location; nothing is written if not."""
         rows = self.locations()

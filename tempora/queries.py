@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import dates, numbers, text
 from .operators import edits, search, timeline
 from .plans import extract
+from .schema import EVENT, LOCATION
 from .sources import documents
 from .streaming import state
 
@@ -78,7 +79,8 @@ def nested(spark: SparkSession, d: str) -> DataFrame:
         F.col("evt_ord").cast("string").alias("id"), "title", "description", "date", F.lit(None).cast("string").alias("imageUrl"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("source")
     )
     per = events(spark, d).groupBy("loc_ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("evt_ord", made.alias("e")))), lambda x: x["e"]).alias("events"))
-    return locations(spark, d).join(per, "loc_ord").select("loc_ord", "id", "name", F.array("lon", "lat").alias("coordinates"), "events")
+    events_or_none = F.coalesce("events", F.array().cast(per.schema["events"].dataType))
+    return locations(spark, d).join(per, "loc_ord", "left").select("loc_ord", "id", "name", F.array("lon", "lat").alias("coordinates"), events_or_none.alias("events"))
 
 
 def overlays(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +90,14 @@ def overlays(spark: SparkSession, d: str) -> DataFrame:
     return p.join(years, p.p_partkey == years.l_partkey).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("z"), "year_from", "year_to")
 
 
+_FOUND = ["loc_ord", "location_id", "name", "evt_ord", "title", "date"]
+
+
+def _flat(spark: SparkSession, d: str) -> DataFrame:
+    """Events as rows with the names of their locations: what needs no arrays is filtered before anything is shuffled."""
+    return events(spark, d).join(locations(spark, d).withColumnRenamed("id", "location_id"), "loc_ord")
+
+
 def _found(rows: DataFrame) -> DataFrame:
     return rows.select("loc_ord", "location_id", "name", F.col("event.id").cast("long").alias("evt_ord"), "event.title", "event.date")
 
@@ -98,12 +108,12 @@ def _search_sql(condition: str) -> str:
 
 @_query("search_keyword", _search_sql("contains(lower(title), 'urgent') OR contains(lower(description), 'urgent') OR contains(lower(name), 'urgent')"))
 def _(s, d):
-    return _found(search.search_events(nested(s, d), "URGENT"))
+    return search.search_flat(_flat(s, d), "URGENT").select(*_FOUND)
 
 
 @_query("search_year_range", _search_sql("(contains(lower(title), 'a') OR contains(lower(description), 'a') OR contains(lower(name), 'a')) AND (k IS NULL OR year(k) BETWEEN 1996 AND 1998)"))
 def _(s, d):
-    return _found(search.search_events(nested(s, d), "a", 1996, 1998))
+    return search.search_flat(_flat(s, d), "a", 1996, 1998).select(*_FOUND)
 
 
 @_query("search_open_bound", _search_sql("k IS NULL OR year(k) >= 2000"))
@@ -133,7 +143,7 @@ def _(s, d):
     return search.distinct_locations(search.search_events(nested(s, d), "high")).select("loc_ord", "location_id", "name")
 
 
-@_query("list_locations", f"WITH {LOC}, {EVT} SELECT id, any_value(name) AS name, count(*) AS event_count FROM loc JOIN evt USING (loc_ord) GROUP BY id")
+@_query("list_locations", f"WITH {LOC}, {EVT} SELECT id, any_value(name) AS name, count(evt_ord) AS event_count FROM loc LEFT JOIN evt USING (loc_ord) GROUP BY id")
 def _(s, d):
     return search.list_locations(nested(s, d)).select("id", "name", F.col("eventCount").cast("long").alias("event_count"))
 
@@ -143,7 +153,7 @@ def _(s, d):
     return search.visible(nested(s, d), 1995, 1996).select("id")
 
 
-@_query("timeline_nested_filter", f"WITH {LOC}, {EVT} SELECT id, count(*) FILTER (ty BETWEEN 1995 AND 1996) AS n FROM loc JOIN evt USING (loc_ord) GROUP BY id")
+@_query("timeline_nested_filter", f"WITH {LOC}, {EVT} SELECT id, count(*) FILTER (ty BETWEEN 1995 AND 1996) AS n FROM loc LEFT JOIN evt USING (loc_ord) GROUP BY id")
 def _(s, d):
     return search.with_events_in(nested(s, d), 1995, 1996).select("id", F.size("events").cast("long").alias("n"))
 
@@ -204,10 +214,10 @@ def _(s, d):
 @_query(
     "paginate",
     f"""WITH {EVT}, r AS (SELECT *, row_number() OVER (PARTITION BY loc_ord, year_text ORDER BY k NULLS LAST, evt_ord) - 1 AS i, count(*) OVER (PARTITION BY loc_ord, year_text) AS c FROM evt)
-    SELECT loc_ord, evt_ord, year_text AS year, CAST(i // 3 AS INTEGER) AS page, CAST((c + 2) // 3 AS INTEGER) AS pages, i >= 3 AS has_previous, i // 3 < (c + 2) // 3 - 1 AS has_next FROM r""",
+    SELECT loc_ord, evt_ord, year_text AS year, CAST(i // 3 AS INTEGER) AS page, CAST((c + 2) // 3 AS INTEGER) AS pages, i >= 3 AS has_previous, i // 3 < (c + 2) // 3 - 1 AS has_next, c > 3 AS pager_shown FROM r""",
 )
 def _(s, d):
-    return timeline.paginated(events(s, d), "loc_ord", "evt_ord").select("loc_ord", "evt_ord", "year", "page", "pages", "has_previous", "has_next")
+    return timeline.paginated(events(s, d), "loc_ord", "evt_ord").select("loc_ord", "evt_ord", "year", "page", "pages", "has_previous", "has_next", "pager_shown")
 
 
 @_query("sort_chrono", f"WITH {EVT} SELECT loc_ord, evt_ord, CAST(row_number() OVER (PARTITION BY loc_ord ORDER BY k NULLS LAST, evt_ord) AS INTEGER) AS rank FROM evt")
@@ -240,26 +250,21 @@ def _(s, d):
     return timeline.overlay_bounds(overlays(s, d))
 
 
-@_query("overlay_event_range_join", f"WITH {EVT}, {OVL} SELECT ovl.id, count(*) AS n FROM (SELECT DISTINCT loc_ord, ty FROM evt WHERE ty IS NOT NULL AND loc_ord % 10 = 0) e JOIN ovl ON ty BETWEEN year_from AND year_to WHERE z <= 5 GROUP BY ovl.id")
-def _(s, d):
-    own = events(s, d).select("loc_ord", dates.timeline_year(F.col("date")).alias("year")).filter("year is not null and loc_ord % 10 = 0").distinct()
-    return timeline.in_overlay_years(own, overlays(s, d).filter("z <= 5")).groupBy("id").agg(F.count("*").alias("n"))
-
-
-@_query("overlay_ranges_overlap", f"WITH {OVL}, r AS (SELECT s_suppkey AS r, CAST(1990 + s_suppkey % 12 AS INTEGER) AS lo, CAST(1990 + s_suppkey % 12 + s_suppkey % 3 AS INTEGER) AS hi FROM supplier) SELECT r, count(*) AS n FROM r JOIN ovl ON year_to >= lo AND year_from <= hi WHERE z = 1 GROUP BY r")
-def _(s, d):
-    key = F.col("s_suppkey")
-    ranges = _table(s, d, "supplier").select(key.alias("r"), (1990 + key % 12).cast("int").alias("lo"), (1990 + key % 12 + key % 3).cast("int").alias("hi"))
-    return timeline.overlays_overlapping_each(ranges, overlays(s, d).filter("z = 1")).groupBy("r").agg(F.count("*").alias("n"))
+_OVERLAY_EVENT_RANGE_JOIN = f"WITH {EVT}, {OVL}, e AS (SELECT ty, count(DISTINCT loc_ord) AS c FROM evt WHERE ty IS NOT NULL GROUP BY ty) SELECT ovl.id, CAST(sum(c) AS BIGINT) AS n FROM e JOIN ovl ON ty BETWEEN year_from AND year_to GROUP BY ovl.id"
 
 
-@_query("overlay_event_range_join_all", f"WITH {EVT}, {OVL}, e AS (SELECT ty, count(DISTINCT loc_ord) AS c FROM evt WHERE ty IS NOT NULL GROUP BY ty) SELECT ovl.id, CAST(sum(c) AS BIGINT) AS n FROM e JOIN ovl ON ty BETWEEN year_from AND year_to GROUP BY ovl.id")
+@_query("overlay_event_range_join", _OVERLAY_EVENT_RANGE_JOIN)
+@_query("overlay_event_range_join_all", _OVERLAY_EVENT_RANGE_JOIN)
 def _(s, d):
     own = events(s, d).select("loc_ord", dates.timeline_year(F.col("date")).alias("year")).filter("year is not null").distinct()
     return timeline.counted_in_overlay_years(own, overlays(s, d))
 
 
-@_query("overlay_ranges_overlap_all", f"WITH {OVL}, r AS (SELECT s_suppkey AS r, CAST(1990 + s_suppkey % 12 AS INTEGER) AS lo, CAST(1990 + s_suppkey % 12 + s_suppkey % 3 AS INTEGER) AS hi FROM supplier), o AS (SELECT year_from, year_to, count(*) AS c FROM ovl GROUP BY ALL) SELECT r, CAST(sum(c) AS BIGINT) AS n FROM r JOIN o ON year_to >= lo AND year_from <= hi GROUP BY r")
+_OVERLAY_RANGES_OVERLAP = f"WITH {OVL}, r AS (SELECT s_suppkey AS r, CAST(1990 + s_suppkey % 12 AS INTEGER) AS lo, CAST(1990 + s_suppkey % 12 + s_suppkey % 3 AS INTEGER) AS hi FROM supplier), o AS (SELECT year_from, year_to, count(*) AS c FROM ovl GROUP BY ALL) SELECT r, CAST(sum(c) AS BIGINT) AS n FROM r JOIN o ON year_to >= lo AND year_from <= hi GROUP BY r"
+
+
+@_query("overlay_ranges_overlap", _OVERLAY_RANGES_OVERLAP)
+@_query("overlay_ranges_overlap_all", _OVERLAY_RANGES_OVERLAP)
 def _(s, d):
     key = F.col("s_suppkey")
     ranges = _table(s, d, "supplier").select(key.alias("r"), (1990 + key % 12).cast("int").alias("lo"), (1990 + key % 12 + key % 3).cast("int").alias("hi"))
@@ -485,7 +490,7 @@ def _(s, d):
     return locations(s, d).select("id", text.slug(F.col("name")).alias("slug"))
 
 
-@_query("text_size_guard", "SELECT doc_id, length(text) > 51200 OR length(text) = 0 AS refused FROM documents")
+@_query("text_size_guard", r"SELECT doc_id, coalesce(length(text), 0) > 51200 OR regexp_full_match(coalesce(text, ''), '[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*') AS refused FROM documents")
 def _(s, d):
     return documents.checked_texts(_table(s, d, "documents")).select("doc_id", F.col("error").isNotNull().alias("refused"))
 
@@ -510,14 +515,11 @@ def _(s, d):
     return _table(s, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@_query("json_roundtrip", f"WITH {LOC}, {EVT} SELECT id, name, count(*) AS n FROM loc JOIN evt USING (loc_ord) WHERE loc_ord <= 200 GROUP BY ALL")
-def _(s, d):
-    rows = nested(s, d).filter("loc_ord <= 200")
-    back = documents.import_json(documents.export_json(documents.document_of(rows))).filter("valid").select("document.*")
-    return documents.locations(back).select("id", "name", F.size("events").cast("long").alias("n"))
+_ROUNDTRIP = f"WITH {LOC}, {EVT} SELECT id, name, count(evt_ord) AS n FROM loc LEFT JOIN evt USING (loc_ord) GROUP BY ALL"
 
 
-@_query("json_roundtrip_all", f"WITH {LOC}, {EVT} SELECT id, name, count(*) AS n FROM loc JOIN evt USING (loc_ord) GROUP BY ALL")
+@_query("json_roundtrip", _ROUNDTRIP)
+@_query("json_roundtrip_all", _ROUNDTRIP)
 def _(s, d):
     rows = nested(s, d).withColumn("part", F.floor(F.col("loc_ord") / 1000))
     back = documents.import_json(documents.export_json(documents.documents_of(rows, ["part"]))).filter("valid").select("document.*")
@@ -579,3 +581,119 @@ def _(s, d):
     block = F.concat(F.lit("EVENT: Order "), F.col("o_orderkey").cast("string"), F.lit("\nDATE: "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("\nDESCRIPTION: "), F.col("o_orderpriority"), F.lit("\n\n"))
     docs = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", block.alias("b")))), lambda x: x["b"]), "").alias("text"))
     return extract.parse_documents(docs, "structured").select("doc_id", "title", "description", "date", "rank")
+
+
+@_query("find_location_by_name", f"WITH {LOC} SELECT id, name FROM loc WHERE name = (SELECT min(name) FROM loc)")
+def _(s, d):
+    rows = locations(s, d)
+    return search.find_location(rows, name=rows.agg(F.min("name")).first()[0]).select("id", "name")
+
+
+@_query("annotation_urls", r"SELECT page_id, CAST(regexp_matches(url, '^(?i)https:') OR regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(allmaps\.org|iiif\.io)') AS BOOLEAN) AS valid FROM pages")
+def _(s, d):
+    return _table(s, d, "pages").select("page_id", timeline.valid_annotation_url(F.col("url")).alias("valid"))
+
+
+@_query(
+    "parsed_as_events",
+    f"SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, 'EVENT: Order ' || o_orderkey || ' | date: ' || {_FORMS} || ' | DATE: ' || strftime(o_orderdate, '%Y-%m-%d') || ' |Description: ' || o_orderstatus AS source FROM orders WHERE o_orderkey % 2 = 0",
+)
+def _(s, d):
+    parsed = extract.parse_documents(records(s, d), "structured")
+    made = search.parsed_as_events(parsed.withColumn("id", F.col("doc_id").cast("string")))
+    return made.select(F.col("id").cast("long").alias("doc_id"), "title", "date", "source")
+
+
+@_query("source_shown", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'from ' || o_orderstatus END AS source FROM orders")
+def _(s, d):
+    same = F.col("o_orderkey") % 3 == 0
+    source = F.when(same, F.col("o_orderstatus")).otherwise(F.concat(F.lit("from "), F.col("o_orderstatus")))
+    return _table(s, d, "orders").select("o_orderkey", text.source_shown(source, F.col("o_orderstatus")).alias("source"))
+
+
+@_query("year_tabs", f"WITH {EVT} SELECT loc_ord, count(DISTINCT year_text) AS years, count(DISTINCT year_text) > 1 AS tabs_shown FROM evt GROUP BY loc_ord")
+def _(s, d):
+    return timeline.year_tabs(events(s, d), "loc_ord")
+
+
+@_query("overlay_append_remove", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey <> 5 UNION ALL SELECT -s_suppkey, s_name FROM supplier")
+def _(s, d):
+    rows = _table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 2 == 0).alias("enabled"))
+    new = _table(s, d, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"))
+    return edits.deleted(timeline.added(rows, new), 5).select("id", "name")
+
+
+@_query("selection_all_and_clear", "SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS selected, 0::BIGINT AS left_over")
+def _(s, d):
+    every = edits.all_selected(_table(s, d, "documents"), "doc_id")
+    return every.agg(F.count("*").alias("selected")).crossJoin(edits.cleared(every).agg(F.count("*").alias("left_over")))
+
+
+_NEW_PLACES = "SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE 'location-' || substr(sha256(s_name), 1, 16) END AS id, s_name AS name, 0::BIGINT AS n FROM supplier WHERE s_suppkey % 5 <> 0"
+
+
+@_query("new_location", _NEW_PLACES)
+def _(s, d):
+    key = F.col("s_suppkey")
+    rows = _table(s, d, "supplier").select(
+        F.when(key % 2 == 0, key.cast("string")).alias("id"), F.col("s_name").alias("name"), F.when(key % 5 != 0, F.array(F.lit(1.0), F.lit(2.0))).alias("coordinates"), F.lit(None).cast(LOCATION["events"].dataType).alias("events")
+    )
+    return documents.new_location(rows).select("id", "name", F.size("events").cast("long").alias("n"))
+
+
+@_query(
+    "create_with_events",
+    f"""WITH {LOC}, {EVT}, n AS (SELECT s_suppkey, count(evt_ord) AS n, any_value(s_name) AS s_name FROM supplier LEFT JOIN evt ON loc_ord = s_suppkey GROUP BY s_suppkey)
+    SELECT id, name, 0::BIGINT AS n FROM loc UNION ALL SELECT 'location-' || substr(sha256(s_name), 1, 16), s_name, n FROM n""",
+)
+def _(s, d):
+    own = nested(s, d).select(F.col("loc_ord").alias("s_suppkey"), "events")
+    rows = _table(s, d, "supplier").join(own, "s_suppkey", "left").select(
+        F.lit(None).cast("string").alias("id"), F.col("s_name").alias("name"), F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates"), "events", "s_suppkey"
+    )
+    made = documents.new_location(rows, ["s_suppkey"]).withColumnRenamed("s_suppkey", "loc_ord")
+    old = locations(s, d).select("id", "name", F.array("lon", "lat").alias("coordinates"), F.array().cast(LOCATION["events"].dataType).alias("events"), "loc_ord")
+    return edits.upserted(old, made.select(old.columns)).select("id", "name", F.size("events").cast("long").alias("n"))
+
+
+@_query("new_overlay", "SELECT p_partkey AS id, trim(p_name) AS name, CASE WHEN p_partkey % 6 = 0 THEN 'http://t/' || p_partkey END AS annotation, CASE WHEN p_partkey % 6 <> 0 THEN 'http://t/' || p_partkey END AS tiles, 1800 AS year_from, 2000 AS year_to FROM part WHERE p_partkey % 7 <> 0")
+def _(s, d):
+    key = F.col("p_partkey")
+    source = F.when(key % 6 == 0, "allmaps").otherwise("ohm")
+    url = F.when(key % 7 == 0, "  ").otherwise(F.concat(F.lit(" http://t/"), key.cast("string")))
+    made = timeline.new_overlay(_table(s, d, "part").select(key.cast("string").alias("id"), F.col("p_name").alias("name"), url.alias("url"), source.alias("source")))
+    return made.select(F.col("id").cast("long").alias("id"), "name", F.col("annotationUrl").alias("annotation"), F.col("tileUrl").alias("tiles"), "year_from", "year_to")
+
+
+@_query("shown_tags", "SELECT p_partkey, array_to_string(list_slice(string_split(p_name, ' '), 1, 2), ',') AS tags FROM part")
+def _(s, d):
+    return _table(s, d, "part").select("p_partkey", F.array_join(timeline.shown_tags(F.split("p_name", " ")), ",").alias("tags"))
+
+
+@_query("location_ids", f"WITH {LOC} SELECT id, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '-' || right(lower(to_base(loc_ord * 7919 + 1700000000000, 36)), 4) AS location_id FROM loc")
+def _(s, d):
+    return locations(s, d).select("id", text.location_id(F.col("name"), F.col("loc_ord") * 7919 + 1700000000000).alias("location_id"))
+
+
+@_query("counted", f"WITH {EVT} SELECT loc_ord, count(*) || ' event' || CASE WHEN count(*) <> 1 THEN 's' ELSE '' END AS shown FROM evt GROUP BY loc_ord")
+def _(s, d):
+    return events(s, d).groupBy("loc_ord").agg(text.counted(F.count("*"), "event").alias("shown"))
+
+
+@_query("year_share", f"WITH {OVL} SELECT id, round((year_from - 1776) * 100.0::DOUBLE / 244, 6) AS share FROM ovl")
+def _(s, d):
+    return overlays(s, d).select("id", F.round(numbers.share_of(F.col("year_from"), 1776, 2020), 6).alias("share"))
+
+
+@_query(
+    "events_added",
+    f"""WITH {LOC}, {EVT}, new AS (SELECT loc_ord, evt_ord + 1 AS evt_ord FROM evt)
+    SELECT loc_ord, evt_ord, false AS added FROM evt JOIN loc USING (loc_ord)
+    UNION ALL SELECT loc_ord, evt_ord, true FROM new JOIN loc USING (loc_ord) WHERE NOT EXISTS (SELECT 1 FROM evt WHERE evt.loc_ord = new.loc_ord AND evt.evt_ord = new.evt_ord)""",
+)
+def _(s, d):
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT.fields[2:]]
+    made = F.struct((F.col("evt_ord") + 1).cast("string").alias("id"), F.lit("new").alias("title"), *nothing)
+    incoming = events(s, d).select(F.col("loc_ord").cast("string").alias("location_id"), F.col("evt_ord").alias("ord"), made.alias("event"))
+    rows = search.unnested(edits.events_added(nested(s, d), incoming))
+    return rows.select("loc_ord", F.col("event.id").cast("long").alias("evt_ord"), (F.col("event.title") == "new").alias("added"))

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import pages_cleaned
+from ..functions.text import blank, pages_cleaned, stable_id, trimmed
 from ..schema import DOCUMENT, GEOJSON, LOCATION, LOCATIONS, OVERLAY
 
 VERSION = "1.0.0"
@@ -56,7 +56,8 @@ def documents_of(rows: DataFrame, keys: list[str], updated: Column | None = None
 
 
 def write_document(rows: DataFrame, path: str, updated: Column | None = None) -> None:
-    """Replace the document at ``path``: written beside it, then renamed, so readers see the old or the new one."""
+    """Replace the document at ``path``: written beside it, then renamed over it in one step, so readers see the old or
+    the new one, also if the writer fails."""
     spark = rows.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     beside = f"{path}.{uuid.uuid4().hex}"
@@ -64,8 +65,10 @@ def write_document(rows: DataFrame, path: str, updated: Column | None = None) ->
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(conf)
     (part,) = [f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(beside)) if f.getPath().getName().startswith("part-")]
-    fs.delete(target, True)
-    fs.rename(part, target)
+    whole = fs.makeQualified(target)
+    overwrite = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf).rename(fs.makeQualified(part), whole, overwrite)
     fs.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
 
 
@@ -101,10 +104,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checked_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``error``: why a text is refused, null if it is not."""
+    """``docs`` with ``error``: why a text is refused, null if it is not. Text of white space only counts as missing."""
     n = F.length("text")
     return docs.withColumn(
-        "error", F.when(F.coalesce(n, F.lit(0)) == 0, "text is required").when(n > TEXT_LIMIT, F.concat(F.lit("too long: "), n.cast("string")))
+        "error", F.when(blank(trimmed(F.col("text"))), "text is required").when(n > TEXT_LIMIT, F.concat(F.lit("too long: "), n.cast("string")))
     )
 
 
@@ -138,20 +141,17 @@ def default_overlays(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFAULT_OVERLAYS, OVERLAY)
 
 
-def new_location(rows: DataFrame) -> DataFrame:
-    """Rows with defaults for a missing id and missing events; rows without name or coordinates are refused."""
-    from ..functions.text import blank, stable_id
-
+def new_location(rows: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows with defaults for a missing id and missing events, and columns of ``more``; rows without name or coordinates
+    are refused."""
     ok = ~blank(F.col("name")) & F.col("coordinates").isNotNull()
     return rows.filter(ok).select(
-        F.coalesce("id", stable_id("location", F.col("name"))).alias("id"), "name", "coordinates", F.coalesce("events", F.array().cast(LOCATION["events"].dataType)).alias("events")
+        F.coalesce("id", stable_id("location", F.col("name"))).alias("id"), "name", "coordinates", F.coalesce("events", F.array().cast(LOCATION["events"].dataType)).alias("events"), *more
     )
 
 
 def new_event(rows: DataFrame) -> DataFrame:
     """Rows with a default id; rows without title, date or description are refused."""
-    from ..functions.text import blank, stable_id
-
     ok = ~(blank(F.col("title")) | blank(F.col("date")) | blank(F.col("description")))
     return rows.filter(ok).withColumn("id", F.coalesce("id", stable_id("event", F.col("title"), F.col("date"), F.col("description"))))
 

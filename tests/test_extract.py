@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from tempora.plans import extract
 
@@ -52,6 +53,7 @@ def test_unknown_strategy_and_registry(spark):
     assert [r.name for r in extract.strategies(spark).collect()][:2] == ["regex", "structured"]
 
 
+# The patterns of dates, stated anew for an independent check.
 MONTHS = "January February March April May June July August September October November December".split()
 FULL, ABBREVIATED = "|".join(MONTHS), "|".join(m[:3] for m in MONTHS)
 MODEL = [
@@ -77,3 +79,14 @@ def test_places_against_a_model(spark):
     for r in extract.find_dates(docs).collect():
         got.setdefault(r.doc_id, []).append((r["index"], r.raw))
     assert [sorted(got.get(i, [])) for i in range(len(texts))] == [model_places(t) for t in texts]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """1 MB with 5,000 dates, in different sentences; and 5,000 records of one line."""
+    prose = "".join(f"Item {i} {'x ' * 90}of May {i % 28 + 1}, {1000 + i % 1000} came. " for i in range(5000))
+    lines = "".join(f"EVENT: A{i} | DATE: 1869-05-10 | DESCRIPTION: x\n" for i in range(5000))
+    docs = spark.createDataFrame([(1, prose), (2, lines)], "doc_id long, text string")
+    began = time.time()
+    assert extract.parse_documents(docs.filter("doc_id = 1"), "regex").count() == 5000
+    assert extract.parse_documents(docs.filter("doc_id = 2"), "structured").count() == 5000
+    assert time.time() - began < 60

@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tempora.functions import text
 from tempora.operators import edits, search, timeline
 from tempora.plans.engine import Engine, get_engine, reset_engine
 from tempora.schema import LOCATIONS, OVERLAY
@@ -22,8 +23,8 @@ def places(spark, *rows):
 def sample(spark):
     return places(
         spark,
-        ("a", "Utah, US", [-112.5, 41.6], [event("e1", "Golden Spike", "1869-05-10"), event("e2", "100% a_b", "unknown")]),
-        ("b", "Ohio", [-82.9, 40.4], [event("e3", "Fair", "1905-01")]),
+        ("a", "Karst, US", [-112.5, 41.6], [event("e1", "Last Bolt", "1869-05-10"), event("e2", "100% a_b", "unknown")]),
+        ("b", "Lune", [-82.9, 40.4], [event("e3", "Fair", "1905-01")]),
         ("c", "Empty", [0.0, 0.0], []),
     )
 
@@ -34,7 +35,7 @@ def found(df):
 
 def test_search(spark):
     rows = sample(spark)
-    assert found(search.search_events(rows, "UTAH")) == [("a", "e1"), ("a", "e2")]
+    assert found(search.search_events(rows, "KARST")) == [("a", "e1"), ("a", "e2")]
     assert found(search.search_events(rows, "", 1860, 1869)) == [("a", "e1"), ("a", "e2")]  # no year passes
     assert found(search.search_events(rows, "", None, 1900)) == [("a", "e1"), ("a", "e2")]
     assert found(search.search_events(rows, "100%")) == [("a", "e2")]
@@ -55,9 +56,9 @@ def test_timeline_filters(spark):
 
 def test_upsert_and_delete(spark):
     rows = sample(spark)
-    new = places(spark, ("z", "New", [1.0, 1.0], []), ("b", "Ohio 2", [2.0, 2.0], []))
+    new = places(spark, ("z", "New", [1.0, 1.0], []), ("b", "Lune 2", [2.0, 2.0], []))
     got = edits.upserted(rows, new).orderBy("loc_ord").collect()
-    assert [(r.loc_ord, r.id, r.name) for r in got] == [(0, "a", "Utah, US"), (1, "b", "Ohio 2"), (2, "c", "Empty"), (3, "z", "New")]
+    assert [(r.loc_ord, r.id, r.name) for r in got] == [(0, "a", "Karst, US"), (1, "b", "Lune 2"), (2, "c", "Empty"), (3, "z", "New")]
     assert [r.id for r in edits.deleted(rows, "a").orderBy("id").collect()] == ["b", "c"]
 
 
@@ -204,7 +205,7 @@ def test_documents(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{no json")
     assert documents.read_document(spark, str(tmp_path / "bad.json")).first().version == "1.0.0"
     documents.write_document(sample(spark), path, F.lit("now"))
-    assert json.loads((tmp_path / "map.json").read_text())["locations"][0]["events"][0]["title"] == "Golden Spike"
+    assert json.loads((tmp_path / "map.json").read_text())["locations"][0]["events"][0]["title"] == "Last Bolt"
     back = documents.read_document(spark, path)
     assert back.first().lastUpdated == "now" and documents.locations(back).count() == 3
     exported = documents.export_json(back)
@@ -233,9 +234,9 @@ def test_files(spark, tmp_path):
 def test_engine(spark, tmp_path):
     tools = get_engine(spark, str(tmp_path / "m.json"))
     assert get_engine(spark, tools.path) is tools
-    tools.add_event("Ogden", 41.2, -111.9, "Station", "1869-03-08", "opened", millis=5)
-    tools.add_event("Ogden", 41.2, -111.9, "Fire", "1899", "burnt")
-    assert [(r.name, r.eventCount, r.coordinates) for r in tools.list_locations().collect()] == [("Ogden", 2, [-111.9, 41.2])]
+    tools.add_event("Brill", 41.2, -111.9, "Station", "1869-03-08", "opened", millis=5)
+    tools.add_event("Brill", 41.2, -111.9, "Fire", "1899", "burnt")
+    assert [(r.name, r.eventCount, r.coordinates) for r in tools.list_locations().collect()] == [("Brill", 2, [-111.9, 41.2])]
     assert tools.search_events("fire").count() == 1 and tools.show_map("fire", 1899).first().filter_year == 1899
     id = tools.list_locations().first().id
     assert not tools.delete_location("none") and not tools.add_events("none", [])
@@ -284,3 +285,49 @@ def test_range_joins_count_every_pair(spark):
     got = timeline.overlapping_counts(spark.createDataFrame(ranges, "r int, lo int, hi int"), overlays).select("r", "n").collect()
     want = {i: n for i, lo, hi in ranges if (n := sum(b >= lo and a <= hi for _, a, b, _ in spans))}
     assert sorted(map(tuple, got)) == sorted(want.items())
+
+
+def test_blank_texts_are_refused(spark):
+    texts = documents.pasted(spark, "  ").unionByName(spark.createDataFrame([(1, "\u00a0\n"), (2, None), (3, ""), (4, " x "), (5, "y" * 51_201)], "doc_id long, text string"))
+    got = {r.doc_id: r.error for r in documents.checked_texts(texts).collect()}
+    assert got == {0: "text is required", 1: "text is required", 2: "text is required", 3: "text is required", 4: None, 5: "too long: 51201"}
+
+
+def test_writing_replaces_a_document_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "map.json")
+    for n in (3, 1):
+        documents.write_document(sample(spark).limit(n), path, F.lit(str(n)))
+        assert documents.read_document(spark, path).first().lastUpdated == str(n)
+    assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["map.json"]
+
+
+def test_the_last_of_repeated_upserts_is_written_at_the_place_of_the_first(spark):
+    new = places(spark, ("y", "first y", [0.0, 0.0], []), ("x", "x", [0.0, 0.0], []), ("y", "last y", [1.0, 1.0], []), ("b", "B1", [0.0, 0.0], []), ("b", "B2", [0.0, 0.0], []))
+    got = edits.upserted(sample(spark), new).orderBy("loc_ord").collect()
+    assert [(r.loc_ord, r.id, r.name) for r in got] == [(0, "a", "Karst, US"), (1, "b", "B2"), (2, "c", "Empty"), (3, "y", "last y"), (4, "x", "x")]
+
+
+def test_numbers_in_ranges(spark):
+    values = [(7919 * i) % 5000 for i in range(5000)] + [3] * 20
+    got = sorted(tuple(r) for r in edits.numbered(spark.createDataFrame([(v,) for v in values], "v long"), "v", "n").collect())
+    assert [v for v, _ in got] == sorted(values) and [n for _, n in got] == list(range(1, len(values) + 1))
+    assert edits.numbered(spark.createDataFrame([], "v long"), "v", "n").count() == 0
+
+
+def test_a_location_is_created_with_its_events(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "map.json"))
+    id = engine.create_location_with_events("Brill", [1.0, 2.0], [event("e1"), event("e2", "two")])
+    (row,) = engine.get_location(id).collect()
+    assert row.name == "Brill" and [e.title for e in row.events] == ["t", "two"]
+
+
+def test_selections_and_what_is_shown(spark):
+    ids = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
+    assert sorted(r.id for r in edits.all_selected(ids).collect()) == ["a", "b"] and edits.cleared(ids).count() == 0
+    rows = spark.createDataFrame([("s", "d"), ("d", "d"), (None, "d"), (None, None)], "s string, d string")
+    assert [r[0] for r in rows.select(text.source_shown(F.col("s"), F.col("d"))).collect()] == ["s", None, None, None]
+    dated = spark.createDataFrame([("x", "1900"), ("x", "1900-05"), ("y", "1900"), ("y", "1901")], "loc string, date string")
+    assert {r["loc"]: r.tabs_shown for r in timeline.year_tabs(dated, "loc").collect()} == {"x": False, "y": True}
+    layers = documents.default_overlays(spark)
+    more = timeline.added(layers, spark.createDataFrame([("new", "N")], "id string, name string"))
+    assert more.count() == 4 and edits.deleted(more, "new").count() == 3
