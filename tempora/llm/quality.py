@@ -112,6 +112,26 @@ class BagModel:
         return out["y"], np.split(out["a"], starts[1:])
 
 
+def gradients(model: BagModel, x: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean cross-entropy of the bags' labels; ``x`` is standardised."""
+    p = model.weights
+    f = model.forward(x, starts)
+    owner, a, h, t, g = f["owner"], f["a"], f["h"], f["t"], f["g"]
+    dy = (f["y"] - labels) / len(labels)
+    grad = {"c": f["z"].T @ dy, "d": dy.sum()}
+    dz = dy[:, None] * p["c"]
+    dh = a[:, None] * dz[owner]
+    da = (h * dz[owner]).sum(axis=1)
+    de = a * (da - _sums(a * da, starts)[owner])
+    grad["w"] = (t * g).T @ de
+    dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
+    grad["V"], grad["U"] = h.T @ dt, h.T @ dg
+    dh += dt @ p["V"].T + dg @ p["U"].T
+    dpre = dh * (1 - h * h)
+    grad["W"], grad["b"] = x.T @ dpre, dpre.sum(axis=0)
+    return grad
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) -> BagModel:
     """Full-batch Adam on the cross-entropy of the bags' labels."""
     x = np.concatenate(bags).astype(np.float64)
@@ -126,20 +146,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) -> BagMo
     x = model.standard(x)
     first, second = {k: 0 * v for k, v in p.items()}, {k: 0 * v for k, v in p.items()}
     for step in range(1, steps + 1):
-        f = model.forward(x, starts)
-        owner, a, h, t, g = f["owner"], f["a"], f["h"], f["t"], f["g"]
-        dy = (f["y"] - labels) / len(labels)
-        grad = {"c": f["z"].T @ dy, "d": dy.sum()}
-        dz = dy[:, None] * p["c"]
-        dh = a[:, None] * dz[owner]
-        da = (h * dz[owner]).sum(axis=1)
-        de = a * (da - _sums(a * da, starts)[owner])
-        grad["w"] = (t * g).T @ de
-        dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
-        grad["V"], grad["U"] = h.T @ dt, h.T @ dg
-        dh += dt @ p["V"].T + dg @ p["U"].T
-        dpre = dh * (1 - h * h)
-        grad["W"], grad["b"] = x.T @ dpre, dpre.sum(axis=0)
+        grad = gradients(model, x, starts, labels)
         for k in p:
             own = grad[k] + (DECAY / len(labels) ** 0.5) * p[k] * (k not in "bd")
             first[k] = 0.9 * first[k] + 0.1 * own

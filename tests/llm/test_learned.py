@@ -122,6 +122,55 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_gated_attention_and_its_gradients():
+    rng = np.random.default_rng(3)
+    shapes = {"W": (5, 4), "b": (4,), "V": (4, 3), "U": (4, 3), "w": (3,), "c": (4,), "d": ()}
+    model = quality.BagModel(np.zeros(5), np.ones(5), {k: np.array(rng.normal(0, 0.7, s)) for k, s in shapes.items()})
+    bags, y = [rng.normal(0, 1, (n, 5)) for n in (1, 4, 2, 7)], np.array([1.0, 0.0, 1.0, 0.0])
+    p = model.weights
+
+    def plain(bag):
+        h = [np.tanh(x @ p["W"] + p["b"]) for x in bag]
+        e = np.array([p["w"] @ (np.tanh(p["V"].T @ v) / (1 + np.exp(-(p["U"].T @ v)))) for v in h])
+        a = np.exp(e) / np.exp(e).sum()
+        return 1 / (1 + math.exp(-(sum(w * v for w, v in zip(a, h)) @ p["c"] + p["d"]))), a
+
+    scores, weights = model.score(bags)
+    assert np.allclose(scores, [plain(b)[0] for b in bags]) and all(np.allclose(w, plain(b)[1]) for w, b in zip(weights, bags))
+    loss = lambda: -np.mean([math.log(s if t else 1 - s) for s, t in zip([plain(b)[0] for b in bags], y)])
+    got = quality.gradients(model, np.concatenate(bags), np.array([0, 1, 5, 7]), y)
+    for name in shapes:
+        for at in np.ndindex(shapes[name]):
+            old, values = float(p[name][at]), []
+            for step in (1e-5, -1e-5):
+                p[name][at] = old + step
+                values.append(loss())
+            p[name][at] = old
+            assert math.isclose(got[name][at], (values[0] - values[1]) / 2e-5, abs_tol=1e-7), (name, at)
+
+
+def test_language_masks_and_counts_are_those_of_plain_sets():
+    rng = random.Random(13)
+    langs = [f"l{i:02d}" for i in range(70)]
+    own = [prose(rng, ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(12)], 12) for _ in langs]
+    sets = [set(langid.grams([x])[0].tolist()) for x in own]
+    keys = np.array(sorted(set().union(*sets)))
+    made = langid.build_filter(langs, keys, np.array([[k in s for s in sets] for k in keys.tolist()]))
+    mask = made.masks(keys)
+    said = np.array([[int(mask[i, n // 64]) >> n % 64 & 1 for n in range(70)] for i in range(len(keys))], bool)
+    truth = np.array([[k in s for s in sets] for k in keys.tolist()])
+    assert said[truth].all() and abs(said[~truth].mean() - made.false_rate.mean()) < 0.02
+    # With no false positives the counts are the sizes of intersections, and the best language is the text's own.
+    clean = langid.LanguageFilter(langs, made.table, np.zeros(70))
+    clean.masks = lambda found: np.array([[sum(1 << n for n in range(64) if k in sets[n]), sum(1 << n - 64 for n in range(64, 70) if k in sets[n])] for k in found.tolist()], np.uint64)
+    texts = [own[i][: rng.randrange(20, 60)] for i in (0, 5, 63, 64, 69)] + ["", "123"]
+    names, score = clean.predict(texts)
+    for x, name, s in zip(texts, names, score):
+        found = langid.grams([x])[0].tolist()
+        shares = [sum(k in own_set for k in found) / max(len(found), 1) for own_set in sets]
+        assert (name, s) == ((langs[int(np.argmax(shares))], max(shares)) if found else (langid.UNKNOWN, 0.0))
+
+
 def test_letters_of_all_planes(spark):
     docs = frame(spark, [(100 + i, "\U00030100\U00031000" * 5 if i % 2 else "abc abd", "zz" if i % 2 else "aa") for i in range(20)])
     got = langid.identify(docs, langid.learn(langid.training_rows(docs))).collect()
@@ -329,6 +378,7 @@ def test_empty_tables(spark):
     docs = frame(spark, ODD).limit(0)
     path = vocabulary()
     assert toxicity.score(docs, toxicity.learn(docs, labels(spark, [], "toxic"))).count() == 0
+    assert quality.score(docs, quality.learn(docs, labels(spark, [], "quality"))).count() == 0
     assert langid.identify(docs, langid.learn(docs)).count() == 0
     assert hmm.score_documents(docs).count() == 0
     assert bpe.round_trip(docs, path).count() == 0
