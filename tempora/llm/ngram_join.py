@@ -54,6 +54,8 @@ COMMON, COMMON_PART = 4, 16
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT, MOST_LOCAL = 3, 8, 200_000, 20_000
 #: Members of a list that is one leaf; of a chunk of longer lists, about; pivots of a list, about; of a tree's leaf.
 SHORT, CHUNK, PIVOTS, LEAF = 64, 512, 8, 32
+#: Bits of the bitmaps of wanted rows at most; they are broadcast.
+MOST_BITS = 1 << 27
 #: Sets of a partition's texts with which a shingle is hot: its postings go to many tasks and its list counts as long.
 HOT = 20_000
 
@@ -301,34 +303,45 @@ MEMBERS = "set_id long, n long, point binary, shingles binary"
 
 
 def _members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``MEMBERS`` of the sets in ``wanted`` (set_id, doc_id), which names a row for each. A set may come twice where ids
-    repeat. Rows without an id are looked at by their sets."""
-
-    def make(by_id: bool):
-        def run(batches):
-            for batch in batches:
-                found = [shingle_set(x, words) for x in texts(batch)]
-                ids = [set_id(s) if len(s) else None for s in found]
-                some = [i for i, own in enumerate(ids) if own is not None]
-                if by_id:
-                    asked = batch.column("wanted").to_pylist()
-                    some = [i for i in some if ids[i] == asked[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i] for i in some], pa.int64()),
-                        pa.array([len(found[i]) for i in some], pa.int64()),
-                        pa.array([point(found[i]) for i in some], pa.binary()),
-                        pa.array([packed(found[i]) for i in some], pa.binary()),
-                    ],
-                    names=["set_id", "n", "point", "shingles"],
-                )
-
-        return run
-
-    named = docs.join(wanted.filter("doc_id is not null").select("doc_id", F.col("set_id").alias("wanted")), "doc_id")
-    made = named.select("text", "wanted").mapInArrow(make(True), MEMBERS)
-    nameless = docs.filter("doc_id is null").select("text").mapInArrow(make(False), MEMBERS)
-    return made.unionByName(nameless.join(wanted.filter("doc_id is null").select("set_id"), "set_id", "left_semi"))
+    """``MEMBERS`` of the sets in ``wanted`` (set_id, doc_id), and of a few others.
+
+    Two bitmaps of a bounded size, of ids and of ids with sets, let the wanted through, so no text is shuffled. They are
+    sparse up to some millions of wanted rows; beyond that more others pass, at most all sets, which costs room for one
+    copy of the sets and changes no result, as all that follows joins by sets. A set may come twice.
+    """
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    by_id = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    by_set = F.pmod(F.col("set_id").bitwiseXOR(by_id), F.lit(bits))  # the same in Python below
+
+    def bitmap(place):
+        at = wanted.select((place / 64).cast("long").alias("at"), (place % 64).cast("int").alias("bit"))
+        found = at.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        table = np.zeros(bits // 64, np.int64)
+        table[found["at"].to_numpy()] = found["bits"].to_numpy()
+        return docs.sparkSession.sparkContext.broadcast(table)
+
+    ids, sets = bitmap(by_id), bitmap(by_set)
+    has = lambda table, at: (table.value.view(np.uint64)[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+
+    @tidy
+    def make(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(has(ids, batch.column("place").to_numpy()).astype(bool)))
+            found = [shingle_set(x, words) for x in texts(batch)]
+            own = np.array([set_id(s) if len(s) else 0 for s in found], np.int64)
+            asked = has(sets, (own ^ batch.column("place").to_numpy()) % bits).astype(bool) & np.array([len(s) > 0 for s in found], bool)
+            found, own = [s for s, ok in zip(found, asked) if ok], own[asked]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(own),
+                    pa.array([len(s) for s in found], pa.int64()),
+                    pa.array([point(s) for s in found], pa.binary()),
+                    pa.array([packed(s) for s in found], pa.binary()),
+                ],
+                names=["set_id", "n", "point", "shingles"],
+            )
+
+    return docs.withColumn("place", by_id).mapInArrow(make, MEMBERS)
 
 
 def spanning(points: np.ndarray, sizes: np.ndarray, sets: list[bytes], share: int, pivots: np.ndarray):
