@@ -71,10 +71,12 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     known = _word_hashes
     if len(known) > CACHE:
         known.clear()
-    for w in set(found):
-        if w not in known and len(w) <= KEPT_WORD:
-            known[w] = xxhash.xxh3_64_digest(w)
-    h = np.frombuffer(b"".join([known[w] if len(w) <= KEPT_WORD else xxhash.xxh3_64_digest(w) for w in found]), ">u8").astype(np.uint64)
+    new = set(found).difference(known)
+    known.update((w, xxhash.xxh3_64_digest(w)) for w in new)
+    h = np.frombuffer(b"".join(map(known.__getitem__, found)), ">u8").astype(np.uint64)
+    for w in new:
+        if len(w) > KEPT_WORD:
+            del known[w]
     if len(h) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(h))], np.uint64)
     n = len(h) - words + 1
