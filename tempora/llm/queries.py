@@ -9,18 +9,18 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hmm, langid, line_dedup, ngram_join, packing, quality, topk, toxicity
+from . import bpe, exact_dedup, hmm, langid, line_dedup, ngram_join, packing, quality, ranked_search, token_counts, topk, toxicity
 from .common import table
 
 
-def vocabulary() -> str:
-    """Path of the tokenizer file; ``TEMPORA_VOCABULARY`` names another."""
-    given = os.environ.get("TEMPORA_VOCABULARY")
+def vocabulary(name: str = "word_bpe_49k.json", variable: str = "TEMPORA_VOCABULARY") -> str:
+    """Path of a tokenizer file; an environment variable names another."""
+    given = os.environ.get(variable)
     if given:
         return given
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json", "TEMPORA_BYTE_VOCABULARY"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -77,8 +85,13 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_token_counts": op13_token_counts,
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
     "op5_topk": """
         WITH v AS (
@@ -107,4 +120,22 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op12_ranked_search": f"""
+        WITH a AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents),
+        n AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS every FROM a WHERE len(t) > 0),
+        i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark),
+        q AS (SELECT i, item_id, term, count(*) AS r FROM (SELECT i, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+        tf AS (
+            SELECT k, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT k, doc_id, len(t) AS n, unnest(t) AS term FROM a)
+            WHERE term IN (SELECT term FROM q) GROUP BY ALL
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, n GROUP BY term, docs
+        ), s AS (
+            SELECT i, item_id, doc_id, k, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * tf.n * docs) // every)))) AS BIGINT) AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term), n GROUP BY i, item_id, doc_id, k
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0
+        ) WHERE rank <= 20
+    """,
 }
