@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hmm, langid, line_dedup, ngram_join, packing, quality, ranked_search, token_counts, topk, toxicity
+from . import bpe, exact_dedup, hmm, langid, line_dedup, ngram_join, packing, prefix_trie, quality, ranked_search, token_counts, topk, toxicity
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,12 +89,16 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ranked_search": op12_ranked_search,
     "op13_token_counts": op13_token_counts,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+# crc32 of a decimal text of ASCII, bit by bit: each byte comes before seven zeros.
+_BITS = "flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+_CRC = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BITS}), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
 
 ORACLE_SQL = {
     "op5_topk": """
@@ -120,6 +128,36 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op11_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS pos, mark, size FROM (
+                SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark,
+                    CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM conversations WHERE conv_id IS NOT NULL)
+        ), own AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id
+        ), c AS (
+            SELECT k.conv_id, k.base, k.h, least(k.h, coalesce(b.n, 0)) AS taken, k.n
+            FROM (SELECT conv_id, n, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM own) k LEFT JOIN own b ON b.conv_id = k.base
+        ), r AS (
+            SELECT conv_id, pos - h + taken AS pos, mark, size FROM t JOIN c USING (conv_id) WHERE pos > h
+            UNION ALL SELECT c.conv_id, pos, mark, size FROM t JOIN c ON t.conv_id = c.base WHERE pos <= taken
+        ), s AS (SELECT c.conv_id, coalesce(list(mark ORDER BY pos) FILTER (mark IS NOT NULL), []) AS marks, list(size ORDER BY pos) AS sizes FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id
+        ), p AS (
+            SELECT conv_id, depth, sha256(array_to_string(marks[:depth], ',')) AS name, CASE WHEN depth > 0 THEN sha256(array_to_string(marks[:depth - 1], ',')) END AS parent,
+                CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS size, depth = len(marks) AS ends
+            FROM (SELECT conv_id, marks, sizes, unnest(range(len(marks) + 1)) AS depth FROM s)
+        ), n AS (
+            SELECT name, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM p GROUP BY ALL
+        ), k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent
+        ), below AS (
+            SELECT p.name, sum(CASE WHEN k.parent IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved_tokens
+            FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN k ON k.parent = n.name GROUP BY p.name
+        )
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+            CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN below USING (name) LEFT JOIN k ON k.parent = n.name LEFT JOIN n u ON u.name = n.parent
+    """,
     "op12_ranked_search": f"""
         WITH a AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents),
         n AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS every FROM a WHERE len(t) > 0),

@@ -1,15 +1,17 @@
 """Ranked search, token counts and the prefix trie against brute force on small tables."""
 
+import hashlib
 import math
 import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 
 pytest.importorskip("tempora.llm")
 
-from tempora.llm import ranked_search, token_counts  # noqa: E402
+from tempora.llm import prefix_trie, ranked_search, token_counts  # noqa: E402
 from tempora.llm.queries import vocabulary  # noqa: E402
 
 CLASHING = "doc_id long, text string, score string, rank string, item long, n_tokens string"
@@ -131,3 +133,74 @@ def test_long_texts_are_cut_where_no_piece_crosses():
 def test_token_counts_refuse_other_files():
     with pytest.raises(ValueError):
         token_counts.Counter(vocabulary())
+
+
+def brute_trie(rows):
+    """Nodes as tuples in the order of the columns, sorted by (conv_id, depth)."""
+    given = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            given[c].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    turns = {c: [x[3:] for x in sorted(own)] for c, own in given.items()}
+    whole, members = {}, defaultdict(list)
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % 9
+        whole[c] = turns.get(c - c % 5, [])[:h] + turns[c][h:]
+        for d in range(len(whole[c]) + 1):
+            members[tuple(whole[c][:d])].append(c)
+    children, leaves, saved = Counter(p[:-1] for p in members if p), Counter(), Counter()
+    for p, own in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(own) - 1) * len(p[-1][1].encode()) if p else 0
+    ends = {p: ",".join(str(c) for c in sorted(own) if len(whole[c]) == len(p)) for p, own in members.items()}
+    nodes = [(min(own), len(p), min(members[p[:-1]]) if p else None, len(own), children[p], leaves[p], saved[p], hashlib.sha256(ends[p].encode()).hexdigest()) for p, own in members.items()]
+    return sorted(nodes, key=lambda x: x[:2])
+
+
+def conversations(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "conv_id long, turn long, role string, text string, depth int, name string, size int").repartition(3)
+
+
+def talk(seed, n, longest):
+    """Conversations that share many first turns, copies of whole ones among them."""
+    rng = random.Random(seed)
+    out = []
+    for c in range(n):
+        for t in range(rng.randrange(1, longest)):
+            out.append((c, t, rng.choice(["user", "assistant", None]) if rng.random() < 0.1 else "user", rng.choice(["yes", "no", "né", ""]) if rng.random() < 0.4 else "go on"))
+    return out
+
+
+ODD_TURNS = [(None, 0, "user", "lost"), (10, None, None, None), (10, None, "user", None), (10, 3, None, "x"), (10, 3, "user", "x"), (10, 3, "user", "x"), (12, 0, "user", "é" * 5000), (13, 7, "a", "b"), (14, -1, "user", "go on")]
+TURNLESS = [(c, 0, "user", "go on") for c in (16, 17, 18, 19, 21, 22)]
+
+
+@pytest.mark.parametrize("block", [1, 2, 8, 256])
+def test_trie_equals_brute_force(spark, block):
+    rows = ODD_TURNS + TURNLESS + [(c + 100, *x) for c, *x in talk(5, 60, 12)] + [(333, t, "user", "go on") for t in range(90)]
+    got = prefix_trie.prefix_trie(conversations(spark, rows), block)
+    assert got.columns == prefix_trie.COLUMNS
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[:2]) == brute_trie(rows)
+
+
+def test_trie_of_turnless_conversations_and_of_none(spark):
+    only = [(c, 0, "user", "x") for c in range(1000) if c % 5 and zlib.crc32(str(c).encode()) % 9][:3]
+    (root,) = prefix_trie.prefix_trie(conversations(spark, only)).collect()
+    assert [tuple(root)] == brute_trie(only) and root.n_leaves == 1 and root.n_convs == 3
+    none = prefix_trie.prefix_trie(conversations(spark, [(None, 1, "a", "b")]))
+    assert none.columns == prefix_trie.COLUMNS and none.count() == 0
+
+
+def test_ends_of_one_node_are_digested_from_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "JOINED", 7)
+    rows = [(c, 0, "user", "x") for c in range(0, 1500, 5)]
+    got = prefix_trie.prefix_trie(conversations(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=lambda x: x[:2]) == brute_trie(rows)
+
+
+def test_turns_are_numbered_over_ranges(spark):
+    rows = [(1, t * 7919 % 3000, "u", "x") for t in range(3000)] + [(c, t, "u", "y") for c in (0, 2, 3) for t in range(5)]
+    got = prefix_trie.numbered_turns(conversations(spark, rows)).select("conv_id", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted([(1, p + 1) for p in range(3000)] + [(c, p + 1) for c in (0, 2, 3) for p in range(5)])
