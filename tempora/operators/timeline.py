@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import sort_date, sort_date_or_epoch, year_text
 from ..functions.text import trimmed
+from . import intervals
+from .ranks import ranked, ranked_by_ranges
 
 PAGE = 3
 
@@ -16,14 +18,12 @@ ATTRIBUTIONS = {"allmaps": "Map georeferenced with Allmaps", "ohm": "© OpenHist
 
 def chronological(rows: DataFrame, by: list[str], order: str, rank: str = "rank") -> DataFrame:
     """Rows with their rank by date within ``by``; dates that are none come last, ties keep their order."""
-    w = Window.partitionBy(*by).orderBy(sort_date(F.col("date")).asc_nulls_last(), order)
-    return rows.withColumn(rank, F.row_number().over(w))
+    return ranked(rows, by, [sort_date(F.col("date")).asc_nulls_last(), F.col(order)], rank).withColumn(rank, F.col(rank).cast("int"))
 
 
 def chronological_epoch(rows: DataFrame, by: list[str], order: str, rank: str = "rank") -> DataFrame:
     """The same, dates that are none standing at 1970."""
-    w = Window.partitionBy(*by).orderBy(sort_date_or_epoch(F.col("date")), order)
-    return rows.withColumn(rank, F.row_number().over(w))
+    return ranked(rows, by, [sort_date_or_epoch(F.col("date")).asc(), F.col(order)], rank).withColumn(rank, F.col(rank).cast("int"))
 
 
 def by_year(rows: DataFrame, location: str, order: str, value: str) -> DataFrame:
@@ -51,10 +51,8 @@ def paginated(rows: DataFrame, location: str, order: str, size: int = PAGE) -> D
     """Rows with year, page (from 0) within location and year, whether there is a page before and behind, and whether
     a pager is shown, which one page needs not."""
     rows = rows.withColumn("year", year_text(F.col("date")))
-    keys = Window.partitionBy(location, "year")
-    n = F.row_number().over(keys.orderBy(sort_date(F.col("date")).asc_nulls_last(), order))
-    pages = F.ceil(F.count("*").over(keys) / size)
-    out = rows.withColumn("page", F.floor((n - 1) / size).cast("int")).withColumn("pages", pages.cast("int"))
+    placed = ranked(rows, [location, "year"], [sort_date(F.col("date")).asc_nulls_last(), F.col(order)], "_n", "_rows")
+    out = placed.withColumn("page", F.floor((F.col("_n") - 1) / size).cast("int")).withColumn("pages", F.ceil(F.col("_rows") / size).cast("int")).drop("_n", "_rows")
     return out.withColumn("has_previous", F.col("page") > 0).withColumn("has_next", F.col("page") < F.col("pages") - 1).withColumn("pager_shown", F.col("pages") > 1)
 
 
@@ -91,48 +89,27 @@ def enabled_count(overlays: DataFrame) -> DataFrame:
 
 def ranked_overlays(overlays: DataFrame, order: str = "id") -> DataFrame:
     """Overlays with their place by zIndex, which counts as 0 where it is missing."""
-    z = F.coalesce("zIndex", F.lit(0))
-    # Ranks of one list of layers on one map: equal zIndex values are few, and the window is over them alone.
-    below = overlays.groupBy(z.alias("_z")).agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_z")) - F.col("_c"))
-    own = overlays.withColumn("_z", z).withColumn("_n", F.row_number().over(Window.partitionBy("_z").orderBy(order)))
-    return own.join(below.select("_z", "_before"), "_z").withColumn("rank", F.col("_before") + F.col("_n")).drop("_z", "_n", "_before")
+    return ranked_by_ranges(overlays, [], [F.coalesce("zIndex", F.lit(0)).asc(), F.col(order)], "rank")
 
 
-def in_overlay_years(events: DataFrame, overlays: DataFrame, year: str = "year", width: int = 10) -> DataFrame:
-    """Every event with every overlay in whose years it lies.
+def in_overlay_years(events: DataFrame, overlays: DataFrame, year: str = "year") -> DataFrame:
+    """Every event with every overlay in whose years it lies."""
+    return intervals.pairs_within(events, year, overlays, "year_from", "year_to")
 
-    An equi-join on decades: overlays are repeated for each decade that they touch, events have one. No pair is met
-    twice, and neither side has to be small.
-    """
-    touched = overlays.withColumn("_d", F.explode(F.sequence(F.floor(F.col("year_from") / width), F.floor(F.col("year_to") / width))))
-    met = events.withColumn("_d", F.floor(F.col(year) / width)).join(touched, "_d")
-    return met.filter(F.col(year).between(F.col("year_from"), F.col("year_to"))).drop("_d")
 
-
-def overlays_overlapping_each(ranges: DataFrame, overlays: DataFrame, width: int = 10) -> DataFrame:
-    """Every range (lo, hi) with every overlay it overlaps, by decades; each pair once, in the first decade both touch."""
-    decades = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    met = ranges.withColumn("_d", decades("lo", "hi")).join(overlays.withColumn("_d", decades("year_from", "year_to")), "_d")
-    first = F.greatest(F.floor(F.col("lo") / width), F.floor(F.col("year_from") / width))
-    return met.filter((F.col("_d") == first) & (F.col("year_to") >= F.col("lo")) & (F.col("year_from") <= F.col("hi"))).drop("_d")
+def overlays_overlapping_each(ranges: DataFrame, overlays: DataFrame) -> DataFrame:
+    """Every range (lo, hi) with every overlay it overlaps."""
+    return intervals.overlapping_pairs(ranges, "lo", "hi", overlays, "year_from", "year_to")
 
 
 def counted_in_overlay_years(events: DataFrame, overlays: DataFrame, year: str = "year") -> DataFrame:
-    """(id, n): for each overlay the events in its years, none left out; overlays without events are not listed.
-
-    Events are counted by year first, so the range join meets years with ranges of years.
-    """
-    counts = events.groupBy(F.col(year).alias("year")).agg(F.count("*").alias("_c"))
-    ranges = overlays.select("year_from", "year_to").distinct()
-    per = in_overlay_years(counts, ranges).groupBy("year_from", "year_to").agg(F.sum("_c").alias("n"))
-    return overlays.join(per, ["year_from", "year_to"]).select("id", "n")
+    """(id, n): for each overlay the events in its years; overlays without events are not listed."""
+    return intervals.counted_within(events, year, overlays, "year_from", "year_to").filter("n > 0").select("id", "n")
 
 
 def overlapping_counts(ranges: DataFrame, overlays: DataFrame) -> DataFrame:
-    """``ranges`` (lo, hi) with ``n``, the overlays that each overlaps; those without are not listed. Counted as above."""
-    counts = overlays.groupBy("year_from", "year_to").agg(F.count("*").alias("_c"))
-    per = overlays_overlapping_each(ranges.select("lo", "hi").distinct(), counts).groupBy("lo", "hi").agg(F.sum("_c").alias("n"))
-    return ranges.join(per, ["lo", "hi"])
+    """``ranges`` (lo, hi) with ``n``, the overlays that each overlaps; those without are not listed."""
+    return intervals.counted_overlaps(ranges, "lo", "hi", overlays, "year_from", "year_to").filter("n > 0")
 
 
 def attribution(source: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, numbers, text
-from .operators import edits, search, timeline
+from .operators import edits, intervals, search, timeline
 from .plans import extract
 from .schema import EVENT, LOCATION
 from .sources import documents
@@ -254,7 +254,6 @@ _OVERLAY_EVENT_RANGE_JOIN = f"WITH {EVT}, {OVL}, e AS (SELECT ty, count(DISTINCT
 
 
 @_query("overlay_event_range_join", _OVERLAY_EVENT_RANGE_JOIN)
-@_query("overlay_event_range_join_all", _OVERLAY_EVENT_RANGE_JOIN)
 def _(s, d):
     own = events(s, d).select("loc_ord", dates.timeline_year(F.col("date")).alias("year")).filter("year is not null").distinct()
     return timeline.counted_in_overlay_years(own, overlays(s, d))
@@ -264,13 +263,32 @@ _OVERLAY_RANGES_OVERLAP = f"WITH {OVL}, r AS (SELECT s_suppkey AS r, CAST(1990 +
 
 
 @_query("overlay_ranges_overlap", _OVERLAY_RANGES_OVERLAP)
-@_query("overlay_ranges_overlap_all", _OVERLAY_RANGES_OVERLAP)
 def _(s, d):
     key = F.col("s_suppkey")
     ranges = _table(s, d, "supplier").select(key.alias("r"), (1990 + key % 12).cast("int").alias("lo"), (1990 + key % 12 + key % 3).cast("int").alias("hi"))
     return timeline.overlapping_counts(ranges, overlays(s, d)).select("r", "n")
 
 
+_ERAS = "eras AS (SELECT n_nationkey AS era, CAST(1985 + n_nationkey AS INTEGER) AS lo, CAST(1985 + n_nationkey + n_nationkey % 7 * 3 - 1 AS INTEGER) AS hi FROM nation)"
+
+
+def _eras(s, d):
+    """(era, lo, hi): ranges of years by nation, nested, wide and empty ones among them."""
+    key = F.col("n_nationkey")
+    return _table(s, d, "nation").select(key.alias("era"), (1985 + key).cast("int").alias("lo"), (1985 + key + key % 7 * 3 - 1).cast("int").alias("hi"))
+
+
+@_query("overlay_era_pairs", f"WITH {OVL}, {_ERAS} SELECT era, id FROM eras JOIN ovl ON year_to >= lo AND year_from <= hi WHERE lo <= hi")
+def _(s, d):
+    return timeline.overlays_overlapping_each(_eras(s, d), overlays(s, d)).select("era", "id")
+
+
+@_query("event_era_pairs", f"WITH {EVT}, {_ERAS} SELECT era, evt_ord FROM eras JOIN evt ON ty BETWEEN lo AND hi")
+def _(s, d):
+    own = events(s, d).select("evt_ord", dates.timeline_year(F.col("date")).alias("year"))
+    return intervals.pairs_within(own, "year", _eras(s, d), "lo", "hi").select("era", "evt_ord")
+
+
 @_query("overlay_enabled_count", "SELECT count(*) FILTER (p_size % 2 = 0) AS enabled FROM part")
 def _(s, d):
     return timeline.enabled_count(_table(s, d, "part").select((F.col("p_size") % 2 == 0).alias("enabled")))
@@ -519,7 +537,6 @@ _ROUNDTRIP = f"WITH {LOC}, {EVT} SELECT id, name, count(evt_ord) AS n FROM loc L
 
 
 @_query("json_roundtrip", _ROUNDTRIP)
-@_query("json_roundtrip_all", _ROUNDTRIP)
 def _(s, d):
     rows = nested(s, d).withColumn("part", F.floor(F.col("loc_ord") / 1000))
     back = documents.import_json(documents.export_json(documents.documents_of(rows, ["part"]))).filter("valid").select("document.*")
