@@ -31,22 +31,28 @@ def ranked_by_ranges(rows: DataFrame, keys: list[str], order: list[Column], name
     return numbered.withColumn(name, (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("long")).select(*rows.columns, name)
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str, count: str | None = None, hot: int = HOT) -> DataFrame:
-    """The same by one window, but for keys of more than ``hot`` rows, of which there are fewer than rows by ``hot``.
-    ``count`` names a column for the number of the key's rows."""
+def hot_keys(rows: DataFrame, keys: list[str], hot: int) -> tuple[DataFrame, Column, bool]:
+    """Keys of more than ``hot`` rows, as (_k0, _k1, ..., _rows), the condition that joins them, and whether there are
+    any. They are fewer than rows by ``hot``, so they may be broadcast."""
     names = [f"_k{i}" for i in range(len(keys))]
     sizes = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(keys, names)]).agg(F.count("*").alias("_rows"))
     large = stored(sizes.filter(F.col("_rows") > hot), "hot-keys")
+    same = F.lit(True)
+    for c, k in zip(keys, names):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return F.broadcast(large), same, not large.isEmpty()
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str, count: str | None = None, hot: int = HOT) -> DataFrame:
+    """The same by one window, but for keys of more than ``hot`` rows. ``count`` names a column for the number of the
+    key's rows."""
     number = {name: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")}
     if count:
         number[count] = F.count("*").over(Window.partitionBy(*keys))
-    if large.isEmpty():
+    large, same, any_hot = hot_keys(rows, keys, hot)
+    if not any_hot:
         return rows.withColumns(number)
-    same = F.lit(True)
-    for c, k in zip(keys, names):
-        same = same & F.col(c).eqNullSafe(F.col(k))
-    split = rows.join(F.broadcast(large), same).drop(*names)
+    split = rows.join(large, same).drop(*[f"_k{i}" for i in range(len(keys))])
     split = split.withColumnRenamed("_rows", count) if count else split.drop("_rows")
-    split = ranked_by_ranges(split, keys, order, name)
-    few = rows.join(F.broadcast(large), same, "left_anti").withColumns(number)
-    return few.unionByName(split)
+    few = rows.join(large, same, "left_anti").withColumns(number)
+    return few.unionByName(ranked_by_ranges(split, keys, order, name))
