@@ -646,7 +646,13 @@ def _(s, d):
     return every.agg(F.count("*").alias("selected")).crossJoin(edits.cleared(every).agg(F.count("*").alias("left_over")))
 
 
-_NEW_PLACES = "SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE 'location-' || substr(sha256(s_name), 1, 16) END AS id, s_name AS name, 0::BIGINT AS n FROM supplier WHERE s_suppkey % 5 <> 0"
+def _made_id(*parts: str) -> str:
+    """SQL of the id that is made of name, coordinates (1.0, 2.0) and what sets rows apart."""
+    joined = " || chr(1) || ".join(["s_name", "'1.0,2.0'", *parts])
+    return f"'location-' || substr(sha256({joined}), 1, 16)"
+
+
+_NEW_PLACES = f"SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE {_made_id()} END AS id, s_name AS name, 0::BIGINT AS n FROM supplier WHERE s_suppkey % 5 <> 0"
 
 
 @_query("new_location", _NEW_PLACES)
@@ -658,17 +664,21 @@ def _(s, d):
     return documents.new_location(rows).select("id", "name", F.size("events").cast("long").alias("n"))
 
 
+_REPEATED = "SELECT s_suppkey, 'Place ' || CAST(s_nationkey AS VARCHAR) AS s_name FROM supplier"
+
+
 @_query(
     "create_with_events",
-    f"""WITH {LOC}, {EVT}, n AS (SELECT s_suppkey, count(evt_ord) AS n, any_value(s_name) AS s_name FROM supplier LEFT JOIN evt ON loc_ord = s_suppkey GROUP BY s_suppkey)
-    SELECT id, name, 0::BIGINT AS n FROM loc UNION ALL SELECT 'location-' || substr(sha256(s_name), 1, 16), s_name, n FROM n""",
+    f"""WITH {LOC}, {EVT}, p AS ({_REPEATED}), n AS (SELECT s_suppkey, count(evt_ord) AS n, any_value(s_name) AS s_name FROM p LEFT JOIN evt ON loc_ord = s_suppkey GROUP BY s_suppkey)
+    SELECT id, name, 0::BIGINT AS n FROM loc UNION ALL SELECT {_made_id("CAST(s_suppkey AS VARCHAR)")}, s_name, n FROM n""",
 )
 def _(s, d):
+    """Suppliers as new places with events; their names repeat, so their keys set them apart."""
     own = nested(s, d).select(F.col("loc_ord").alias("s_suppkey"), "events")
     rows = _table(s, d, "supplier").join(own, "s_suppkey", "left").select(
-        F.lit(None).cast("string").alias("id"), F.col("s_name").alias("name"), F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates"), "events", "s_suppkey"
+        F.lit(None).cast("string").alias("id"), F.concat(F.lit("Place "), F.col("s_nationkey").cast("string")).alias("name"), F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates"), "events", "s_suppkey"
     )
-    made = documents.new_location(rows, ["s_suppkey"]).withColumnRenamed("s_suppkey", "loc_ord")
+    made = documents.new_location(rows, ["s_suppkey"], ["s_suppkey"]).withColumnRenamed("s_suppkey", "loc_ord")
     old = locations(s, d).select("id", "name", F.array("lon", "lat").alias("coordinates"), F.array().cast(LOCATION["events"].dataType).alias("events"), "loc_ord")
     return edits.upserted(old, made.select(old.columns)).select("id", "name", F.size("events").cast("long").alias("n"))
 

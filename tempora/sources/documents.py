@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, pages_cleaned, stable_id, trimmed
 from ..schema import DOCUMENT, GEOJSON, LOCATION, LOCATIONS, OVERLAY
+from .document_source import VERSION, register
 
-VERSION = "1.0.0"
 #: Characters of a text above which it is warned about or refused, and bytes of a PDF above which it is refused.
 TEXT_LIMIT, PDF_LIMIT = 51_200, 512_000
 PRETTY = {"pretty": "true", "ignoreNullFields": "true"}
@@ -55,21 +54,20 @@ def documents_of(rows: DataFrame, keys: list[str], updated: Column | None = None
     return rows.groupBy(*keys).agg(listed.alias("locations")).select(F.lit(version).alias("version"), stamp.alias("lastUpdated"), "locations")
 
 
+def read_locations(spark: SparkSession, path: str) -> DataFrame:
+    """The location rows of the document at ``path``, read by shares; none where it is missing or broken."""
+    return register(spark).read.format("tempora_document").load(path)
+
+
 def write_document(rows: DataFrame, path: str, updated: Column | None = None) -> None:
-    """Replace the document at ``path``: written beside it, then renamed over it in one step, so readers see the old or
-    the new one, also if the writer fails."""
-    spark = rows.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    beside = f"{path}.{uuid.uuid4().hex}"
-    document_of(rows, updated).coalesce(1).write.json(beside)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    (part,) = [f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(beside)) if f.getPath().getName().startswith("part-")]
-    whole = fs.makeQualified(target)
-    overwrite = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-    overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf).rename(fs.makeQualified(part), whole, overwrite)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
+    """Replace the document at ``path`` by location rows: tasks write parts beside it, in order, which are joined and
+    renamed over it in one step. So readers see the old or the new one, also if a task fails."""
+    spark = register(rows.sparkSession)
+    ordered = rows.select(*[F.col(f.name).cast(f.dataType) for f in LOCATIONS]).repartitionByRange("loc_ord").sortWithinPartitions("loc_ord")
+    writer = ordered.write.format("tempora_document").mode("overwrite").option("version", VERSION)
+    if updated is not None:
+        writer = writer.option("updated", spark.range(1).select(updated.cast("string").alias("at")).first()["at"])
+    writer.save(path)
 
 
 def clear_document(spark: SparkSession, path: str) -> None:
@@ -114,20 +112,24 @@ def checked_texts(docs: DataFrame) -> DataFrame:
 def read_pdfs(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
     """(path, text, error, warning) of PDF files. ``pages_of`` extracts the pages of one file's bytes.
 
-    Files above ``PDF_LIMIT`` bytes and other kinds are refused before they are read.
+    Other kinds and files above ``PDF_LIMIT`` bytes are refused by their names and lengths: a listing without contents
+    tells them, so whatever their size no byte of them is read.
     """
     files = spark.read.format("binaryFile").load(path)
     error = F.when(~F.lower("path").endswith(".pdf"), "not a PDF").when(F.col("length") > PDF_LIMIT, "too large")
-    checked = files.withColumn("error", error).select("path", "error", F.when(error.isNull(), F.col("content")).alias("content"))
+    refused = files.select("path", error.alias("error")).filter("error IS NOT NULL")
+    # Conditions on length and path are pushed to the source, which opens only what passes.
+    fit = files.filter((F.col("length") <= PDF_LIMIT) & F.lower("path").endswith(".pdf")).select("path", "content")
 
     def run(frames):
         for frame in frames:
-            text = [None if c is None else "\n\n".join(pages_of(bytes(c))) for c in frame["content"]]
-            yield pd.DataFrame({"path": frame["path"], "error": frame["error"], "raw": text})
+            yield pd.DataFrame({"path": frame["path"], "raw": ["\n\n".join(pages_of(bytes(c))) for c in frame["content"]]})
 
-    raw = checked.mapInPandas(run, "path string, error string, raw string")
+    raw = fit.mapInPandas(run, "path string, raw string")
     text = pages_cleaned(F.col("raw"))
-    return raw.select("path", text.alias("text"), "error", F.when(F.length(text) > TEXT_LIMIT, "long text").alias("warning"))
+    none = F.lit(None).cast("string")
+    read = raw.select("path", text.alias("text"), none.alias("error"), F.when(F.length(text) > TEXT_LIMIT, "long text").alias("warning"))
+    return read.unionByName(refused.select("path", none.alias("text"), "error", none.alias("warning")))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -141,18 +143,23 @@ def default_overlays(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFAULT_OVERLAYS, OVERLAY)
 
 
-def new_location(rows: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+def place_of(coordinates: Column) -> Column:
+    return F.array_join(F.transform(coordinates, lambda x: x.cast("string")), ",")
+
+
+def new_location(rows: DataFrame, more: list[str] = [], apart: list[str] = []) -> DataFrame:  # noqa: B006
     """Rows with defaults for a missing id and missing events, and columns of ``more``; rows without name or coordinates
-    are refused."""
+    are refused. A default id depends on name and coordinates and on the columns ``apart`` (an ordinal, a clock), which
+    tell apart rows that are alike."""
     ok = ~blank(F.col("name")) & F.col("coordinates").isNotNull()
+    made = stable_id("location", F.col("name"), place_of(F.col("coordinates")), *map(F.col, apart))
     return rows.filter(ok).select(
-        F.coalesce("id", stable_id("location", F.col("name"))).alias("id"), "name", "coordinates", F.coalesce("events", F.array().cast(LOCATION["events"].dataType)).alias("events"), *more
+        F.coalesce("id", made).alias("id"), "name", "coordinates", F.coalesce("events", F.array().cast(LOCATION["events"].dataType)).alias("events"), *more
     )
 
 
-def new_event(rows: DataFrame) -> DataFrame:
-    """Rows with a default id; rows without title, date or description are refused."""
+def new_event(rows: DataFrame, apart: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows with a default id, to which the columns ``apart`` add; rows without title, date or description are refused."""
     ok = ~(blank(F.col("title")) | blank(F.col("date")) | blank(F.col("description")))
-    return rows.filter(ok).withColumn("id", F.coalesce("id", stable_id("event", F.col("title"), F.col("date"), F.col("description"))))
-
-
+    made = stable_id("event", *[F.col(c) for c in ("title", "date", "description", *apart)])
+    return rows.filter(ok).withColumn("id", F.coalesce("id", made))

@@ -23,8 +23,8 @@ def places(spark, *rows):
 def sample(spark):
     return places(
         spark,
-        ("a", "Karst, US", [-112.5, 41.6], [event("e1", "Last Bolt", "1869-05-10"), event("e2", "100% a_b", "unknown")]),
-        ("b", "Lune", [-82.9, 40.4], [event("e3", "Fair", "1905-01")]),
+        ("a", "Torvik, Northmark", [14.25, 67.5], [event("e1", "Ferry opens", "1863-09-14"), event("e2", "100% a_b", "unknown")]),
+        ("b", "Quay", [3.5, -12.75], [event("e3", "Market", "1908-02")]),
         ("c", "Empty", [0.0, 0.0], []),
     )
 
@@ -35,7 +35,7 @@ def found(df):
 
 def test_search(spark):
     rows = sample(spark)
-    assert found(search.search_events(rows, "KARST")) == [("a", "e1"), ("a", "e2")]
+    assert found(search.search_events(rows, "TORVIK")) == [("a", "e1"), ("a", "e2")]
     assert found(search.search_events(rows, "", 1860, 1869)) == [("a", "e1"), ("a", "e2")]  # no year passes
     assert found(search.search_events(rows, "", None, 1900)) == [("a", "e1"), ("a", "e2")]
     assert found(search.search_events(rows, "100%")) == [("a", "e2")]
@@ -56,9 +56,9 @@ def test_timeline_filters(spark):
 
 def test_upsert_and_delete(spark):
     rows = sample(spark)
-    new = places(spark, ("z", "New", [1.0, 1.0], []), ("b", "Lune 2", [2.0, 2.0], []))
+    new = places(spark, ("z", "New", [1.0, 1.0], []), ("b", "Quay 2", [2.0, 2.0], []))
     got = edits.upserted(rows, new).orderBy("loc_ord").collect()
-    assert [(r.loc_ord, r.id, r.name) for r in got] == [(0, "a", "Karst, US"), (1, "b", "Lune 2"), (2, "c", "Empty"), (3, "z", "New")]
+    assert [(r.loc_ord, r.id, r.name) for r in got] == [(0, "a", "Torvik, Northmark"), (1, "b", "Quay 2"), (2, "c", "Empty"), (3, "z", "New")]
     assert [r.id for r in edits.deleted(rows, "a").orderBy("id").collect()] == ["b", "c"]
 
 
@@ -205,7 +205,7 @@ def test_documents(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{no json")
     assert documents.read_document(spark, str(tmp_path / "bad.json")).first().version == "1.0.0"
     documents.write_document(sample(spark), path, F.lit("now"))
-    assert json.loads((tmp_path / "map.json").read_text())["locations"][0]["events"][0]["title"] == "Last Bolt"
+    assert json.loads((tmp_path / "map.json").read_text())["locations"][0]["events"][0]["title"] == "Ferry opens"
     back = documents.read_document(spark, path)
     assert back.first().lastUpdated == "now" and documents.locations(back).count() == 3
     exported = documents.export_json(back)
@@ -234,10 +234,10 @@ def test_files(spark, tmp_path):
 def test_engine(spark, tmp_path):
     tools = get_engine(spark, str(tmp_path / "m.json"))
     assert get_engine(spark, tools.path) is tools
-    tools.add_event("Brill", 41.2, -111.9, "Station", "1869-03-08", "opened", millis=5)
-    tools.add_event("Brill", 41.2, -111.9, "Fire", "1899", "burnt")
-    assert [(r.name, r.eventCount, r.coordinates) for r in tools.list_locations().collect()] == [("Brill", 2, [-111.9, 41.2])]
-    assert tools.search_events("fire").count() == 1 and tools.show_map("fire", 1899).first().filter_year == 1899
+    tools.add_event("Haldane", 48.5, 12.75, "Mill", "1771-11-30", "ground", millis=5)
+    tools.add_event("Haldane", 48.5, 12.75, "Flood", "1802", "rose")
+    assert [(r.name, r.eventCount, r.coordinates) for r in tools.list_locations().collect()] == [("Haldane", 2, [12.75, 48.5])]
+    assert tools.search_events("flood").count() == 1 and tools.show_map("flood", 1802).first().filter_year == 1802
     id = tools.list_locations().first().id
     assert not tools.delete_location("none") and not tools.add_events("none", [])
     assert tools.get_location(id).count() == 1 and tools.delete_location(id) and tools.list_locations().count() == 0
@@ -304,7 +304,7 @@ def test_writing_replaces_a_document_in_one_step(spark, tmp_path):
 def test_the_last_of_repeated_upserts_is_written_at_the_place_of_the_first(spark):
     new = places(spark, ("y", "first y", [0.0, 0.0], []), ("x", "x", [0.0, 0.0], []), ("y", "last y", [1.0, 1.0], []), ("b", "B1", [0.0, 0.0], []), ("b", "B2", [0.0, 0.0], []))
     got = edits.upserted(sample(spark), new).orderBy("loc_ord").collect()
-    assert [(r.loc_ord, r.id, r.name) for r in got] == [(0, "a", "Karst, US"), (1, "b", "B2"), (2, "c", "Empty"), (3, "y", "last y"), (4, "x", "x")]
+    assert [(r.loc_ord, r.id, r.name) for r in got] == [(0, "a", "Torvik, Northmark"), (1, "b", "B2"), (2, "c", "Empty"), (3, "y", "last y"), (4, "x", "x")]
 
 
 def test_numbers_in_ranges(spark):
@@ -316,9 +316,9 @@ def test_numbers_in_ranges(spark):
 
 def test_a_location_is_created_with_its_events(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "map.json"))
-    id = engine.create_location_with_events("Brill", [1.0, 2.0], [event("e1"), event("e2", "two")])
+    id = engine.create_location_with_events("Haldane", [1.0, 2.0], [event("e1"), event("e2", "two")])
     (row,) = engine.get_location(id).collect()
-    assert row.name == "Brill" and [e.title for e in row.events] == ["t", "two"]
+    assert row.name == "Haldane" and [e.title for e in row.events] == ["t", "two"]
 
 
 def test_selections_and_what_is_shown(spark):
