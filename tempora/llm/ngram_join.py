@@ -14,8 +14,9 @@ such sets go, and with them the lists that they leave to one set.
 Only components are wanted, so most pairs need no look. First every set goes to one block, that of the list with the
 smallest hash among its lists; large blocks are dealt to chunks, which share a few pivots. Within a chunk neighbours in
 the tree are verified first, then pairs of different components whose bound reaches, and only links that span are handed
-on. Lists whose members are all in one component are done. In the lists that stay open every pair of different components is a candidate: in short lists pairs are counted over all lists, and those
-that share too few shingles in front are dropped; in long lists chunk meets chunk in their trees.
+on. Lists whose members are all in one component are done. In the lists that stay open every pair of different
+components is a candidate: in short lists pairs are counted over all lists, and those that share too few shingles in
+front are dropped; in long lists the sets outside the largest component meet all others, tree by tree.
 
 Equal sets are one point with many documents. Shingles are hashes of 64 bits, of which 48 are compared at the end.
 
@@ -52,8 +53,9 @@ COMMON, COMMON_PART = 4, 16
 #: Shingles that come last in the order: found this often in a partition and in all, so many at most. The order only
 #: decides how long lists get; any order that all sets share gives the same links.
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT, MOST_LOCAL = 3, 8, 200_000, 20_000
-#: Members of a list that is one leaf; of a chunk of longer lists, about; pivots of a list, about; of a tree's leaf.
-SHORT, CHUNK, PIVOTS, LEAF = 64, 512, 8, 32
+#: Members of a list that is one leaf; of a chunk of longer lists, about; pivots of a list, about; of a tree's
+#: leaf; boxes of a box.
+SHORT, CHUNK, PIVOTS, LEAF, FAN = 64, 512, 8, 32, 4
 #: Bits of the bitmaps of wanted rows at most; they are broadcast.
 MOST_BITS = 1 << 27
 #: Sets of a partition's texts with which a shingle is hot: its postings go to many tasks and its list counts as long.
@@ -132,7 +134,8 @@ def bound(a: np.ndarray, b: np.ndarray, sizes_a, sizes_b) -> np.ndarray:
 
 
 class RTree:
-    """Leaves of points packed by size and then by their counts, with a box for each leaf."""
+    """Points packed into leaves by size and then by their counts; a box for each leaf, and for each ``FAN`` boxes of a
+    level one of the level above, up to the root. ``high``, ``least`` and ``most`` hold the levels, leaves first."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         slabs = max(1, int(np.sqrt(len(sizes) / LEAF)))
@@ -140,29 +143,59 @@ class RTree:
         order = np.concatenate([x[np.lexsort(points[x][:, :4].T)] for x in np.array_split(by_size, slabs)])
         self.order, self.points, self.sizes = order, points[order], sizes[order]
         self.starts = np.arange(0, len(order), LEAF)
-        self.high = np.maximum.reduceat(self.points, self.starts, axis=0)
-        self.least, self.most = np.minimum.reduceat(self.sizes, self.starts), np.maximum.reduceat(self.sizes, self.starts)
+        self.high, self.least, self.most = [], [], []
+        self._level(self.starts, self.points, self.sizes, self.sizes)
+        while len(self.high[-1]) > 1:
+            self.rise()
+
+    def _level(self, starts: np.ndarray, high: np.ndarray, least: np.ndarray, most: np.ndarray) -> None:
+        self.high.append(np.maximum.reduceat(high, starts, axis=0))
+        self.least.append(np.minimum.reduceat(least, starts))
+        self.most.append(np.maximum.reduceat(most, starts))
+
+    def rise(self) -> None:
+        """One more level."""
+        self._level(np.arange(0, len(self.high[-1]), FAN), self.high[-1], self.least[-1], self.most[-1])
 
     def leaf(self, i: int) -> slice:
         return slice(self.starts[i], min(self.starts[i] + LEAF, len(self.order)))
 
 
+def _near_boxes(left: RTree, right: RTree, share: int):
+    """Pairs of leaves below which pairs may be similar: from the roots down, box meets box."""
+    while len(left.high) < len(right.high):
+        left.rise()
+    while len(right.high) < len(left.high):
+        right.rise()
+    a = b = np.zeros(1, np.int64)
+    for k in range(len(left.high) - 1, -1, -1):
+        kept = []
+        for x in range(0, len(a), 4096):
+            i, j = a[x : x + 4096], b[x : x + 4096]
+            ok = (100 * left.most[k][i] >= share * right.least[k][j]) & (100 * right.most[k][j] >= share * left.least[k][i])
+            ok &= bound(left.high[k][i], right.high[k][j], left.most[k][i], right.most[k][j]) >= needed(left.least[k][i], right.least[k][j], share)
+            kept.append(ok)
+        ok = np.concatenate(kept) if kept else np.zeros(0, bool)
+        a, b = a[ok], b[ok]
+        if k:
+            a = (a[:, None, None] * FAN + np.arange(FAN)[None, :, None] + np.zeros((1, 1, FAN), np.int64)).ravel()
+            b = (b[:, None, None] * FAN + np.arange(FAN)[None, None, :] + np.zeros((1, FAN, 1), np.int64)).ravel()
+            there = (a < len(left.high[k - 1])) & (b < len(right.high[k - 1]))
+            a, b = a[there], b[there]
+    return a, b
+
+
 def tree_join(left: RTree, right: RTree, share: int):
-    """Arrays (i, j) of places in the two trees whose bound reaches what their sizes need; leaf boxes are tried first."""
+    """Arrays (i, j) of places in the two trees whose bound reaches what their sizes need; boxes are tried first."""
     out_i, out_j = [], []
-    for a in range(len(left.starts)):
-        ok = (100 * left.most[a] >= share * right.least) & (100 * right.most >= share * left.least[a])
-        reach = bound(left.high[a], right.high, left.most[a], right.most)
-        ok &= reach >= needed(left.least[a], right.least, share)
-        mine = left.leaf(a)
-        for b in np.flatnonzero(ok).tolist():
-            other = right.leaf(b)
-            na, nb = left.sizes[mine][:, None], right.sizes[other][None, :]
-            near = bound(left.points[mine][:, None], right.points[other][None], na, nb) >= needed(na, nb, share)
-            near &= (100 * na >= share * nb) & (100 * nb >= share * na)
-            i, j = np.nonzero(near)
-            out_i.append(left.order[mine][i])
-            out_j.append(right.order[other][j])
+    for a, b in zip(*(x.tolist() for x in _near_boxes(left, right, share))):
+        mine, other = left.leaf(a), right.leaf(b)
+        na, nb = left.sizes[mine][:, None], right.sizes[other][None, :]
+        near = bound(left.points[mine][:, None], right.points[other][None], na, nb) >= needed(na, nb, share)
+        near &= (100 * na >= share * nb) & (100 * nb >= share * na)
+        i, j = np.nonzero(near)
+        out_i.append(left.order[mine][i])
+        out_j.append(right.order[other][j])
     empty = np.zeros(0, np.int64)
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (empty, empty)
 
@@ -346,33 +379,43 @@ def _members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.withColumn("place", by_id).mapInArrow(make, MEMBERS)
 
 
-def spanning(points: np.ndarray, sizes: np.ndarray, sets: list[bytes], share: int, pivots: np.ndarray):
-    """(i, j), every set with the first of its component: neighbours in the tree and pivots meet first, then what is apart."""
-    parent = list(range(len(sizes)))
+class Links:
+    """Components of sets by the links that join them, which are verified one by one."""
+
+    def __init__(self, components: list[int], sets: list[bytes], share: int):
+        self.own, self.sets, self.share, self.found = components, sets, share, []
+        self.parent: dict[int, int] = {c: c for c in components}
 
-    def top(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def top(self, i: int) -> int:
+        c = self.own[i]
+        while self.parent[c] != c:
+            self.parent[c] = self.parent[self.parent[c]]
+            c = self.parent[c]
+        return c
 
-    def meet(pairs):
+    def meet(self, pairs) -> None:
+        """Verify the pairs whose sets are in different components yet, and join the components of those that link."""
         for i, j in pairs:
-            a, b = top(i), top(j)
-            if a != b and similar(sets[i], sets[j], share):
-                parent[max(a, b)] = min(a, b)
+            a, b = self.top(i), self.top(j)
+            if a != b and similar(self.sets[i], self.sets[j], self.share):
+                self.parent[max(a, b)] = min(a, b)
+                self.found.append((i, j))
 
+
+def spanning(points: np.ndarray, sizes: np.ndarray, sets: list[bytes], share: int, pivots: np.ndarray):
+    """Links (i, j) that span the components: neighbours in the tree and pivots meet first, then what is apart."""
+    links = Links(list(range(len(sizes))), sets, share)
     tree = RTree(points, sizes)
-    meet(zip(tree.order[:-1].tolist(), tree.order[1:].tolist()))
+    links.meet(zip(tree.order[:-1].tolist(), tree.order[1:].tolist()))
     for p in pivots.tolist():
         near = bound(points[p][None], points, sizes[p], sizes) >= needed(sizes[p], sizes, share)
-        meet((p, i) for i in np.flatnonzero(near).tolist())
-    own = np.array([top(i) for i in range(len(sizes))])
+        links.meet((p, i) for i in np.flatnonzero(near).tolist())
+    own = np.array([links.top(i) for i in range(len(sizes))])
     if len(np.unique(own)) > 1:
         i, j = tree_join(tree, tree, share)
         apart_yet = (own[i] != own[j]) & (i < j)
-        meet(zip(i[apart_yet].tolist(), j[apart_yet].tolist()))
-    return [(i, top(i)) for i in range(len(sizes)) if top(i) != i]
+        links.meet(zip(i[apart_yet].tolist(), j[apart_yet].tolist()))
+    return links.found
 
 
 def _blocks(share: int):
@@ -526,24 +569,43 @@ def _pairs_table(a, b) -> pa.Table:
 
 
 def _second_meetings(share: int):
-    """Two chunks of a long list: members of different components whose bound reaches."""
+    """A chunk of a long list (side 0) and one of its sets outside the list's largest component (side 1): links that join
+    components, verified on the sets where they are."""
 
     def run(frame: pa.Table) -> pa.Table:
-        ids, sizes, own = frame["set_id"].to_numpy(), frame["n"].to_numpy(), frame["component"].to_numpy()
-        side, points = frame["side"].to_numpy(), _points(frame)
-        if len(np.unique(own)) < 2:
-            return _pairs_table(ids[:0], ids[:0])
-        left, right = side != 1, side != 0  # 2: both, where a chunk meets itself
-        if not left.any() or not right.any():
+        ids, sizes, own, side = (frame[c].to_numpy() for c in ("set_id", "n", "component", "side"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right) or len(np.unique(own)) < 2:
             return _pairs_table(ids[:0], ids[:0])
+        points = _points(frame)
         i, j = tree_join(RTree(points[left], sizes[left]), RTree(points[right], sizes[right]), share)
-        i, j = np.flatnonzero(left)[i], np.flatnonzero(right)[j]
-        keep = own[i] != own[j]
-        return _pairs_table(ids[i[keep]], ids[j[keep]])
+        i, j = left[i], right[j]
+        apart_yet = own[i] != own[j]
+        links = Links(own.tolist(), frame["shingles"].to_pylist(), share)
+        links.meet(zip(i[apart_yet].tolist(), j[apart_yet].tolist()))
+        return _pairs_table(ids[[a for a, _ in links.found]], ids[[b for _, b in links.found]])
 
     return run
 
 
+def _second(grouped: DataFrame, members: DataFrame, share: int, chunk: int) -> DataFrame:
+    """Links (a, b) between components of the long lists ``grouped`` (list, set_id, component).
+
+    Of two components at least one is not the list's largest, so only the sets outside it meet all sets of the list,
+    chunk by chunk; the others are copied once for each chunk of those, not for each chunk of the list.
+    """
+    sizes = grouped.groupBy("list", "component").agg(F.count("*").alias("c")).groupBy("list")
+    sizes = sizes.agg(F.sum("c").alias("members"), F.max(F.struct("c", "component")).alias("main"))
+    rows = grouped.join(apart(sizes), "list").withColumns({"ones": F.ceil(F.col("members") / chunk), "twos": F.ceil((F.col("members") - F.col("main.c")) / chunk)})
+    place = lambda seed, n: F.pmod(F.xxhash64("set_id", F.lit(seed)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = rows.select("list", "set_id", "component", place(3, "ones").alias("one"), each("twos").alias("two"), F.lit(0).alias("side"))
+    others = rows.filter(F.col("component") != F.col("main.component"))
+    others = others.select("list", "set_id", "component", each("ones").alias("one"), place(5, "twos").alias("two"), F.lit(1).alias("side"))
+    tiles = every.unionByName(others).join(members, "set_id")
+    return tiles.groupBy("list", "one", "two").applyInArrow(_second_meetings(share), "a long, b long")
+
+
 def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE, short: int = SHORT, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, set_id.
 
@@ -587,24 +649,10 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE,
     pairs = counted.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).filter("n >= need").select("a", "b")
     # Long lists of one leader have much the same members, too: they are one list of all of them.
     grouped = written(still.filter(F.col("members") > short).select(F.col("leader").alias("list"), "set_id", "component").distinct(), "long")
-    sizes = grouped.groupBy("list").agg(F.count("*").alias("members"))
-    tiles = (
-        _dealt(grouped.join(apart(sizes), "list"), chunk)
-        .join(members.select("set_id", "n", "point"), "set_id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select(
-            "list",
-            F.least("chunk", "other").alias("one"),
-            F.greatest("chunk", "other").alias("two"),
-            F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"),
-            "set_id",
-            "n",
-            "point",
-            "component",
-        )
-    )
-    second = tiles.groupBy("list", "one", "two").applyInArrow(_second_meetings(share), "a long, b long")
-    candidates = written(pairs.unionByName(second).distinct(), "candidates")
+    second = written(_second(grouped, members, share, chunk), "links")
+    if not second.isEmpty():
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
+    candidates = written(pairs, "candidates")
     # One pair of every two components first: what it joins needs no more looks.
     for last in (False, True):
         between = candidates

@@ -192,6 +192,38 @@ def test_bound_is_never_below_the_overlap():
         assert ngram_join.bound(*points, len(a), len(b)) >= both
 
 
+def test_trees_with_levels_find_every_pair_whose_bound_reaches():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 4, (40, ngram_join.GROUPS))
+    make = lambda n: np.maximum(base[rng.integers(0, 40, n)] + rng.integers(-1, 2, (n, ngram_join.GROUPS)) * (rng.random((n, ngram_join.GROUPS)) < 0.05), 0).astype(np.uint8)
+    a, b = make(1500), make(40)
+    na, nb = a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64)
+    left, right = ngram_join.RTree(a, na), ngram_join.RTree(b, nb)
+    assert len(left.high) > 3 and len(left.high[-1]) == 1
+    want = set()
+    for j in range(40):
+        reach = ngram_join.bound(a, b[j][None], na, nb[j]) >= ngram_join.needed(na, nb[j], 85)
+        want |= {(i, j) for i in np.flatnonzero(reach & (100 * na >= 85 * nb[j]) & (100 * nb[j] >= 85 * na)).tolist()}
+    assert set(zip(*(x.tolist() for x in ngram_join.tree_join(left, right, 85)))) == want and want
+    met = len(ngram_join._near_boxes(left, right, 85)[0])
+    assert met < len(left.starts) * len(right.starts)
+
+
+def test_second_meetings_copy_the_largest_component_once_for_each_chunk_of_the_others(spark):
+    from pyspark.sql import functions as F
+
+    grouped = spark.range(2000).select(F.lit(1).cast("long").alias("list"), F.col("id").alias("set_id"), F.when(F.col("id") < 1900, 0).otherwise(F.col("id")).cast("long").alias("component"))
+    rng = random.Random(2)
+    texts = {i: prose(rng, 30) for i in range(2000)}
+    texts |= {1950 + k: texts[k] + " elm1" for k in range(20)}
+    sets = {i: ngram_join.shingle_set(t, 4) for i, t in texts.items()}
+    rows = [(i, len(x), bytearray(ngram_join.point(x)), bytearray(ngram_join.packed(x))) for i, x in sets.items()]
+    got = ngram_join._second(grouped, spark.createDataFrame(rows, ngram_join.MEMBERS), 85, 100).collect()
+    assert sorted((r.a, r.b) for r in got) == [(k, 1950 + k) for k in range(20)]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
