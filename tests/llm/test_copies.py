@@ -199,6 +199,7 @@ def test_trees_with_levels_find_every_pair_whose_bound_reaches():
     base = rng.integers(0, 4, (40, ngram_join.GROUPS))
     make = lambda n: np.maximum(base[rng.integers(0, 40, n)] + rng.integers(-1, 2, (n, ngram_join.GROUPS)) * (rng.random((n, ngram_join.GROUPS)) < 0.05), 0).astype(np.uint8)
     a, b = make(1500), make(40)
+    a[750:] *= 4  # sets of another size, whose boxes are passed over
     na, nb = a.sum(axis=1, dtype=np.int64), b.sum(axis=1, dtype=np.int64)
     left, right = ngram_join.RTree(a, na), ngram_join.RTree(b, nb)
     assert len(left.high) > 3 and len(left.high[-1]) == 1
