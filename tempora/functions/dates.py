@@ -40,43 +40,64 @@ MATCH = "index int, priority int, raw string, normalized string, confidence doub
 _MATCH = pa.struct([("index", pa.int32()), ("priority", pa.int32()), ("raw", pa.string()), ("normalized", pa.string()), ("confidence", pa.float64())])
 
 
+@cache
+def _places(parts: str) -> list[tuple[int, str]]:
+    """(group, kind) of year, month and day, in this order."""
+    return [(parts.lower().index(x), parts[parts.lower().index(x)]) for x in "ymd" if x in parts.lower()]
+
+
 def _iso(groups: tuple[str, ...], parts: str) -> str:
     """Year, month and day of a match, padded and joined by hyphens."""
-    out = []
-    for part in "ymd":
-        at = parts.lower().find(part)
-        if at >= 0:
-            out.append(groups[at] if part == "y" else _NUMBER[groups[at][:3].lower()] if parts[at] == "M" else groups[at].rjust(2, "0"))
-    return "-".join(out)
+    return "-".join([groups[i] if kind == "y" else _NUMBER[groups[i][:3].lower()] if kind == "M" else groups[i].rjust(2, "0") for i, kind in _places(parts)])
 
 
 @cache
-def _compiled() -> list[re.Pattern]:
-    return [re.compile(pattern, re.ASCII) for pattern, _, _ in PATTERNS]
+def _compiled() -> list[tuple[re.Pattern, re.Pattern | None]]:
+    """Every pattern, and one that every text has in which it matches, if that is quicker to look for."""
+    month = re.compile("|".join(SHORT), re.I)
+    hints = [re.compile("-"), month, month, re.compile("/"), re.compile("[-.]"), month, None, None]
+    return [(re.compile(pattern, re.ASCII), hint) for (pattern, _, _), hint in zip(PATTERNS, hints)]
+
 
+_YEAR = re.compile(r"\d{4}", re.ASCII)
 
-def _dates(text: str) -> dict[int, tuple]:
-    """Place to (priority, match, parts, confidence): of the patterns that match at a place the first."""
+
+def dates_in(text: str) -> list[tuple[int, int, str, str, float]]:
+    """(index, priority, raw, normalized, confidence) by place: of the patterns that match at a place the first.
+
+    All dates have a year of four digits, and most texts have few of those: a scan for them, and one for each mark that
+    the patterns need, leave few patterns to look for.
+    """
+    if not _YEAR.search(text):
+        return []
     found: dict[int, tuple] = {}
-    for n, (pattern, (_, confidence, parts)) in enumerate(zip(_compiled(), PATTERNS)):
+    has: dict[re.Pattern, bool] = {}
+    for n, ((pattern, hint), (_, confidence, parts)) in enumerate(zip(_compiled(), PATTERNS)):
+        if hint is not None:
+            if hint not in has:
+                has[hint] = hint.search(text) is not None
+            if not has[hint]:
+                continue
         for m in pattern.finditer(text):
-            found.setdefault(m.start(), (n, m, parts, confidence))
-    return found
+            at = m.start()
+            if at not in found:
+                found[at] = (at, n, m.group(), _iso(m.groups(), parts), confidence)
+    return [found[at] for at in sorted(found)]
 
 
 def date_matches(text: Column) -> Column:
     """Dates in a text by place: array of (index, priority, raw, normalized, confidence), one for each place.
 
-    Every pattern scans a text once, by batches in Python: regular expressions of Spark SQL do not tell where they
-    match, and to add up the lengths of what lies between costs the square of the number of matches. Null has none.
+    By batches in Python: regular expressions of Spark SQL do not tell where they match, and to add up the lengths of
+    what lies between costs the square of the number of matches. Null has none.
     """
 
     @F.arrow_udf(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>")
     def run(texts: pa.Array) -> pa.Array:
         ends, columns = [0], ([], [], [], [], [])
         for x in texts.to_pylist():
-            for at, (n, m, parts, confidence) in sorted(_dates(x).items()) if x else ():
-                for column, value in zip(columns, (at, n, m.group(), _iso(m.groups(), parts), confidence)):
+            for row in dates_in(x) if x else ():
+                for column, value in zip(columns, row):
                     column.append(value)
             ends.append(len(columns[0]))
         made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCH)], fields=list(_MATCH))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: The same for Python's regular expressions, and its characters.
 PY_WHITE = re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", WHITE)
-_SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(PY_WHITE, c))
+SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(PY_WHITE, c))
 #: The title of an event whose sentence has nothing but its date.
 NO_TITLE = "Historical Event"
 
@@ -40,15 +40,15 @@ def or_default(column: Column, default) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(default) if isinstance(default, str) else default)
 
 
-def _sentences(text: str, places: list[int]) -> list[str]:
+def sentences_in(text: str, places: list[int]) -> list[str]:
     stops = [m.start() for m in re.finditer("[.!?]", text)]
     out = []
     for at in places:
         n = bisect_left(stops, at)
         start = stops[n - 1] + 1 if n else 0
         end = stops[n] + 1 if n < len(stops) else len(text)
-        whole = text[start:end].strip(_SPACES)
-        out.append(text[max(at - 100, 0) : at + 200].strip(_SPACES) + "..." if len(whole) > 300 else whole)
+        whole = text[start:end].strip(SPACES)
+        out.append(text[max(at - 100, 0) : at + 200].strip(SPACES) + "..." if len(whole) > 300 else whole)
     return out
 
 
@@ -62,7 +62,7 @@ def sentences_at(text: Column, places: Column) -> Column:
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array, places: pa.Array) -> pa.Array:
         found = zip(texts.to_pylist(), places.to_pylist())
-        return pa.array([None if t is None or p is None else _sentences(t, p) for t, p in found], pa.list_(pa.string()))
+        return pa.array([None if t is None or p is None else sentences_in(t, p) for t, p in found], pa.list_(pa.string()))
 
     return run(text, places)
 

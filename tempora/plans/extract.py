@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.dates import date_matches, parse_to_iso, sort_date_or_epoch
-from ..functions.text import WHITE, field_of, or_default, sentences_at, stable_id, title_of, trimmed
+from ..functions.text import WHITE, field_of, or_default, stable_id, trimmed
+from . import rows
 
-LEAST_CONFIDENCE = 0.5
 COLUMNS = ["doc_id", "rank", "id", "title", "description", "date", "confidence", "sourceText"]
 
+RANKED = [StructField(c, {"rank": IntegerType(), "confidence": DoubleType()}.get(c, StringType())) for c in COLUMNS if c not in ("doc_id", "id")]
+
 #: A block: title and date on lines with their keys, then a description up to an empty line, another key or the end.
 BLOCK = rf"(?is)EVENT:{WHITE}*(.+?)(?:\n|\r\n?)DATE:{WHITE}*(.+?)(?:\n|\r\n?)(?:DESCRIPTION:{WHITE}*)?(.+?)(?=(?:\n{WHITE}*\n|EVENT:|\z))"
 
@@ -30,10 +35,10 @@ def find_dates(docs: DataFrame) -> DataFrame:
 def _ranked(docs: DataFrame, events: Column) -> DataFrame:
     """Unnested events with their rank by date; dates that are none stand at 1970, ties keep their order."""
     keyed = F.transform(events, lambda e, i: F.struct(sort_date_or_epoch(e["date"]).alias("k"), i.alias("i"), e.alias("e")))
-    rows = docs.select("doc_id", F.posexplode(F.array_sort(keyed)).alias("rank", "x"))
+    found = docs.select("doc_id", F.posexplode(F.array_sort(keyed)).alias("rank", "x"))
     event = lambda c: F.col(f"x.e.{c}")
     made = stable_id("event", F.col("doc_id"), F.col("x.i"), event("title"), event("date"))
-    return rows.select("doc_id", F.col("rank"), made.alias("id"), *[event(c).alias(c) for c in COLUMNS[3:]])
+    return found.select("doc_id", F.col("rank"), made.alias("id"), *[event(c).alias(c) for c in COLUMNS[3:]])
 
 
 def _once(items: Column, key: Callable[[Column], Column], always: Callable[[Column], Column] | None = None) -> Column:
@@ -48,22 +53,33 @@ def _once(items: Column, key: Callable[[Column], Column], always: Callable[[Colu
     return F.transform(F.array_sort(F.filter(first, lambda y: y.isNotNull())), lambda y: y["x"])
 
 
+_FOUND = "array<struct<rank:int,i:int,title:string,description:string,date:string,confidence:double,sourceText:string>>"
+
+
+def sentence_events(text: Column) -> Column:
+    """Events of the sentences with dates, ranked by date: one pass over each text, by batches of Arrow. Null has none."""
+
+    @F.arrow_udf(_FOUND)
+    def run(texts: pa.Array) -> pa.Array:
+        ends, columns = [0], [[] for _ in range(7)]
+        for x in texts.to_pylist():
+            for rank, place, event in rows.ranked(rows.sentence_events(x)) if x else ():
+                for column, value in zip(columns, (rank, place, *event)):
+                    column.append(value)
+            ends.append(len(columns[0]))
+        names = ["rank", "i", *COLUMNS[3:]]
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
+        made = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+
+    return run(text)
+
+
 def parse_regex(docs: DataFrame) -> DataFrame:
     """One event for each sentence with a date that is sure enough; the sentence is its description."""
-    sure = docs.select("doc_id", "text", F.filter(date_matches(F.col("text")), lambda m: m["confidence"] >= LEAST_CONFIDENCE).alias("m"))
-    sure = sure.filter(F.size("m") > 0).withColumn("s", sentences_at(F.col("text"), F.transform("m", lambda m: m["index"]))).drop("text")
-    rows = sure.select("doc_id", _once(F.arrays_zip("m", "s"), lambda x: F.substring(x["s"], 1, 100)).alias("found"))
-    events = F.transform(
-        "found",
-        lambda x: F.struct(
-            title_of(x["s"], x["m"]["raw"]).alias("title"),
-            x["s"].alias("description"),
-            x["m"]["normalized"].alias("date"),
-            x["m"]["confidence"].alias("confidence"),
-            x["s"].alias("sourceText"),
-        ),
-    )
-    return _ranked(rows, events)
+    found = docs.select("doc_id", F.inline(sentence_events(F.col("text"))))
+    made = stable_id("event", *[F.col(c) for c in ("doc_id", "i", "title", "date")])
+    return found.select("doc_id", "rank", made.alias("id"), *COLUMNS[3:])
 
 
 def _record(title: Column, date: Column, description: Column, source: Column) -> Column:
@@ -110,8 +126,11 @@ PARSERS: dict[str, tuple[str, Parser]] = {
 }
 
 
-def register_parser(name: str, description: str, parser: Parser) -> None:
+def register_parser(name: str, description: str, parser: Parser, of_text: Callable[[str], list[rows.Event]] | None = None) -> None:
+    """``of_text`` parses one text for ``parse_events`` in SQL, where ``parser`` cannot go."""
     PARSERS[name] = (description, parser)
+    if of_text is not None:
+        rows.PARSERS[name] = of_text
 
 
 def get_parser(strategy: str) -> Parser | None:
@@ -129,3 +148,52 @@ def strategies(spark: SparkSession) -> DataFrame:
 def parse_documents(docs: DataFrame, strategy: str = "regex") -> DataFrame:
     """Events of all documents; an unknown strategy falls back to the first parser."""
     return (get_parser(strategy) or parse_regex)(docs)
+
+
+class ParseEvents:
+    """Table function ``parse_events(text, strategy)``: the events of a text, ranked by date.
+
+    With ``TABLE(...)`` instead of a text, which has a column ``text`` and is best partitioned by a document's key, the
+    texts of a partition are parts of one document, in which an event of equal title and description counts once: rows
+    have the other columns, of the partition's first row, before the event's. An unknown strategy falls back to the first parser, as it does for tables.
+    """
+
+    def __init__(self):
+        self.found, self.others = [], None
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, strategy: AnalyzeArgument) -> AnalyzeResult:
+        if text.isTable:
+            if "text" not in text.dataType.names:
+                raise ValueError("the table has no column text")
+            return AnalyzeResult(StructType([*(f for f in text.dataType.fields if f.name != "text"), *RANKED]))
+        return AnalyzeResult(StructType(RANKED))
+
+    def eval(self, text, strategy):
+        parse = rows.PARSERS.get(strategy, rows.sentence_events)
+        if isinstance(text, Row):
+            if self.others is None:
+                self.others = [text[c] for c in text.__fields__ if c != "text"]
+            known = {(e[0], e[1]) for e in self.found}
+            self.found += [e for e in parse(text["text"] or "") if (e[0], e[1]) not in known]
+        else:
+            for rank, _, event in rows.ranked(parse(text or "")):
+                yield rank, *event
+
+    def terminate(self):
+        for rank, _, event in rows.ranked(self.found):
+            yield *self.others, rank, *event
+
+
+def register_functions(spark: SparkSession) -> SparkSession:
+    """``spark``, whose SQL then knows ``parse_events`` with the parsers that are registered by now."""
+    parsers = dict(rows.PARSERS)
+
+    class Own(ParseEvents):
+        def __init__(self):
+            super().__init__()
+            rows.PARSERS.update(parsers)
+
+    Own.__name__ = "ParseEvents"
+    spark.udtf.register("parse_events", udtf(Own))
+    return spark

@@ -568,18 +568,32 @@ def _(s, d):
     return extract.find_dates(prose(s, d))
 
 
-@_query(
-    "regex_parse",
-    f"""WITH {_PROSE}, c AS (SELECT *, CASE f WHEN 2 THEN strftime(day, '%b.') WHEN 4 THEN strftime(day, '%-d.') ELSE form || ' to town!' END AS rest FROM t WHERE f < 7)
+_PARSED = f"""WITH {_PROSE}, c AS (SELECT *, CASE f WHEN 2 THEN strftime(day, '%b.') WHEN 4 THEN strftime(day, '%-d.') ELSE form || ' to town!' END AS rest FROM t WHERE f < 7)
     SELECT doc_id, CAST(0 AS INTEGER) AS rank, 'The ' || p || ' order came ' || CASE WHEN f IN (2, 4) THEN rest ELSE 'to town!' END AS title,
         'The ' || p || ' order came ' || rest AS description, 'The ' || p || ' order came ' || rest AS "sourceText",
         CASE f WHEN 5 THEN strftime(day, '%Y-%m') WHEN 6 THEN strftime(day, '%Y') ELSE strftime(day, '%Y-%m-%d') END AS date,
-        CAST(CASE f WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.85 WHEN 4 THEN 0.8 WHEN 5 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM c""",
-)
+        CAST(CASE f WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.85 WHEN 4 THEN 0.8 WHEN 5 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM c"""
+
+
+@_query("regex_parse", _PARSED)
 def _(s, d):
     return extract.parse_documents(prose(s, d), "regex").drop("id")
 
 
+@_query("parse_events_lateral", _PARSED)
+def _(s, d):
+    extract.register_functions(s)
+    return s.sql("SELECT doc_id, e.* FROM {docs}, LATERAL parse_events(text, 'regex') AS e", docs=prose(s, d))
+
+
+@_query("parse_events_partitioned", "SELECT o_custkey AS doc_id, 'Order ' || o_orderkey AS title, o_orderstatus AS description, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderkey % 2 = 0")
+def _(s, d):
+    """The records of a customer's orders are one document."""
+    extract.register_functions(s)
+    docs = records(s, d).join(_table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey"), "doc_id").select(F.col("o_custkey").alias("doc_id"), "text")
+    return s.sql("SELECT doc_id, title, description, date FROM parse_events(TABLE({docs}) PARTITION BY (doc_id), 'structured')", docs=docs)
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, text): single-line records of orders; some have no date, some a second title."""
     k = F.col("o_orderkey")

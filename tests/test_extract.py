@@ -2,7 +2,12 @@ import random
 import re
 import time
 
-from tempora.plans import extract
+import pytest
+from pyspark.sql import functions as F
+
+from tempora.functions.dates import parse_to_iso, sort_date_or_epoch
+from tempora.functions.text import title_of
+from tempora.plans import extract, rows
 
 
 def parsed(spark, texts, strategy):
@@ -90,3 +95,59 @@ def test_long_texts_take_time_in_proportion(spark):
     assert extract.parse_documents(docs.filter("doc_id = 1"), "regex").count() == 5000
     assert extract.parse_documents(docs.filter("doc_id = 2"), "structured").count() == 5000
     assert time.time() - began < 60
+
+
+def mixed_texts():
+    rng = random.Random(12)
+    bits = ["May 10, 1869", "Sept. 1, 1869", "in 1945", "circa 900", "5/10/1869", "10.5.1869", "1869-05-10", "1869-13-45", "June 1871", "2029", ".", "!", "? ", "\n", ", the ", "—", "a\u00a0b ", "x" * 70, " no date", "Émile ", "- ", ": "]
+    out = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(300)]
+    lines = ["EVENT: A", "event: b", "DATE: May 10, 1869", "Date: 1869-05-10", "DATE: 5/1/1900", "DATE: May 1869", "DESCRIPTION: one", "more", "", "EVENT: A | DATE: 1869-05-10", "EVENT: C | date: Sept. 3 1900 | DATE: 1900 |Description: d", "EVENT: | DATE: 1900", "\tEVENT: D DATE: x"]
+    return out + ["\n".join(rng.choices(lines, k=rng.randrange(1, 9))) for _ in range(300)] + ["", None]
+
+
+@pytest.mark.parametrize("strategy", ["regex", "structured", "none of them"])
+def test_the_table_function_equals_the_parsers_of_tables(spark, strategy):
+    docs = spark.createDataFrame(list(enumerate(mixed_texts())), "doc_id long, text string")
+    want = extract.parse_documents(docs, strategy).drop("id")
+    extract.register_functions(spark)
+    got = spark.sql("SELECT doc_id, e.* FROM {docs}, LATERAL parse_events(text, '" + strategy + "') AS e", docs=docs)
+    assert got.columns == want.columns
+    rows = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, got.collect())) == rows and len(rows) > 100
+
+
+def test_the_table_function_takes_partitions_of_a_table(spark):
+    texts = [("a", 1, "On 1900-01-02 it rained."), ("a", 2, "On 1850-01-02 it shone."), ("a", 3, "On 1900-01-02 it rained."), ("b", 1, "Nothing."), ("c", 1, None)]
+    docs = spark.createDataFrame(texts, "k string, part int, text string")
+    extract.register_functions(spark)
+    got = spark.sql("SELECT * FROM parse_events(TABLE({docs}) PARTITION BY (k) ORDER BY (part), 'regex')", docs=docs)
+    assert got.columns == ["k", "part", "rank", "title", "description", "date", "confidence", "sourceText"]
+    assert [(r.k, r["rank"], r.date) for r in got.orderBy("rank").collect()] == [("a", 0, "1850-01-02"), ("a", 1, "1900-01-02")]
+    with pytest.raises(Exception, match="no column text"):
+        spark.sql("SELECT * FROM parse_events(TABLE({docs}), 'regex')", docs=docs.drop("text"))
+
+
+def test_a_parser_of_ones_own_in_sql(spark):
+    extract.register_parser("lines", "An event for each line", extract.parse_regex, lambda text: [(x, x, "1900", 0.6, x) for x in text.split("\n") if x])
+    try:
+        extract.register_functions(spark)
+        got = spark.sql("SELECT e.title FROM VALUES ('a\nb'), ('') AS t(text), LATERAL parse_events(text, 'lines') AS e")
+        assert sorted(r.title for r in got.collect()) == ["a", "b"]
+    finally:
+        del extract.PARSERS["lines"], rows.PARSERS["lines"]
+
+
+def test_rows_and_columns_agree_on_titles_days_and_iso_dates(spark):
+    dates = ["1869", "1869-05", "1869-02-31", "1900-02-29", "0000-01-05", "1869-00-01", "1869-13", "1869-01-32", "x", "", "9999-12-31", "May 10, 1869", "may. 10 1869", "Sept. 1, 1869", "Sep. 1 1869", "Jan 1, 1900", "January. 1, 1900", "5/6/1900", "5-6-1900"]
+    frame = spark.createDataFrame([(x,) for x in dates], "x string").select("x", sort_date_or_epoch(F.col("x")).alias("day"), parse_to_iso(F.col("x")).alias("iso"))
+    for r in frame.withColumn("n", F.datediff("day", F.lit("1970-01-01").cast("date"))).drop("day").collect():
+        assert rows.day_of(r.x) - rows.day_of("1970") == r.n and rows.iso_of(r.x) == r.iso, r.x
+    sentences = [("On 1900 , - the first: second third fourth fifth sixth seventh eighth ninth", "1900"), ("1900", "1900"), ("x", "none"), ("é" * 70 + " 1900", "1900"), ("1900 ßa", "1900")]
+    made = spark.createDataFrame(sentences, "s string, raw string").select("s", "raw", title_of(F.col("s"), F.col("raw")).alias("t"))
+    for r in made.collect():
+        assert rows.title_in(r.s, r.raw) == r.t, r.s
+
+
+def test_regex_parse_scans_texts_once(spark):
+    plan = extract.parse_regex(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
