@@ -6,16 +6,18 @@ their key, and some are no dates, so that both policies for those show.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, numbers, text
-from .operators import edits, intervals, search, timeline
+from .operators import edits, intervals, nearest, search, text_index, timeline
 from .plans import extract
 from .schema import EVENT, LOCATION
 from .sources import documents
+from .sources.shared import shared_folder
 from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +118,14 @@ def _(s, d):
     return search.search_flat(_flat(s, d), "a", 1996, 1998).select(*_FOUND)
 
 
+@_query("search_indexed", _search_sql("contains(lower(title), 'urgent') OR contains(lower(description), 'urgent') OR contains(lower(name), 'urgent')"))
+def _(s, d):
+    """The same by a stored index of trigrams."""
+    path = f"{shared_folder(s)}/tempora-{s.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    text_index.build(_flat(s, d), path)
+    return text_index.search_indexed(s, path, "URGENT").select(*_FOUND)
+
+
 @_query("search_open_bound", _search_sql("k IS NULL OR year(k) >= 2000"))
 def _(s, d):
     return _found(search.search_events(nested(s, d), "", 2000))
@@ -412,6 +422,21 @@ def _(s, d):
     return at.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@_query(
+    "nearest_place",
+    f"""WITH {LOC}, p AS (SELECT s_suppkey AS place, CAST((s_suppkey * 7919) % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST((s_suppkey * 104729) % 1700 AS DOUBLE) / 10 - 85 AS lat FROM supplier),
+    a AS (SELECT id, radians(lon) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0 AS y FROM loc),
+    b AS (SELECT place, radians(lon) * 6378137.0 AS u, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0 AS v FROM p),
+    m AS (SELECT id, place, sqrt(pow(least(abs(x - u), 2 * pi() * 6378137.0 - abs(x - u)), 2) + pow(y - v, 2)) AS d FROM a, b)
+    SELECT id, arg_min(place, (round(d, 3), place)) AS place, round(min(d), 3) AS meters FROM m GROUP BY id""",
+)
+def _(s, d):
+    """The supplier nearest to each location."""
+    key = F.col("s_suppkey")
+    places = _table(s, d, "supplier").select(key.alias("place"), ((key * 7919 % 3600).cast("double") / 10 - 180).alias("lon"), ((key * 104729 % 1700).cast("double") / 10 - 85).alias("lat"))
+    return nearest.nearest(locations(s, d), places, "place").select("id", "place.place", F.round("distance", 3).alias("meters"))
+
+
 @_query("confidence_band", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.8 THEN 'high' WHEN l_discount * 10 >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM lineitem")
 def _(s, d):
     return _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.confidence_band(F.col("l_discount") * 10).alias("band"))
