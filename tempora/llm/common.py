@@ -56,6 +56,13 @@ def crc_mod(column, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: of several that whose text has the least hash, null last. Not for null ids."""
+    others = F.struct(*[c for c in rows.columns if c != "doc_id"])
+    least = F.min_by(others, F.struct(F.col("text").isNull(), F.xxhash64("text"), F.col("text")))
+    return rows.groupBy("doc_id").agg(least.alias("_row")).select("doc_id", "_row.*").select(*rows.columns)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -202,12 +202,22 @@ def _edges(model: Hmm, seen: list[np.ndarray], length: np.ndarray, owner: np.nda
 def expected(model: Hmm, codes: list[np.ndarray], n_classes: int):
     """Baum-Welch counts of whole sequences: (start K, moves K x K, emissions classes x K), and log10 P of all.
 
-    States are the first axis, so that all arithmetic runs along windows.
+    In single precision, and again in double where probabilities are so small that it does not hold them.
     """
+    for kind in (np.float32, np.float64):
+        with np.errstate(all="ignore"):
+            found = _expected(model, codes, n_classes, kind)
+        if all(np.isfinite(x).all() for x in found):
+            return found
+    raise FloatingPointError("probabilities are too small for double precision")
+
+
+def _expected(model: Hmm, codes: list[np.ndarray], n_classes: int, kind):
+    """``expected`` in one precision. States are the first axis, so that all arithmetic runs along windows."""
     grid, length, owner, index = _windows(codes)
     size = grid.shape[1]
     n_at = [int((length > t).sum()) for t in range(size)]
-    s, k, kind = len(grid), len(model.start), np.float32
+    s, k = len(grid), len(model.start)
     seen = _emissions(model, grid, kind)
     move = model.move.astype(kind)
     onward = np.ascontiguousarray(move.T)

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, texts, tidy
+from .common import crc_mod, one_of_each, texts, tidy
 
 PASSAGE_WORDS = 100
 SAMPLE_ROWS = 8_000
+#: Passages of one labelled text that the fit uses; scores use all.
+LEARNED_PASSAGES = 1_000
 HIDDEN, GATE = 12, 8
 STEPS, RATE, DECAY, SEED = 200, 0.03, 1e-3, 17
 #: Documents whose score is below this are rejected.
@@ -156,9 +158,14 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) -> BagMo
     return model
 
 
+def _thinned(bag: np.ndarray, most: int = LEARNED_PASSAGES) -> np.ndarray:
+    """At most ``most`` passages of a bag, evenly spaced."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(int)]
+
+
 def _encoded(batches):
     for batch in batches:
-        found = [encode(x).tobytes() for x in texts(batch)]
+        found = [_thinned(encode(x)).tobytes() for x in texts(batch)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], names=["doc_id", "quality", "bag"]
         )
@@ -175,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     )
     # The broadcast side has at most ``sample_rows`` pairs of numbers.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    found = rows.mapInArrow(_encoded, "doc_id long, quality int, bag binary").orderBy("doc_id").toArrow()
+    found = one_of_each(rows).mapInArrow(_encoded, "doc_id long, quality int, bag binary").orderBy("doc_id").toArrow()
     if found.num_rows == 0:
         return None
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_MEASURES) for x in found["bag"].to_pylist()]

@@ -14,7 +14,7 @@ Shards see each other's work through the threshold that a first, small shard giv
 part of the rows, so shards times blocks grow with both; each meeting ships a shard and a block once, and the larger they
 are the less is shipped for a pair of rows.
 
-Cases: vectors that are null or hold a null or non-finite component take no part, as queries or candidates; nor do
+Cases: a row without vec_id is a candidate, with null as its id and after others of its score. Vectors that are null or hold a null or non-finite component take no part, as queries or candidates; nor do
 empty vectors. Vectors of different lengths meet in the terms they share. Ties go to the smaller id. A query's own row
 is no candidate; other rows of its id are, and each of them is a query of its own. Components and scores that 64 bits do
 not hold are an error. Fewer than ``k`` candidates give fewer rows; an empty table gives an empty result. Extra columns
@@ -44,7 +44,7 @@ def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     too_large = F.raise_error(F.lit("a component does not fit into 64 bits")).cast("long")
     whole = F.transform(x, lambda e: F.when(F.abs(e) < 2.0**63 / SCALE, F.floor(e * SCALE)).otherwise(too_large))
-    return vectors.filter(x.isNotNull() & (F.size(x) > 0) & ~bad & F.col("vec_id").isNotNull()).select(
+    return vectors.filter(x.isNotNull() & (F.size(x) > 0) & ~bad).select(
         F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")
     )
 
@@ -65,9 +65,9 @@ def _kind(a: np.ndarray, b: np.ndarray):
 
 
 def search(queries: np.ndarray, query_rows: np.ndarray, shard: np.ndarray, rows: np.ndarray, ids: np.ndarray, floors: np.ndarray, k: int = TOP):
-    """(query number, id, score) of each query's best ``k`` of the shard that can reach its floor.
+    """(query number, place in the shard, score) of each query's best ``k`` of the shard that can reach its floor.
 
-    ``rows`` tell rows apart, ``ids`` ascend. ``floors``: for each query a score that ``k`` other vectors reach, or the
+    ``rows`` tell rows apart, ``ids`` ascend, so of equal scores the first places count; null ids come last. ``floors``: for each query a score that ``k`` other vectors reach, or the
     smallest integer.
     """
     exact = _kind(queries, shard)
@@ -100,7 +100,7 @@ def search(queries: np.ndarray, query_rows: np.ndarray, shard: np.ndarray, rows:
                 done += len(probe)
             if bar is not None:
                 alive, got = alive[got >= bar], got[got >= bar]
-            found = list(zip([-int(x) for x in got.tolist()], ids[alive].tolist()))
+            found = list(zip([-int(x) for x in got.tolist()], alive.tolist()))
             if found:
                 best = sorted(best + found, key=lambda x: (x[0], x[1] is None, x[1]))[:k]
                 if len(best) == k:
@@ -116,7 +116,8 @@ def _packed(name: str):
         small = -(2**31) <= m.min() and m.max() < 2**31
         row = {
             name: [frame[name][0].as_py()],
-            f"{name}_ids": [frame["vec_id"].to_numpy().astype("<i8").tobytes()],
+            f"{name}_ids": [frame["vec_id"].fill_null(0).to_numpy().astype("<i8").tobytes()],
+            f"{name}_nulls": pa.array([frame["vec_id"].null_count], pa.int32()),
             f"{name}_numbers": [frame["row"].to_numpy().astype("<i8").tobytes()],
             f"{name}_width": pa.array([m.shape[1]], pa.int32()),
             f"{name}_kind": ["<i4" if small else "<i8"],
@@ -129,7 +130,7 @@ def _packed(name: str):
     return run
 
 
-PACKED = "{0} long, {0}_ids binary, {0}_numbers binary, {0}_width int, {0}_kind string, {0}_rows binary"
+PACKED = "{0} long, {0}_ids binary, {0}_nulls int, {0}_numbers binary, {0}_width int, {0}_kind string, {0}_rows binary"
 
 
 def _unpacked(r: dict, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,10 +150,11 @@ def _meet(batches):
             own_ids, own, queries = _unpacked(r, "block")
             shard, queries = _widened(shard, queries)
             found = search(queries, own, shard, numbers, ids, np.frombuffer(r["floors"], "<i8"))
-            n = [x[0] for x in found]
+            n, at = [x[0] for x in found], np.array([x[1] for x in found], np.int64)
+            unnamed = at >= len(ids) - r["shard_nulls"]
             # A score of more than 64 bits is refused here.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[n] if n else [], pa.int64()), pa.array(own_ids[n] if n else [], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())],
+                [pa.array(own[n] if n else [], pa.int64()), pa.array(own_ids[n] if n else [], pa.int64()), pa.array(ids[at] if n else [], pa.int64(), mask=unnamed), pa.array([x[2] for x in found], pa.int64())],
                 names=["row", "query_id", "vec_id", "score"],
             )
 
@@ -192,7 +194,7 @@ def top_k(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = TOP, column
     meetings = to.join(packed_blocks, "block").repartition(max(shards * blocks, 1), "shard", "block")
     found = meetings.mapInArrow(_meet, "row long, query_id long, vec_id long, score long")
     best = found.groupBy("row", "query_id").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b")
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").isNull().alias("unnamed"), "vec_id"))), 1, k).alias("b")
     )
     return best.select("query_id", F.posexplode("b").alias("rank", "x")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score")

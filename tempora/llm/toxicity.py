@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, one_of_each, written
 
 #: Labelled rows that the fit uses at most.
 SAMPLE_ROWS = 20_000
@@ -62,7 +62,7 @@ def words_of(text: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, text, words, toxic) of at most ``most`` labelled rows that may be learned from."""
+    """(id, text, words, toxic) of at most ``most`` labelled rows that may be learned from: of the rows of one id one."""
     picked = (
         labels.filter("toxic is not null and doc_id is not null")
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -73,7 +73,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Dat
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The broadcast side has at most ``most`` pairs of numbers.
-    return rows.join(F.broadcast(picked), "doc_id").withColumn("words", words_of(F.col("text")))
+    return one_of_each(rows.join(F.broadcast(picked), "doc_id")).withColumn("words", words_of(F.col("text")))
 
 
 def mined_words(rows: DataFrame, most: int = MINED_WORDS) -> list[str]:

@@ -368,6 +368,44 @@ def test_top_k_of_large_components_and_repeated_ids(spark, scale):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
+def test_rows_without_an_id_are_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (None, [2.0, 0.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (2**63 - 1, [1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 0) == [(0, 1, None), (0, 2, 7), (0, 3, 2**63 - 1), (0, 4, None), (0, 5, 50)]
+
+
+def test_labelled_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(2, f"text {i}") for i in range(500)] + [(3, "other")], "doc_id long, text string")
+    marks = labels(spark, [(2, 1), (3, 0)], "toxic")
+    assert toxicity.labelled(docs, marks, 10).groupBy("doc_id").count().filter("count > 1").isEmpty()
+    assert toxicity.labelled(docs, marks, 1).count() <= 1
+    assert len(quality._thinned(np.zeros((5000, 3)))) == quality.LEARNED_PASSAGES and len(quality._thinned(np.zeros((7, 3)))) == 7
+
+
+@pytest.mark.parametrize("tiny", [1e-8, 1e-10, 1e-30])
+def test_counts_of_classes_that_are_hardly_likely(tiny):
+    rng = np.random.default_rng(2)
+    emit = rng.random((6, 3)) * tiny
+    emit[0] = 1 - emit[1:].sum(axis=0)
+    model = hmm.Hmm(np.full(3, 1 / 3), np.full((3, 3), 1 / 3), emit)
+    codes = [rng.integers(1, 6, n).astype("<u2") for n in (3, 40, 500)]
+    start, moves, emissions, likely = hmm.expected(model, codes, 6)
+    assert math.isclose(start.sum(), 3, rel_tol=1e-4) and math.isclose(moves.sum(), 540, rel_tol=1e-4) and math.isclose(emissions.sum(), 543, rel_tol=1e-4)
+    assert math.isclose(likely, hmm.log_likelihoods(model, codes).sum(), rel_tol=1e-4)
+
+
+def test_columns_give_the_posteriors_of_the_label_model(spark):
+    rng = np.random.default_rng(7)
+    names = ["a", "b", "c", "d"]
+    votes = (rng.random((400, 4)) < 0.4).astype(np.int64)
+    votes[:, 2] = votes[:, 1] ^ (rng.random(400) < 0.1)  # a vote that follows another
+    model = toxicity.fit_label_model(names, votes, np.ones(400))
+    assert max(model.parents) >= 0
+    frame_of = spark.createDataFrame([tuple(map(bool, v)) + (i,) for i, v in enumerate(votes.tolist())], "a boolean, b boolean, c boolean, d boolean, i int")
+    got = frame_of.select("i", toxicity.posterior(model, {n: F.col(n) for n in names}).alias("p")).orderBy("i").toPandas()["p"].to_numpy()
+    assert np.allclose(got, model.posterior(votes), atol=1e-12)
+
+
 def test_top_k_refuses_what_64_bits_do_not_hold(spark):
     for big in (1e18, 1e30):
         with pytest.raises(Exception):  # noqa: B017
