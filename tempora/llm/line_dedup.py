@@ -1,7 +1,8 @@
-"""Line deduplication over a suffix array of line sequences, built by distributed prefix doubling.
+"""Line deduplication by distributed prefix doubling over the suffixes of line sequences.
 
 The lines of all documents, blank ones left out, are one long sequence of line ids, and its suffixes are the places
-where a run of lines may begin. Suffixes of equal line ids are grouped; then each round doubles the depth, pairing the
+where a run of lines may begin. Ranks tell which suffixes have equal fronts; they are hashes, so no sorted suffix array
+and no table of longest common prefixes is made. Suffixes of equal line ids are grouped; then each round doubles the depth, pairing the
 rank of a suffix with that of the suffix ``2**k`` lines on, and drops those whose rank nobody shares, which are few
 rounds' work after the first: what no one shares can begin no repeated run. Groups of equal rank are the intervals of
 the suffix array whose common prefix is that long.
@@ -23,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import apart, texts, written
@@ -37,6 +38,11 @@ def _text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _order(id: str) -> Column:
+    """Ids in their order, null last."""
+    return F.struct(F.col(id).isNull().alias("unnamed"), F.coalesce(F.col(id), F.lit(0)).cast("long").alias("id"))
+
+
 def spans(words: np.ndarray, min_words: int) -> list[list[int]]:
     """For each line the lengths of the shortest runs of ``min_words`` words that begin there: the one that is shortest
     from this line on, and those that are shortest back from their last line."""
@@ -103,9 +109,10 @@ def _paired(rows: DataFrame, suffixes: DataFrame, step) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(run, doc_id, text_key, place, span, first): every shortest run that occurs again, and whether this is its first copy."""
+    """(run, doc_id, text_key, place, span, first): every shortest run that occurs again, and whether this is its first
+    copy. ``doc_id`` is a struct of whether the id is null, and the id."""
     lines = written(lines_of(docs, min_words), "lines")
-    suffixes = lines.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"), "text_key", "place", "spans", F.col("id").alias("rank"))
+    suffixes = lines.select(_order("doc_id").alias("_doc"), "text_key", "place", "spans", F.col("id").alias("rank"))
     named, depth = None, 1
     while True:
         suffixes = written(_shared(suffixes), "suffixes")
@@ -169,6 +176,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.mapInArrow(keys, "doc_id long, text string, _key long").withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    keyed = rows.mapInArrow(keys, "doc_id long, text string, _key long").withColumn("_doc", _order("doc_id"))
     joined = keyed.join(gone, ["_doc", "_key"], "left").select("doc_id", "text", "places")
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, text string")

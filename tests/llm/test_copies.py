@@ -271,6 +271,12 @@ def test_line_dedup_deletes_short_lines(spark):
     assert got == {1: (0, rows[0][1]), 2: (2, "own2 line\n\nend2"), 3: (2, "own3 line\n\nend3")}
 
 
+def test_a_null_id_comes_after_the_largest(spark):
+    rows = [(None, "one line\ntwo"), (2**63 - 1, "one line\ntwo"), (0, "other")]
+    got = {r["doc_id"]: r["n_deleted"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {0: 0, 2**63 - 1: 0, None: 2}
+
+
 def brute_maximal(rows, min_words):
     """Lines to delete: every match with an earlier place, extended to its maximal run, of at least ``min_words`` words."""
     docs = []
