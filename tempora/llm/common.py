@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import functools
 import tempfile
@@ -16,6 +18,8 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 #: Folders made where the session names none, by application.
 _own_dirs: dict[str, str] = {}
+#: The folder within the application's for tables that are written now.
+_scratch: contextvars.ContextVar[str] = contextvars.ContextVar("scratch", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,19 +36,40 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def app_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{app_folder(spark)}/{_scratch.get()}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables that are written within are deleted at the end; what is made of them must be written by then,
+    to a ``path`` of its own."""
+    folder = f"scratch-{uuid.uuid4().hex}/"
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, f"{app_folder(spark)}/{folder}")
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; call it when their results have been consumed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, app_folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -75,3 +75,23 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 def test_pipeline_without_texts_or_labels(spark, tmp_path):
     rows = [(None, None, None), (1, "", "aa"), (1, None, "bb"), (2, "12 3", None)]
     assert corpus_pipeline.run(spark, stored(spark, tmp_path, rows, [(1, None, None)])).count() == 0
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from tempora.llm import common
+
+    stored(spark, tmp_path, [(i, prose(random.Random(i), 30), "aa") for i in range(20)], [])
+    folder = common.app_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("stage-n-gram") and result.count() > 0
+    with pytest.raises(RuntimeError), common.scratch(spark):
+        common.written(spark.range(1), "lost")
+        assert any(x.startswith("scratch") for x in os.listdir(folder))
+        raise RuntimeError
+    assert not any(x.startswith("scratch") for x in os.listdir(folder))
+    common.cleanup(spark)
+    assert not os.path.exists(folder)
