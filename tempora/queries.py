@@ -128,7 +128,7 @@ def _(s, d):
 
 @_query("search_open_bound", _search_sql("k IS NULL OR year(k) >= 2000"))
 def _(s, d):
-    return _found(search.search_events(nested(s, d), "", 2000))
+    return search.search_flat(_flat(s, d), "", 2000).select(*_FOUND)
 
 
 @_query("search_unparseable_passes", _search_sql("date = 'unknown'"))
@@ -150,7 +150,8 @@ def _(s, d):
 
 @_query("show_map_distinct", f"WITH {LOC}, {EVT} SELECT DISTINCT loc_ord, id AS location_id, name FROM loc JOIN evt USING (loc_ord) WHERE contains(lower(title), 'high')")
 def _(s, d):
-    return search.distinct_locations(search.search_events(nested(s, d), "high")).select("loc_ord", "location_id", "name")
+    found = search.search_flat(_flat(s, d).withColumn("coordinates", F.array("lon", "lat")), "high")
+    return search.distinct_locations(found).select("loc_ord", "location_id", "name")
 
 
 @_query("list_locations", f"WITH {LOC}, {EVT} SELECT id, any_value(name) AS name, count(evt_ord) AS event_count FROM loc LEFT JOIN evt USING (loc_ord) GROUP BY id")
