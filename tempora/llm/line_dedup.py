@@ -1,18 +1,19 @@
-"""Line deduplication by distributed prefix doubling over the suffixes of line sequences.
+"""Line deduplication over a suffix array of line sequences, built by distributed prefix doubling.
 
-The lines of all documents, blank ones left out, are one long sequence of line ids, and its suffixes are the places
-where a run of lines may begin. Ranks tell which suffixes have equal fronts; they are hashes, so no sorted suffix array
-and no table of longest common prefixes is made. Suffixes of equal line ids are grouped; then each round doubles the depth, pairing the
-rank of a suffix with that of the suffix ``2**k`` lines on, and drops those whose rank nobody shares, which are few
-rounds' work after the first: what no one shares can begin no repeated run. Groups of equal rank are the intervals of
-the suffix array whose common prefix is that long.
+The lines of all documents, blank ones left out, are numbered in one long sequence; a suffix is what follows from a
+line to its document's end. Suffixes are ranked by their first line, then by their first two, four and so on lines: in
+each round the rank of a suffix is paired with that of the suffix as many lines on, and those that share a rank are
+ranked anew within it. Ranks are places in the sorted order, so in the end they are the suffix array. Suffixes whose
+first line occurs once begin no repeated run and are left out of it.
+
+The longest common prefix of two neighbours follows from their ranks at all depths: the largest depth at which they are
+equal, then the same for what is behind it. Neighbours with a common prefix of some length form its interval, and all
+but the first copy in an interval are later copies of a repeated run. So for every suffix the longest prefix that an
+earlier one has, too, is found by going along the array both ways with a staircase of the smallest line numbers for each
+length. Blocks of the array do so side by side, with the staircases of the blocks before them handed on.
 
 A run counts if it has at least ``min_words`` words. Of every maximal repeated run all copies but the first are deleted,
-first by id and then by place. Every line of such a run is in a shortest run of that many words inside it: one that begins
-or ends at a line of the run (ends at it, if too few words follow it in the run). A copy of the run has copies of its
-parts at the same distance, so the deletions of these shortest runs join to exactly the maximal repeated runs, and depths
-up to ``min_words`` lines are enough: a run of ``w`` lines is named by the two ranks of depth ``2**k <= w`` that cover it.
-With ``min_words`` 1 the shortest runs are single lines and the first depth says all.
+first by id and then by place.
 
 Cases: null and empty texts have no lines and stay; blank lines (white space only) belong to no run and stay, unless
 deleted lines leave them in a row, which is allowed; lines differ by what is between outer white space only; repeated
@@ -21,161 +22,276 @@ rows (same id and text) are one document and get the same result; a null id come
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked_by_ranges
 from .common import apart, texts, written
 
 MIN_WORDS = 1
+#: Suffixes of the array that one group looks at.
+BLOCK = 1 << 16
 
-LINES = "doc_id long, text_key long, place int, line int, id long, spans array<int>"
+LINES = "doc_id long, text_key long, place int, below int, mark binary"
 
 
 def _text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _order(id: str) -> Column:
-    """Ids in their order, null last."""
-    return F.struct(F.col(id).isNull().alias("unnamed"), F.coalesce(F.col(id), F.lit(0)).cast("long").alias("id"))
-
-
-def spans(words: np.ndarray, min_words: int) -> list[list[int]]:
-    """For each line the lengths of the shortest runs of ``min_words`` words that begin there: the one that is shortest
-    from this line on, and those that are shortest back from their last line."""
-    upto = np.concatenate([[0], np.cumsum(words)])
-    end = np.searchsorted(upto, upto[:-1] + min_words)
-    begin = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
-    found: list[set[int]] = [set() for _ in words]
-    for at, stop in enumerate(end.tolist()):
-        if stop < len(upto):
-            found[at].add(stop - at)
-    for last, at in enumerate(begin.tolist()):
-        if at >= 0:
-            found[at].add(last + 1 - at)
-    return [sorted(x) for x in found]
-
-
-def _lines(min_words: int):
-    def run(batches):
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
-            for own, x in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                if not x:
-                    continue
-                raw = x.encode("utf-8", "surrogatepass").split(b"\n")
-                bare = [(i, s) for i, y in enumerate(raw) if (s := y.strip())]
-                if not bare:
-                    continue
-                n = len(bare)
-                words = np.array([len(s.split()) for _, s in bare])
-                for column, values in zip(
-                    columns,
-                    (
-                        [own] * n,
-                        [_text_key(x)] * n,
-                        range(n),
-                        [i for i, _ in bare],
-                        [xxhash.xxh3_64_intdigest(s) - (1 << 63) for _, s in bare],
-                        spans(words, min_words),
-                    ),
-                ):
-                    column.extend(values)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in LINES.split(", ")])
-
-    return run
-
-
-def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each line with words: see ``LINES``. ``place`` counts such lines, ``line`` all lines."""
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pick.mapInArrow(_lines(min_words), LINES).dropDuplicates(["doc_id", "text_key", "place"])
+def bare_lines(text: str) -> list[bytes]:
+    """The lines that are not blank, without outer white space."""
+    return [s for y in text.encode("utf-8", "surrogatepass").split(b"\n") if (s := y.strip())]
 
 
-def _shared(suffixes: DataFrame) -> DataFrame:
-    """The suffixes whose rank another one has too."""
-    ranks = suffixes.groupBy("rank").agg(F.count("*").alias("_n")).filter("_n > 1").select("rank")
-    return suffixes.join(apart(ranks), "rank", "left_semi")
+def _lines(batches):
+    for batch in batches:
+        columns: list[list] = [[], [], [], [], []]
+        for own, x in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+            bare = bare_lines(x)
+            n = len(bare)
+            for column, values in zip(columns, ([own] * n, [_text_key(x)] * n if n else (), range(n), range(n, 0, -1), (hashlib.sha256(s).digest() for s in bare))):
+                column.extend(values)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in LINES.split(", ")])
 
 
-def _paired(rows: DataFrame, suffixes: DataFrame, step) -> DataFrame:
-    """Every row with the rank of the suffix ``step`` places on, where that is still shared."""
-    after = suffixes.select("_doc", "text_key", F.col("place").alias("_at"), F.col("rank").alias("_next"))
-    return rows.withColumn("_at", F.col("place") + step).join(after, ["_doc", "text_key", "_at"]).drop("_at")
+def _order(id: str) -> Column:
+    """Ids in their order, null last."""
+    return F.struct(F.col(id).isNull().alias("unnamed"), F.coalesce(F.col(id), F.lit(0)).cast("long").alias("id"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(run, doc_id, text_key, place, span, first): every shortest run that occurs again, and whether this is its first
-    copy. ``doc_id`` is a struct of whether the id is null, and the id."""
-    lines = written(lines_of(docs, min_words), "lines")
-    suffixes = lines.select(_order("doc_id").alias("_doc"), "text_key", "place", "spans", F.col("id").alias("rank"))
-    named, depth = None, 1
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(n, doc, text_key, place, below, mark): every line with words, numbered by document and place. ``below`` counts
+    the lines from it to the document's end, itself included."""
+    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lines = pick.mapInArrow(_lines, LINES).dropDuplicates(["doc_id", "text_key", "place"])
+    lines = lines.select(_order("doc_id").alias("doc"), "text_key", "place", "below", "mark")
+    return written(ranked_by_ranges(lines, [], [F.col("doc"), F.col("text_key"), F.col("place")], "n"), "lines")
+
+
+def _starts(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``groups`` (keys, c) with ``start``: the sum of ``c`` over the smaller keys, by ranges of keys."""
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(groups.repartitionByRange(tasks, *keys).withColumn("part", F.spark_partition_id()), "groups")
+    before = dealt.groupBy("part").agg(F.sum("c").alias("own")).select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))  # a row for a range
+    within = F.sum("c").over(Window.partitionBy("part").orderBy(*keys)) - F.col("c")
+    return dealt.withColumn("within", within).join(F.broadcast(before), "part").select(*keys, "c", (F.col("before") + F.col("within")).alias("start"))
+
+
+def suffix_ranks(lines: DataFrame) -> DataFrame:
+    """(n, below, ranks): of every suffix whose first line occurs again its ranks by the first 1, 2, 4, ... lines, as
+    long as it shares them, and then the rank that it has for itself, or with suffixes that are equal to their ends.
+
+    A rank is one more than the number of suffixes that are smaller as far as they are compared.
+    """
+    marks = written(_starts(lines.groupBy("mark").agg(F.count("*").alias("c")), ["mark"]), "marks")
+    ranked = written(lines.join(apart(marks), "mark").select("n", "below", F.col("start").alias("rank"), "c"), "ranked")
+    fixed, shared = ranked.filter("c = 1").select("n", "rank"), ranked.filter("c > 1").drop("c")
+    every, level = shared.withColumn("level", F.lit(0)), 0
+    while not shared.filter(F.col("below") > (1 << level)).isEmpty():
+        depth = 1 << level
+        after = fixed.unionByName(shared.select("n", "rank")).select((F.col("n") - depth).alias("n"), F.col("rank").alias("next"))
+        pairs = shared.join(after, "n", "left")
+        pairs = written(pairs.withColumn("next", F.when(F.col("below") > depth, F.col("next")).otherwise(F.lit(-1).cast("long"))), "pairs")  # what ends comes first
+        keys = ["rank", "next"]
+        groups = written(_starts(pairs.groupBy(*keys).agg(F.count("*").alias("c")), keys), "starts")
+        base = groups.groupBy("rank").agg(F.min("start").alias("base"))
+        groups = groups.join(apart(base), "rank").select(*keys, "c", (F.col("rank") + F.col("start") - F.col("base")).alias("own"))
+        ranked = written(pairs.join(apart(groups), keys).select("n", "below", F.col("own").alias("rank"), "c"), "ranked")
+        fixed, shared = fixed.unionByName(ranked.filter("c = 1").select("n", "rank")), ranked.filter("c > 1").drop("c")
+        level += 1
+        every = every.unionByName(ranked.select("n", "below", "rank", F.lit(level).alias("level")))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("level", "rank"))), lambda x: x["rank"])
+    return every.groupBy("n").agg(F.first("below").alias("below"), listed.alias("ranks"))
+
+
+def suffix_array(lines: DataFrame) -> DataFrame:
+    """(at, n, below, common): the suffixes in their order from 1, equal ones by number, and how many lines each has in
+    common with the one before it."""
+    ranks = written(suffix_ranks(lines), "suffixes")
+    last = F.element_at("ranks", -1)
+    array = written(ranked_by_ranges(ranks.select("n", "below", last.alias("rank"), F.get("ranks", F.lit(0)).alias("first")), [], [F.col("rank"), F.col("n")], "at"), "array")
+    before = array.select((F.col("at") + 1).alias("at"), F.col("n").alias("m"), F.col("below").alias("below_m"), F.col("first").alias("first_m"))
+    both = array.join(before, "at").filter("first = first_m")
+    open_ = both.select("at", "n", "m", F.least("below", "below_m").alias("most"), F.lit(0).cast("long").alias("common"))
+    done = None
     while True:
-        suffixes = written(_shared(suffixes), "suffixes")
-        # Runs of depth to 2 * depth - 1 lines are named by two ranks of this depth.
-        here = suffixes.select("_doc", "text_key", "place", "rank", F.explode("spans").alias("span")).filter(F.col("span").between(depth, 2 * depth - 1))
-        if depth == 1:
-            part = here.select(F.xxhash64("span", "rank").alias("run"), "_doc", "text_key", "place", "span")
-        else:
-            part = _paired(here, suffixes, F.col("span") - depth).select(F.xxhash64("span", "rank", "_next").alias("run"), "_doc", "text_key", "place", "span")
-        named = part if named is None else named.unionByName(part)
-        if 2 * depth > min_words or not suffixes.filter(F.array_max("spans") >= 2 * depth).limit(1).count():
+        # The largest depth at which what is left has equal ranks; then what is behind that.
+        at = lambda c, name: ranks.select(F.col("n").alias(c), F.col("ranks").alias(name))
+        met = open_.withColumns({"x": F.col("n") + F.col("common"), "y": F.col("m") + F.col("common")}).join(at("x", "of_x"), "x", "left").join(at("y", "of_y"), "y", "left")
+        equal = F.size(F.filter(F.zip_with("of_x", "of_y", lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda e: e))
+        more = F.when(F.coalesce(equal, F.lit(0)) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), equal - 1)).otherwise(0)
+        met = written(met.withColumn("more", more).select("at", "n", "m", "most", F.least(F.col("common") + F.col("more"), F.col("most")).cast("long").alias("common"), (F.col("more") == 0).alias("ended")), "common")
+        ended = met.filter("ended OR common >= most").select("at", "common")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = met.filter("NOT ended AND common < most").drop("ended")
+        if open_.isEmpty():
             break
-        suffixes = _paired(suffixes, suffixes, F.lit(depth)).select("_doc", "text_key", "place", "spans", F.xxhash64("rank", "_next").alias("rank"))
-        depth *= 2
-    named = written(named, "runs")
-    spot = F.struct("_doc", "text_key", "place")
-    first = named.groupBy("run").agg(F.min(spot).alias("_first"), F.count("*").alias("copies")).filter("copies > 1")
-    met = named.join(apart(first), "run")
-    return met.select("run", F.col("_doc").alias("doc_id"), "text_key", "place", "span", "copies", (spot == F.col("_first")).alias("first"))
-
-
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, places): the places of the lines to delete in each document, in order."""
-    later = repeated_runs(docs, min_words).filter("not first")
-    places = later.select("doc_id", "text_key", F.explode(F.sequence("place", F.col("place") + F.col("span") - 1)).alias("place")).distinct()
-    return places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("place")).alias("places"))
-
-
-def without(text: str, places: list[int]) -> tuple[str, int]:
-    """The text without the lines at these places, and how many lines it had."""
-    raw, gone, at, kept = text.split("\n"), set(places), 0, []
+    return written(array.select("at", "n", "below").join(done, "at", "left").withColumn("common", F.coalesce("common", F.lit(0))), "array")
+
+
+class Staircase:
+    """Of the suffixes gone past, for each common length with where one stands now the smallest number. Steps go up in
+    length, and in number: a longer prefix that is no earlier is no step."""
+
+    def __init__(self, lengths=(), numbers=()):
+        self.lengths, self.numbers = list(lengths), list(numbers)
+
+    def cut(self, common: int) -> None:
+        """Go on to a suffix that has ``common`` lines in common with the one before it."""
+        least = None
+        while self.lengths and self.lengths[-1] >= common:
+            self.lengths.pop()
+            number = self.numbers.pop()
+            least = number if least is None else min(least, number)
+        if common and least is not None:
+            self.add(common, least)
+
+    def add(self, length: int, number: int) -> None:
+        """A suffix with a number, at a length that no step exceeds. It takes away the shorter steps that are no earlier."""
+        while self.numbers and self.numbers[-1] >= number and self.lengths[-1] <= length:
+            self.lengths.pop()
+            self.numbers.pop()
+        if not self.lengths or self.lengths[-1] < length:
+            self.lengths.append(length)
+            self.numbers.append(number)
+
+    def join(self, other: Staircase) -> None:
+        """The steps of both."""
+        steps = sorted([*zip(self.lengths, self.numbers), *zip(other.lengths, other.numbers)], key=lambda x: (x[0], -x[1]))
+        self.lengths, self.numbers = [], []
+        for length, number in steps:
+            while self.numbers and self.numbers[-1] >= number:
+                self.lengths.pop()
+                self.numbers.pop()
+            if not self.lengths or self.lengths[-1] < length:
+                self.lengths.append(length)
+                self.numbers.append(number)
+
+    def longest_before(self, number: int) -> int:
+        """The largest length at which an earlier suffix stands."""
+        i = bisect_left(self.numbers, number)
+        return self.lengths[i - 1] if i else 0
+
+
+def _forward(n: list[int], below: list[int], common: list[int], stairs: Staircase) -> list[int]:
+    """For each suffix of a block the longest prefix that an earlier one before it in the array has; ``stairs`` stands at
+    the one before the block, and at the block's last one in the end."""
+    out = []
+    for number, length, same in zip(n, below, common):
+        stairs.cut(same)
+        out.append(stairs.longest_before(number))
+        stairs.add(length, number)
+    return out
+
+
+def _backward(n: list[int], below: list[int], common: list[int], stairs: Staircase, after: int) -> list[int]:
+    """The same for those behind it; ``stairs`` stands at the one behind the block, which has ``after`` lines in common
+    with the block's last one."""
+    return _forward(n[::-1], below[::-1], [after, *common[:0:-1]], stairs)[::-1]
+
+
+STEPS = "lengths array<int>, numbers array<long>, back_lengths array<int>, back_numbers array<long>"
+
+
+def _block(frame: pa.Table) -> tuple[list[int], list[int], list[int]]:
+    frame = frame.sort_by("at")
+    return frame["n"].to_pylist(), frame["below"].to_pylist(), frame["common"].to_pylist()
+
+
+def _steps(frame: pa.Table) -> pa.Table:
+    """What a block adds to the staircases: its own ones at its last and first suffix, the least number of common lines
+    within it, and those of its first suffix with the one before."""
+    n, below, common = _block(frame)
+    ahead, back = Staircase(), Staircase()
+    _forward(n, below, common, ahead)
+    _backward(n, below, common, back, 0)
+    row = {"block": frame["block"][0].as_py(), "lengths": ahead.lengths, "numbers": ahead.numbers, "back_lengths": back.lengths, "back_numbers": back.numbers}
+    return pa.Table.from_pylist([row | {"inner": min(common[1:], default=1 << 30), "first": common[0]}], _STEPS)
+
+
+_STEPS = pa.schema([("block", pa.int64()), ("lengths", pa.list_(pa.int32())), ("numbers", pa.list_(pa.int64())), ("back_lengths", pa.list_(pa.int32())), ("back_numbers", pa.list_(pa.int64())), ("inner", pa.int32()), ("first", pa.int32())])
+
+
+def _handed_on(frame: pa.Table) -> pa.Table:
+    """The blocks' steps, a few numbers each, to the staircases with which every block begins from both sides."""
+    rows = frame.sort_by("block").to_pylist()
+    out = [{"block": r["block"], "after": 0} for r in rows]
+    stairs = Staircase()
+    for r, o in zip(rows, out):
+        o |= {"lengths": list(stairs.lengths), "numbers": list(stairs.numbers)}
+        stairs.cut(min(r["first"], r["inner"]))
+        stairs.join(Staircase(r["lengths"], r["numbers"]))
+    stairs, after = Staircase(), 0
+    for r, o in zip(rows[::-1], out[::-1]):
+        o |= {"back_lengths": list(stairs.lengths), "back_numbers": list(stairs.numbers), "after": after}
+        stairs.cut(min(after, r["inner"]))
+        stairs.join(Staircase(r["back_lengths"], r["back_numbers"]))
+        after = r["first"]
+    return pa.Table.from_pylist(out, pa.schema([*(f for f in _STEPS if f.name not in ("inner", "first")), pa.field("after", pa.int32())]))
+
+
+def _spans(frame: pa.Table, steps: pa.Table) -> pa.Table:
+    n, below, common = _block(frame)
+    (s,) = steps.to_pylist()
+    ahead = _forward(n, below, common, Staircase(s["lengths"], s["numbers"]))
+    back = _backward(n, below, common, Staircase(s["back_lengths"], s["back_numbers"]), s["after"])
+    span = np.maximum(ahead, back)
+    return pa.table({"n": pa.array(np.array(n, np.int64)[span > 0]), "span": pa.array(span[span > 0].astype(np.int32))})
+
+
+def repeated_spans(array: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(n, span): the suffixes of the array that begin with lines with which an earlier one begins, and how many."""
+    blocks = array.select("at", "n", "below", F.col("common").cast("int").alias("common"), F.expr(f"(at - 1) div {block}").alias("block"))
+    steps = written(blocks.groupBy("block").applyInArrow(_steps, f"block long, {STEPS}, inner int, first int"), "steps")
+    handed = steps.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_handed_on, f"block long, {STEPS}, after int")
+    return blocks.groupBy("block").cogroup(handed.groupBy("block")).applyInArrow(_spans, "n long, span int")
+
+
+def without(text: str, runs: list[tuple[int, int]], min_words: int = MIN_WORDS) -> tuple[str, int, int]:
+    """The text without the lines of those runs (place, lines) that have enough words, how many lines it had, and how
+    many of them went."""
+    words = np.concatenate([[0], np.cumsum([len(x.split()) for x in bare_lines(text)])])
+    gone = np.zeros(len(words), np.int64)
+    for place, lines in runs:
+        if words[place + lines] - words[place] >= min_words:
+            gone[place] += 1
+            gone[place + lines] -= 1
+    gone, raw, at, kept = np.cumsum(gone) > 0, text.split("\n"), 0, []
     for x in raw:
-        if x.encode("utf-8", "surrogatepass").strip():
-            if at not in gone:
-                kept.append(x)
-            at += 1
-        else:
+        blank = not x.encode("utf-8", "surrogatepass").strip()
+        if blank or not gone[at]:
             kept.append(x)
-    return "\n".join(kept), len(raw)
+        at += not blank
+    return "\n".join(kept), len(raw), int(gone[:-1].sum())
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_lines, n_deleted, text without the deleted lines."""
-    gone = written(deletions(docs, min_words), "deletions").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "places")
+    lines = lines_of(docs)
+    spans = repeated_spans(suffix_array(lines), block)
+    found = lines.select("n", "doc", "text_key", "place").join(spans, "n").groupBy("doc", "text_key")
+    found = written(found.agg(F.collect_list(F.struct("place", "span")).alias("runs")), "runs")
 
     def keys(batches):
         for batch in batches:
-            yield batch.append_column("_key", pa.array([_text_key(x) if x else None for x in texts(batch)], pa.int64()))
+            yield batch.append_column("text_key", pa.array([_text_key(x) if x else None for x in texts(batch)], pa.int64()))
 
     def run(batches):
         for batch in batches:
-            out = [without(x, p or []) if x else ("", 0) for x, p in zip(texts(batch), batch.column("places").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([n for _, n in out], pa.int64()),
-                    pa.array([len(p or []) for p in batch.column("places").to_pylist()], pa.int64()),
-                    pa.array([x for x, _ in out], pa.string()),
-                ],
-                names=["doc_id", "n_lines", "n_deleted", "text"],
-            )
+            runs = [[(r["place"], r["span"]) for r in x or ()] for x in batch.column("runs").to_pylist()]
+            out = [without(x, r, min_words) if x else ("", 0, 0) for x, r in zip(texts(batch), runs)]
+            columns = [pa.array([x[i] for x in out], k) for i, k in ((1, pa.int64()), (2, pa.int64()), (0, pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_lines", "n_deleted", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.mapInArrow(keys, "doc_id long, text string, _key long").withColumn("_doc", _order("doc_id"))
-    joined = keyed.join(gone, ["_doc", "_key"], "left").select("doc_id", "text", "places")
+    keyed = rows.mapInArrow(keys, "doc_id long, text string, text_key long").withColumn("doc", _order("doc_id"))
+    joined = keyed.join(found, ["doc", "text_key"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, text string")
