@@ -121,12 +121,18 @@ ORACLE_SQL = {
             SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text,
                    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
             FROM documents
-        ), g AS (
-            SELECT text_sha256, count(*) AS group_size,
-                   first(doc_id ORDER BY length(text) DESC, doc_id) AS keep_id
-            FROM d GROUP BY text_sha256
         )
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+        SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+        FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id NULLS LAST)
+    """,
+    "op10_line_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text <> ''),
+        m AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+        r AS (SELECT *, CASE WHEN bare = '' THEN 1 ELSE row_number() OVER (PARTITION BY bare ORDER BY doc_id NULLS LAST, i) END AS copy FROM m)
+        SELECT any_value(d.doc_id) AS doc_id, count(r.i) AS n_lines, count(*) FILTER (r.copy > 1) AS n_deleted,
+            coalesce(string_agg(r.line, chr(10) ORDER BY r.i) FILTER (r.copy = 1), '') AS text
+        FROM d LEFT JOIN r USING (k) GROUP BY k
     """,
     "op11_prefix_trie": f"""
         WITH t AS (
