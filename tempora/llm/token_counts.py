@@ -19,7 +19,6 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
