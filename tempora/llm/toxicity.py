@@ -8,9 +8,10 @@ given the class, and the chances of a vote are estimated for each vote of the ot
 adds nothing. Labels only mine words and give EM its start, which tells which of the classes is the toxic one; from there
 on it sees the votes alone. The posteriors, not the labels, train a linear classifier over hashed words, and that classifier alone scores texts.
 
-Voters and classifier are DataFrame and MLlib operations. Votes are counted by Spark over all training texts, and only
-the counts of patterns, at most two to the number of voters, reach the driver. The classifier's fit uses at most
-``SAMPLE_ROWS`` labelled rows, those with the smallest hashes of their ids.
+Voters are DataFrame operations. Votes are counted by Spark over all training texts, and only the counts of patterns, at
+most two to the number of voters, reach the driver. The classifier's fit uses at most ``SAMPLE_ROWS`` labelled rows,
+those with the smallest hashes of their ids; it runs in one task, as numbers of buckets and posteriors, and only the
+coefficients that are not zero reach the driver. All texts are scored where they are, by sums of coefficients.
 
 Cases: null and empty texts have no words and get the score of the intercept; texts are scored whole; repeated rows are
 scored each time; labels that are null are not learned from; ids that are repeated in the labels count once; with no
@@ -22,20 +23,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, one_of_each, written
+from .common import crc_mod, one_of_each, tidy, written
 
 #: Labelled rows that the fit uses at most.
 SAMPLE_ROWS = 20_000
 FEATURES = 1 << 18
-#: Partitions of the sample while the classifier is fitted; each sends a gradient in every step. Up to four of them send it
-#: to the driver without a shuffle between, whose files would pile up over the steps.
-FIT_PARTITIONS = 4
+#: Penalties of the classifier's coefficients, on their sizes and half their squares, and the rounds of its fit at most.
+L1, L2, FIT_ROUNDS = 1e-5, 1e-5, 300
 #: Words mined from the labels, and the voters that they are dealt to.
 MINED_WORDS, MINED_VOTERS = 240, 12
 EM_ROUNDS = 100
@@ -218,15 +216,94 @@ def posterior(model: LabelModel, votes: dict[str, Column]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
+def buckets(words: Column) -> Column:
+    """The different buckets of words, each the number of a coefficient."""
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(FEATURES))))
+
+
+@dataclass
+class Classifier:
+    """Logistic regression on which buckets a text has."""
+
+    intercept: float
+    coefficients: np.ndarray
+
+    def probability(self, found: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` texts whose buckets are ``found``, each in the text ``row``."""
+        odds = self.intercept + np.bincount(row, self.coefficients[found], n)
+        return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+
+
+def fit_classifier(found: np.ndarray, row: np.ndarray, p: np.ndarray, features: int = FEATURES, rounds: int = FIT_ROUNDS) -> Classifier:
+    """The classifier with the least mean logistic loss against posteriors ``p`` plus penalties.
+
+    Accelerated proximal steps, started anew where they overshoot. A coefficient's step is as long as its curvature
+    allows: at most a quarter of the mean, over the texts that have its bucket, of how many buckets they have.
+    """
+    n = len(p)
+    size = np.bincount(row, minlength=n) + 1.0
+    # The intercept is the last; it has no penalty.
+    steep = np.append(np.bincount(found, size[row], features) + 1e-12, size.sum()) / (4 * n) + L2
+    small = np.append(np.full(features, L1), 0.0) / steep
+    shrink = np.append(np.full(features, L2), 0.0)
+    share = float(np.clip(p.mean(), 1e-6, 1 - 1e-6))
+    now = np.zeros(features + 1)
+    now[-1] = np.log(share / (1 - share))
+    ahead, pace = now, 1.0
+    for _ in range(rounds):
+        off = Classifier(ahead[-1], ahead[:-1]).probability(found, row, n) - p
+        slope = np.append(np.bincount(found, off[row], features), off.sum()) / n + shrink * ahead
+        new = ahead - slope / steep
+        new = np.sign(new) * np.maximum(np.abs(new) - small, 0.0)
+        step = new - now
+        if np.abs(step).max() < 1e-4:
+            now = new
+            break
+        if ((ahead - new) * steep) @ step > 0:
+            pace = 1.0
+        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        ahead, now, pace = new + (pace - 1) / faster * step, new, faster
+    return Classifier(float(now[-1]), now[:-1])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a column of lists, and the number of the row that each is in."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _fitted(rows: DataFrame) -> Classifier:
+    """The classifier of stored (buckets, p), which are a bounded sample."""
+
+    @tidy
+    def run(batches):
+        found, row, p, n = [], [], [], 0
+        for batch in batches:
+            own, at = _lists(batch.column("buckets"))
+            found.append(own)
+            row.append((at + n).astype(np.int32))
+            p.append(batch.column("p").to_numpy(zero_copy_only=False))
+            n += batch.num_rows
+        if n:
+            made = fit_classifier(np.concatenate(found), np.concatenate(row), np.concatenate(p))
+            at = np.flatnonzero(made.coefficients)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(made.coefficients[at], made.intercept))], names=["bucket", "value"])
+
+    got = rows.select("buckets", "p").coalesce(1).mapInArrow(run, "bucket int, value double").toArrow()
+    at, value = got["bucket"].to_numpy(), got["value"].to_numpy()
+    coefficients = np.zeros(FEATURES)
+    coefficients[at[at >= 0]] = value[at >= 0]
+    return Classifier(float(value[at < 0][0]), coefficients)
+
+
 @dataclass
 class ToxicityModel:
     label_model: LabelModel | None
-    classifier: LogisticRegressionModel | None
+    classifier: Classifier | None
 
 
 def counted_votes(rows: DataFrame, votes: dict[str, Column], more: list[str] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """(patterns x voters, counts) of the votes on all rows (text, words); columns of ``more`` follow the voters."""
-    cast = {f"v{i}": F.coalesce(c, F.lit(False)).cast("int") for i, c in enumerate(votes.values())}
+    cast = {f"_v{i}": F.coalesce(c, F.lit(False)).cast("int") for i, c in enumerate(votes.values())}
     found = rows.select(*[c.alias(k) for k, c in cast.items()], *more).groupBy(*cast, *more).agg(F.count("*").alias("n")).collect()
     return np.array([r[:-1] for r in found], np.int64).reshape(-1, len(cast) + len(more)), np.array([r["n"] for r in found], np.int64)
 
@@ -237,20 +314,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     training = docs.filter(crc_mod("doc_id", 5) != 0).select(text).withColumn("words", words_of(F.col("text")))
     patterns, counts = counted_votes(training, votes)
-    known, n = counted_votes(rows, votes, ["toxic"])
+    # Votes of the sample are cast once and stored: the posteriors need each of them many times.
+    cast = {n: F.col(f"v{i}") for i, n in enumerate(votes)}
+    rows = written(rows.select("toxic", buckets(F.col("words")).alias("buckets"), *[v.alias(f"v{i}") for i, v in enumerate(votes.values())]), "votes")
+    known, n = counted_votes(rows, cast, ["toxic"])
     if not len(known) or not patterns.any():
         return ToxicityModel(None, None)
     # The labels tell EM which class is the toxic one by where it starts; from there on it sees votes alone.
     toxic = known[:, -1] == 1
     start = _estimated(list(votes), known[:, :-1], np.stack([n * ~toxic, n * toxic]).astype(float)) if toxic.any() else None
     model = fit_label_model(list(votes), patterns, counts, start)
-    soft = rows.select("words", posterior(model, votes).alias("p"))
-    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="features").transform(soft)
-    both = hashed.select(
-        "features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("x")
-    ).select("features", "x.label", "x.w")
-    fit = LogisticRegression(weightCol="w", regParam=2e-5, elasticNetParam=0.5, maxIter=50, standardization=False, aggregationDepth=2)
-    return ToxicityModel(model, fit.fit(both.filter("w > 1e-6").coalesce(FIT_PARTITIONS)))
+    return ToxicityModel(model, _fitted(rows.select("buckets", posterior(model, cast).alias("p"))))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -258,14 +332,18 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (crc_mod("doc_id", 5) == 0).alias("held_out"),
-        words_of(F.col("text")).alias("words"),
+        buckets(words_of(F.col("text"))).alias("buckets"),
     )
-    if model.classifier is None:
-        value = F.lit(0.0)
+    classifier = model.classifier
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            value = classifier.probability(*_lists(batch.column("buckets")), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(value)], names=["doc_id", "held_out", "score"])
+
+    if classifier is None:
+        out = rows.select("doc_id", "held_out", F.lit(0.0).alias("score"))
     else:
-        # Words without a coefficient are dropped before hashing counts them.
-        rows = HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="features").transform(rows)
-        rows = model.classifier.setProbabilityCol("p").setRawPredictionCol("").setPredictionCol("").transform(rows)
-        value = vector_to_array("p")[1]
-    out = rows.select("doc_id", "held_out", value.alias("score"))
+        out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -51,6 +51,31 @@ def test_toxicity_learns_and_scores_every_row(spark):
     assert len(none) == len(rows) and {r["score"] for r in none} == {0.0}
 
 
+def test_toxicity_classifier_is_where_its_slopes_end():
+    rng = np.random.default_rng(4)
+    n, features = 400, 60
+    has = rng.random((n, features)) < rng.random(features) * 0.3
+    has[7] = False  # a text without words
+    p = 1 / (1 + np.exp(2 - 4.0 * has[:, 3] + 2.0 * has[:, 5] - 1.0 * has[:, 8]))
+    row, found = np.nonzero(has)
+    made = toxicity.fit_classifier(found, row, p, features, 5000)
+    slope = has.T @ (made.probability(found, row, n) - p) / n + toxicity.L2 * made.coefficients
+    used = made.coefficients != 0
+    assert np.abs(slope[used] + toxicity.L1 * np.sign(made.coefficients[used])).max() < 1e-4 and np.abs(slope[~used]).max(initial=0) < toxicity.L1 + 1e-4
+    assert np.abs(made.coefficients[[3, 5, 8]] - [4, -2, 1]).max() < 0.3
+
+
+def test_toxicity_fit_keeps_jobs_and_results_of_the_driver_few(spark):
+    rng = random.Random(12)
+    rows = [(100 + i, prose(rng, WORDS, 20) + (" pathetic " if i % 3 == 0 else " ") + prose(rng, WORDS, 20)) for i in range(100)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("toxicity", "")
+    toxicity.learn(frame(spark, rows), labels(spark, [(i, int((i - 100) % 3 == 0)) for i, _ in rows], "toxic"))
+    jobs = len(tracker.getJobIdsForGroup("toxicity"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs < 40  # a job for each step of the fit, with a gradient for every feature, were more
+
+
 def test_toxicity_tells_words_apart(spark):
     rng = random.Random(10)
     rows = [(100 + i, prose(rng, WORDS, 20) + (" pathetic " if i % 3 == 0 else " ") + prose(rng, WORDS, 20)) for i in range(300)]
