@@ -1,7 +1,7 @@
 """Events from text. A parser is a function from (doc_id, text) rows to event rows; nothing here is shuffled.
 
-Every document is one row of arrays until its events are unnested, so de-duplication and order within a document are
-array expressions and no window is needed.
+Every document is one row until its events are unnested: a text is parsed in one pass, with de-duplication and order
+within it, in batches of Arrow, and no window is needed.
 """
 
 from __future__ import annotations
@@ -14,56 +14,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from ..functions.dates import date_matches, parse_to_iso, sort_date_or_epoch
-from ..functions.text import WHITE, field_of, or_default, stable_id, trimmed
+from ..functions.dates import date_matches
+from ..functions.text import stable_id
 from . import rows
 
 COLUMNS = ["doc_id", "rank", "id", "title", "description", "date", "confidence", "sourceText"]
 
 RANKED = [StructField(c, {"rank": IntegerType(), "confidence": DoubleType()}.get(c, StringType())) for c in COLUMNS if c not in ("doc_id", "id")]
 
-#: A block: title and date on lines with their keys, then a description up to an empty line, another key or the end.
-BLOCK = rf"(?is)EVENT:{WHITE}*(.+?)(?:\n|\r\n?)DATE:{WHITE}*(.+?)(?:\n|\r\n?)(?:DESCRIPTION:{WHITE}*)?(.+?)(?=(?:\n{WHITE}*\n|EVENT:|\z))"
-
-
 def find_dates(docs: DataFrame) -> DataFrame:
     """(doc_id, index, raw, normalized, confidence) of every date, one for each place; the surest pattern wins."""
     found = docs.select("doc_id", F.explode(date_matches(F.col("text"))).alias("m"))
     return found.select("doc_id", *[F.col(f"m.{c}").alias(c) for c in ("index", "raw", "normalized", "confidence")])
 
 
-def _ranked(docs: DataFrame, events: Column) -> DataFrame:
-    """Unnested events with their rank by date; dates that are none stand at 1970, ties keep their order."""
-    keyed = F.transform(events, lambda e, i: F.struct(sort_date_or_epoch(e["date"]).alias("k"), i.alias("i"), e.alias("e")))
-    found = docs.select("doc_id", F.posexplode(F.array_sort(keyed)).alias("rank", "x"))
-    event = lambda c: F.col(f"x.e.{c}")
-    made = stable_id("event", F.col("doc_id"), F.col("x.i"), event("title"), event("date"))
-    return found.select("doc_id", F.col("rank"), made.alias("id"), *[event(c).alias(c) for c in COLUMNS[3:]])
-
-
-def _once(items: Column, key: Callable[[Column], Column], always: Callable[[Column], Column] | None = None) -> Column:
-    """The first item of each key, in their order, and those that ``always`` keeps, which take their keys first.
-
-    By one sort: comparing each item with all keys before it costs the square of their number.
-    """
-    late = (lambda x: ~always(x)) if always else (lambda x: F.lit(True))
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), late(x).alias("late"), i.alias("i"), x.alias("x"))))
-    before = F.concat(F.array(F.lit(None)), keyed)  # the item that was sorted before each; one more than there are items
-    first = F.zip_with(keyed, before, lambda a, b: F.when(a.isNotNull() & (b.isNull() | ~a["late"] | (a["k"] != b["k"])), F.struct(a["i"].alias("i"), a["x"].alias("x"))))
-    return F.transform(F.array_sort(F.filter(first, lambda y: y.isNotNull())), lambda y: y["x"])
-
-
 _FOUND = "array<struct<rank:int,i:int,title:string,description:string,date:string,confidence:double,sourceText:string>>"
 
 
-def sentence_events(text: Column) -> Column:
-    """Events of the sentences with dates, ranked by date: one pass over each text, by batches of Arrow. Null has none."""
+def _ranked_events(text: Column, parse: Callable[[str], list[rows.Event]]) -> Column:
+    """Events of each text, ranked by date: one pass over it, by batches of Arrow. Null has none."""
 
     @F.arrow_udf(_FOUND)
     def run(texts: pa.Array) -> pa.Array:
         ends, columns = [0], [[] for _ in range(7)]
         for x in texts.to_pylist():
-            for rank, place, event in rows.ranked(rows.sentence_events(x)) if x else ():
+            for rank, place, event in rows.ranked(parse(x)) if x else ():
                 for column, value in zip(columns, (rank, place, *event)):
                     column.append(value)
             ends.append(len(columns[0]))
@@ -75,47 +50,30 @@ def sentence_events(text: Column) -> Column:
     return run(text)
 
 
-def parse_regex(docs: DataFrame) -> DataFrame:
-    """One event for each sentence with a date that is sure enough; the sentence is its description."""
-    found = docs.select("doc_id", F.inline(sentence_events(F.col("text"))))
-    made = stable_id("event", *[F.col(c) for c in ("doc_id", "i", "title", "date")])
-    return found.select("doc_id", "rank", made.alias("id"), *COLUMNS[3:])
-
-
-def _record(title: Column, date: Column, description: Column, source: Column) -> Column:
-    return F.struct(
-        title.alias("title"), or_default(description, title).alias("description"), parse_to_iso(date).alias("date"), F.lit(1.0).alias("confidence"), source.alias("sourceText")
-    )
-
-
-def _valid(records: Column) -> Column:
-    return F.filter(records, lambda r: (r["title"] != "") & r["date"].isNotNull())
+def sentence_events(text: Column) -> Column:
+    """Events of the sentences with dates."""
+    return _ranked_events(text, rows.sentence_events)
 
 
-def block_events(text: Column) -> Column:
-    """Events of blocks of several lines. Texts without a line that begins with a date's key are not searched for blocks."""
-    blocks = F.when(text.rlike(r"(?i)[\n\r]DATE:"), F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    part = lambda block, i: trimmed(F.regexp_extract(block, BLOCK, i))
-    return _valid(F.transform(blocks, lambda x: _record(part(x, 1), part(x, 2), part(x, 3), trimmed(x))))
+def field_events(text: Column) -> Column:
+    """Events of blocks of lines with keys, then of single lines whose title has not been seen."""
+    return _ranked_events(text, rows.field_events)
 
 
-def line_events(text: Column) -> Column:
-    """Events of single lines with parts between bars."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.contains(x, F.lit("EVENT:")) & F.contains(x, F.lit("DATE:")))
+def _unnested(docs: DataFrame, events: Callable[[Column], Column]) -> DataFrame:
+    found = docs.select("doc_id", F.inline(events(F.col("text"))))
+    made = stable_id("event", *[F.col(c) for c in ("doc_id", "i", "title", "date")])
+    return found.select("doc_id", "rank", made.alias("id"), *COLUMNS[3:])
 
-    def record(line: Column) -> Column:
-        parts = F.transform(F.split(line, r"\|", -1), trimmed)
-        return _record(*[field_of(parts, k) for k in ("event", "date", "description")], trimmed(line))
 
-    return _valid(F.transform(lines, record))
+def parse_regex(docs: DataFrame) -> DataFrame:
+    """One event for each sentence with a date that is sure enough; the sentence is its description."""
+    return _unnested(docs, sentence_events)
 
 
 def parse_structured(docs: DataFrame) -> DataFrame:
     """Events of blocks, then of single lines whose title has not been seen."""
-    kept = lambda records, is_block: F.transform(records, lambda r: F.struct(F.lit(is_block).alias("block"), r.alias("r")))
-    both = docs.select("doc_id", F.concat(kept(block_events(F.col("text")), True), kept(line_events(F.col("text")), False)).alias("found"))
-    once = both.select("doc_id", _once(F.col("found"), lambda x: x["r"]["title"], lambda x: x["block"]).alias("found"))
-    return _ranked(once, F.transform("found", lambda x: x["r"]))
+    return _unnested(docs, field_events)
 
 
 Parser = Callable[[DataFrame], DataFrame]
