@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import in_chunks, texts, tidy
 
-#: Words and fragments that a task keeps; beyond that its cache starts anew.
-CACHE_WORDS, CACHE_FRAGMENTS = 500_000, 100_000
+#: Words and fragments that a task keeps; beyond that the later half of its cache goes. Frequent ones come early.
+CACHE_WORDS, CACHE_FRAGMENTS = 500_000, 200_000
 #: Characters of the longest word that is kept from one text to the next; so a cache is bounded in bytes, too.
 KEPT_WORD = 64
 #: Characters that are cut at once: few enough for the processor's cache.
@@ -45,6 +46,12 @@ _KIND[128:] = _LETTER
 _KIND[ord("0") : ord("9") + 1] = _DIGIT
 
 
+def halve(cache: dict) -> None:
+    """Forget the half of a cache that came last."""
+    for key in list(islice(cache, len(cache) // 2, None)):
+        del cache[key]
+
+
 class _Cache(dict):
     def __init__(self, make, most):
         super().__init__()
@@ -54,7 +61,7 @@ class _Cache(dict):
         value = self.make(key)
         if len(key) <= KEPT_WORD:
             if len(self) >= self.most:
-                self.clear()
+                halve(self)
             self[key] = value
         return value
 
@@ -180,10 +187,11 @@ class Encoder:
         out, known = [], self.words
         for a, b in in_chunks([len(x) for x in found], 10 * CHUNK):
             split = [x.replace("\n", " ").split(" ") for x in found[a:b]]
-            new = {w for words in split for w in words if w not in known}
+            own = set().union(*split)
+            new = own.difference(known)
             if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = {w for words in split for w in words}
+                halve(known)
+                new = own.difference(known)
             self._learn(new)
             out += [b"".join(map(known.__getitem__, words)) for words in split]
             for w in new:

@@ -63,12 +63,25 @@ def places(stops: np.ndarray, sentence_ends: np.ndarray, total: int, step: int =
     return everything, penalty
 
 
+def unpadded(where: list[int], width: int = WIDTH) -> list[list[int]]:
+    """For each place those before it at distances that are not padded, nearest first."""
+    own, out = np.array(where), [[] for _ in where]
+    numbers = np.full(own[-1] - own[0] + 1, -1)
+    numbers[own - own[0]] = np.arange(len(own))
+    for size in (1 << k for k in range(width.bit_length()) if 1 << k <= width):
+        from_ = own - own[0] - size
+        to = np.flatnonzero(from_ >= 0)
+        k = numbers[from_[to]]
+        for a, b in zip(to[k >= 0].tolist(), k[k >= 0].tolist()):
+            out[a].append(b)
+    return out
+
+
 def best_cuts(where: list[int], penalty: list[float], width: int = WIDTH) -> list[int]:
     """The places of the cheapest chain of windows from the first place to the last."""
     n = len(where)
     best, back = [0.0] * n, [0] * n
-    powers = [1 << k for k in range(width.bit_length()) if 1 << k <= width]
-    at = {where[0]: 0}
+    jumps = unpadded(where, width)
     queue = deque([0])
     key = [float(where[0])] + [0.0] * (n - 1)
     for j in range(1, n):
@@ -77,14 +90,12 @@ def best_cuts(where: list[int], penalty: list[float], width: int = WIDTH) -> lis
             queue.popleft()
         i = queue[0]
         low, come = key[i] + width - p, i
-        for size in powers:
-            k = at.get(p - size)
-            if k is not None and best[k] < low:
+        for k in jumps[j]:
+            if best[k] < low:
                 low, come = best[k], k
         low += penalty[j]
         best[j], back[j] = low, come
         key[j] = new = low + p
-        at[p] = j
         while queue and key[queue[-1]] >= new:
             queue.pop()
         queue.append(j)

@@ -446,3 +446,18 @@ def test_empty_tables(spark):
     assert hmm.score_documents(docs).count() == 0
     assert bpe.round_trip(docs, path).count() == 0
     assert packing.pack_documents(docs, path).count() == 0
+
+
+def test_a_full_cache_keeps_the_words_that_came_first():
+    made = []
+    cache = bpe._Cache(lambda key: made.append(key) or key, 4)
+    for key in ["the", "of", "x1", "x2", "x3", "the", "of", "x1"]:
+        assert cache[key] == key
+    assert made == ["the", "of", "x1", "x2", "x3", "x1"]
+
+
+def test_places_at_unpadded_distances():
+    rng = random.Random(21)
+    where = sorted(rng.sample(range(5, 400), 120))
+    want = [[where.index(p - (1 << k)) for k in range(7) if p - (1 << k) in where] for p in where]
+    assert packing.unpadded(where, 64) == want
