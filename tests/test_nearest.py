@@ -83,3 +83,22 @@ def test_lists_of_frequent_grams_are_split(spark, tmp_path, monkeypatch):
     text_index.build(rows, str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index/lists")).agg(F.max(F.size("rows"))).first()[0] <= 16
     assert text_index.search_indexed(spark, str(tmp_path / "index"), "ferry").count() == 500 and text_index.search_indexed(spark, str(tmp_path / "index"), "499").count() == 1
+
+
+def test_an_index_shuffles_lists_and_not_entries(spark, tmp_path):
+    rows = spark.range(3000, numPartitions=2).select(F.lit("ferry across").alias("title"), F.lit(None).cast("string").alias("description"), (F.col("id") % 7).cast("string").alias("name"), F.lit("1900").alias("date"))
+    text_index.build(rows, str(tmp_path / "index"))
+    lists = spark.read.parquet(str(tmp_path / "index/lists"))
+    held = lists.groupBy("block", "gram").count()
+    assert held.agg(F.max("count")).first()[0] == 1 and lists.select("block").distinct().count() == 2
+    assert dict(lists.dtypes)["rows"] == "array<int>"  # a row is named by its place in the block
+    assert text_index.search_indexed(spark, str(tmp_path / "index"), "ferry").count() == 3000
+
+
+def test_blocks_end_at_gaps_and_at_their_limits():
+    import pyarrow as pa
+
+    batch = lambda numbers: pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(["abcd", None, "abc", "bcd", ""][: len(numbers)])], names=["_row", "t"])
+    got = [(g, b, r) for x in text_index._blocks(2, 100)([batch([5, 6, 7, 8, 20])]) for g, b, r in zip(*(c.to_pylist() for c in x.columns))]
+    assert got == [("abc", 5, [0]), ("bcd", 5, [0]), ("abc", 7, [0]), ("bcd", 7, [1])]
+    assert [x.column("block").to_pylist() for x in text_index._blocks(100, 1)([batch([5, 6, 7])])] == [[5, 5], [6]]
