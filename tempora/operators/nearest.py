@@ -3,15 +3,19 @@
 Places lie in square cells of the map that are numbered along a Z-curve, so that a cell's number begins with those of
 all cells around it. The search goes down from the whole map, all points at once: of the cells below those that a point
 still has, each holds a place no farther than its far corner, so cells whose near edge is farther than the nearest such
-corner are left. What is left at the finest cells is measured. Both bounds are exact, and a point keeps few cells
-however dense or empty its surroundings are.
+corner are left. A cell with one place in it is measured at once and not gone down into; what is left at the finest cells
+is measured in the end. Both bounds are exact, and a point keeps few cells however dense or empty its surroundings are.
+The cells that a step looks at are many and never shuffled: a task gives each point's smallest bound of its own, and with
+the smallest of all the cells are looked at again.
 
 Distances are those of the plane of the map, which is closed at the antimeridian.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import EDGE, mercator_x, mercator_y
@@ -57,6 +61,16 @@ def _on_map(rows: DataFrame, lon: str, lat: str) -> DataFrame:
     return known.withColumns({"_x": mercator_x(east), "_y": y})
 
 
+def _met(left: DataFrame, cells: DataFrame, half: float) -> DataFrame:
+    """Points with the cells below theirs, whose sides are twice ``half``, and within what distances these have places."""
+    met = left.join(cells, F.col("at") == F.col("above"))
+    across, along = _across(F.col("x"), (F.col("i") * 2 + 1) * half - EDGE), F.abs(F.col("y") - ((F.col("j") * 2 + 1) * half - EDGE))
+    near = F.hypot(F.greatest(across - half, F.lit(0.0)), F.greatest(along - half, F.lit(0.0)))
+    far = F.hypot(F.least(across + half, F.lit(EDGE)), along + half)
+    own = F.hypot(_across(F.col("x"), F.col("_x")), F.col("y") - F.col("_y"))
+    return met.withColumns({"near": F.when(F.col("n") == 1, own).otherwise(near), "far": F.when(F.col("n") == 1, own).otherwise(far)})
+
+
 def nearest(points: DataFrame, places: DataFrame, order: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``points`` with ``place``, the nearest row of ``places`` as a struct, and ``distance`` to it in meters on the map.
 
@@ -66,20 +80,24 @@ def nearest(points: DataFrame, places: DataFrame, order: str, lon: str = "lon",
     at = _on_map(places, lon, lat).groupBy("_x", "_y").agg(F.min_by(F.struct(*places.columns), order).alias("place"))
     at = stored(at.withColumns({"cell": cell(F.col("_x"), F.col("_y")), "i": _index(F.col("_x")), "j": _index(F.col("_y"))}), "places")
     asked = stored(_on_map(points, lon, lat).select(F.col("_x").alias("x"), F.col("_y").alias("y")).distinct(), "points")
-    left = asked.withColumn("at", F.lit(0).cast("long"))
+    # ``reach``: within what distance a point is known to have a place.
+    left, alone = asked.withColumns({"at": F.lit(0).cast("long"), "reach": F.lit(float("inf"))}), []
     for step in range(1, DEPTH // STEP + 1):
         down = DEPTH - step * STEP
-        cells = at.select(F.shiftright("cell", 2 * down).alias("cell"), F.shiftright("i", down).alias("i"), F.shiftright("j", down).alias("j")).distinct()
-        cells = cells.withColumn("above", F.shiftright("cell", 2 * STEP))
-        met = left.join(F.broadcast(cells) if step <= FEW else cells, F.col("at") == F.col("above"))
-        half = EDGE / (1 << (step * STEP))
-        across, along = _across(F.col("x"), (F.col("i") * 2 + 1) * half - EDGE), F.abs(F.col("y") - ((F.col("j") * 2 + 1) * half - EDGE))
-        near = F.hypot(F.greatest(across - half, F.lit(0.0)), F.greatest(along - half, F.lit(0.0)))
-        far = F.hypot(F.least(across + half, F.lit(EDGE)), along + half)
-        met = met.withColumns({"near": near, "far": far}).withColumn("reach", F.min("far").over(Window.partitionBy("x", "y")))
-        left = stored(met.filter(F.col("near") <= F.col("reach") + SLACK).select("x", "y", F.col("cell").alias("at")), "cells")
-    measured = left.join(at.select("cell", "_x", "_y", "place"), F.col("at") == F.col("cell"))
-    measured = measured.withColumn("distance", F.hypot(_across(F.col("x"), F.col("_x")), F.col("y") - F.col("_y")))
+        cells = at.groupBy(F.shiftright("cell", 2 * down).alias("cell"), F.shiftright("i", down).alias("i"), F.shiftright("j", down).alias("j"))
+        cells = cells.agg(F.count("*").alias("n"), F.min("_x").alias("_x"), F.min("_y").alias("_y")).withColumn("above", F.shiftright("cell", 2 * STEP))
+        cells = stored(cells, "cells")
+        met = _met(left, F.broadcast(cells) if step <= FEW else cells, EDGE / (1 << (step * STEP)))
+        reach = met.groupBy("x", "y").agg(F.least(F.min("far"), F.min("reach")).alias("reach"))
+        met = _met(left.drop("reach").join(reach, ["x", "y"]), F.broadcast(cells) if step <= FEW else cells, EDGE / (1 << (step * STEP)))
+        kept = stored(met.filter(F.col("near") <= F.col("reach") + SLACK).select("x", "y", F.col("cell").alias("at"), "n", "_x", "_y", "near", "reach"), "kept")
+        alone.append(kept.filter("n = 1").select("x", "y", "_x", "_y", F.col("near").alias("distance")))
+        left = kept.filter("n > 1").select("x", "y", "at", "reach")
+        if left.isEmpty():
+            break
+    measured = functools.reduce(DataFrame.unionByName, alone).join(at.select("_x", "_y", "place"), ["_x", "_y"]).select("x", "y", "place", "distance")
+    dense = left.join(at.select("cell", "_x", "_y", "place"), F.col("at") == F.col("cell"))
+    measured = measured.unionByName(dense.select("x", "y", "place", F.hypot(_across(F.col("x"), F.col("_x")), F.col("y") - F.col("_y")).alias("distance")))
     by = F.struct("distance", F.col(f"place.{order}"))
     found = measured.groupBy("x", "y").agg(F.min_by("place", by).alias("place"), F.min("distance").alias("distance"))
     names = points.columns

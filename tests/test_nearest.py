@@ -47,6 +47,18 @@ def test_a_point_keeps_few_cells_and_hits_what_is_near(spark):
     assert {r.q: r.place.id for r in nearest.within(found, 200).collect()} == {1: 2233}
 
 
+def test_places_alone_in_their_cells_end_the_search(spark, monkeypatch):
+    sizes, stored = [], nearest.stored
+    monkeypatch.setattr(nearest, "stored", lambda rows, name: sizes.append((name, stored(rows, name).count())) or stored(rows, name))
+    rng = random.Random(5)
+    places = spark.createDataFrame([(i, rng.uniform(-180, 180), rng.uniform(-80, 80)) for i in range(300)], "id int, lon double, lat double")
+    points = spark.createDataFrame([(i, rng.uniform(-180, 180), rng.uniform(-80, 80)) for i in range(100)], "q int, lon double, lat double")
+    found = nearest.nearest(points, places, "id")
+    kept = [n for name, n in sizes if name == "kept"]
+    assert found.count() == 100 and 0 < len(kept) <= 5 and sum(kept) < 100 * 40  # 8 steps before
+    assert "Window" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("none", ["places", "points"])
 def test_nearest_of_nothing(spark, none):
     rows = spark.createDataFrame([(1, 2.0, 3.0)], "id int, lon double, lat double")
