@@ -344,6 +344,55 @@ def test_line_dedup_deletes_maximal_runs(spark, min_words):
     assert any(n for _, _, n in want)
 
 
+def rows_shuffled(spark, run):
+    """Rows written to shuffles while ``run`` runs."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > before)
+
+
+def test_lines_that_occur_once_take_no_part_in_the_rounds(spark):
+    whole = "\n".join(f"shared {i}" for i in range(100))
+    rows = [(i, "\n".join(f"own {i} {j}" for j in range(50))) for i in range(80)] + [(100, whole), (101, whole + "\nend")]
+    lines = line_dedup.lines_of(frame(spark, rows))
+    assert rows_shuffled(spark, lambda: line_dedup.suffix_array(lines).count()) < 3 * lines.count()
+
+
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 3)
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("keys", [1, 2, 30])
+def test_places_of_keys_that_fill_several_ranges(spark, small_batches, keys):
+    rng = random.Random(keys)
+    rows = [(rng.randrange(-1, keys - 1) * 2, rng.randrange(-1, keys - 1), n, n - n % 5) for n in range(150)]
+    got = line_dedup._placed(spark.createDataFrame(rows, "rank long, next long, n long, run long"), ["rank", "next"], 1).orderBy("at").collect()
+    rows.sort()
+    assert [(r["rank"], r.next, r.n, r.run) for r in got] == rows and [r["at"] for r in got] == list(range(150))
+    pairs, ranks = [r[:2] for r in rows], [r[0] for r in rows]
+    assert [(r["first"], r.outer, r.shared) for r in got] == [(pairs.index(r[:2]), ranks.index(r[0]), pairs.count(r[:2]) > 1) for r in rows]
+    assert [(r.m, r.m_run) for r in got[1:]] == [r[2:] for r in rows[:-1]]
+
+
+def test_line_dedup_in_small_batches(spark, small_batches):
+    rows = line_rows(11)
+    gone = brute_maximal([r for r in rows if r[0] is not None], 1)
+    got = line_dedup.dedup_lines(frame(spark, [r for r in rows if r[0] is not None])).collect()
+    assert {r["doc_id"]: r["n_deleted"] for r in got} == {i: len(gone.get((i, t), ())) for i, t in rows if i is not None}
+
+
 def test_empty_tables(spark):
     docs = frame(spark, EXACT).limit(0)
     assert exact_dedup.exact_duplicates(docs).count() == 0
